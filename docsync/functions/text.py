@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
 import pandas as pd
@@ -49,15 +50,17 @@ def decode_entities(value: Column) -> Column:
     return value
 
 
-@F.pandas_udf(StringType())
-def decode_all_entities(values: pd.Series) -> pd.Series:
+def decode_all_entities(value: Column) -> Column:
     """Decode every named and numeric HTML entity, in Arrow batches.
 
     For corpora that use more than ``ENTITIES``; the native form is the default.
     """
-    import html
 
-    return values.map(html.unescape, na_action="ignore")
+    @F.pandas_udf(StringType())
+    def unescape(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return unescape(value)
 
 
 def tokenize(value: Column, stop_words: Sequence[str] = ()) -> Column:

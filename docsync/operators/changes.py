@@ -40,11 +40,12 @@ def changed_files(
 
 
 def classify_changes(
-    listing: DataFrame, index: DataFrame, keys: Sequence[str], force: bool = False
+    listing: DataFrame, index: DataFrame, keys: Sequence[str], force: bool | str = False
 ) -> DataFrame:
     """``(keys, version, action)`` with action created, changed, deleted or unchanged.
 
-    ``listing`` needs ``version`` and ``eligible``. A file that is neither eligible nor indexed
+    ``force`` (a flag, or the name of a boolean column of the listing) makes every eligible indexed
+    file changed. ``listing`` needs ``version`` and ``eligible``. A file that is neither eligible nor indexed
     gives no row; one that is indexed, on disk and not eligible is unchanged.
 
     One aggregation over the union of both sides instead of a full outer join: each side is
@@ -58,6 +59,7 @@ def classify_changes(
         F.lit(True).alias("_on_disk"),
         F.lit(False).alias("_in_index"),
         F.coalesce("eligible", F.lit(False)).alias("_eligible"),
+        (F.col(force) if isinstance(force, str) else F.lit(force)).alias("_force"),
     )
     in_index = index.select(
         *keys,
@@ -66,6 +68,7 @@ def classify_changes(
         F.lit(False).alias("_on_disk"),
         F.lit(True).alias("_in_index"),
         F.lit(False).alias("_eligible"),
+        F.lit(False).alias("_force"),
     )
     seen = (
         on_disk.unionByName(in_index)
@@ -76,13 +79,14 @@ def classify_changes(
             F.bool_or("_on_disk").alias("_on_disk"),
             F.bool_or("_in_index").alias("_in_index"),
             F.bool_or("_eligible").alias("_eligible"),
+            F.bool_or("_force").alias("_force"),
         )
     )
     same = F.col("_listed").eqNullSafe(F.col("_indexed"))
     action = (
         F.when(~F.col("_on_disk"), "deleted")
         .when(~F.col("_in_index"), "created")
-        .when(F.col("_eligible") & (F.lit(force) | ~same), "changed")
+        .when(F.col("_eligible") & (F.col("_force") | ~same), "changed")
         .otherwise("unchanged")
     )
     return seen.filter(F.col("_in_index") | F.col("_eligible")).select(

@@ -553,7 +553,7 @@ def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     query = sync.sync_stream(
         stream, root, shared_folder(spark, "sync-checkpoint"),
-        lambda: _sync_content(spark, sf_dir), {"index_page": as_document}, [inputs.WEB],
+        lambda wanted: _sync_content(spark, sf_dir), {"index_page": as_document}, [inputs.WEB],
         inputs.FILE_TYPES, inputs.DISPATCH,
     )
     query.awaitTermination()

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.operators.access import inherit_roles
-from docsync.operators.changes import classify_changes, dedup_work, dispatch_actions
+from docsync.operators.changes import classify_changes, dispatch_actions
 from docsync.operators.store import apply_changes
 from docsync.schema import check_file_types
+from docsync.session import cut_lineage
 from docsync.sources.files import derive_url, excluded
 from docsync.sources.quarantine import identity_checks, quarantine
 
@@ -32,7 +33,7 @@ def with_eligible(
 def sweep(
     listing: DataFrame, index: DataFrame, web: tuple, excluded_dirs: Sequence[str],
     file_types: Sequence[tuple[str, str]], dispatch: Sequence[tuple[str, str, str]],
-    role_conf: Sequence[tuple] | DataFrame, root_roles: Sequence[str], force: bool = False,
+    role_conf: Sequence[tuple] | DataFrame, root_roles: Sequence[str], force: bool | str = False,
 ) -> DataFrame:
     """Work items ``(path, version, action, file_type, handler, web, url, roles)`` of one web.
 
@@ -52,7 +53,8 @@ def sweep(
         }
     )
     typed = with_eligible(located, excluded_dirs, file_types).drop("eligible")
-    work = dedup_work(dispatch_actions(typed, dispatch))
+    # One row per path, and so per handler, web and path: there is nothing left to deduplicate.
+    work = dispatch_actions(typed, dispatch)
     roles = inherit_roles(
         listing.select("dir").union(index.select("dir")), role_conf, root_roles
     )
@@ -67,7 +69,10 @@ def reconcile(
     version: str = "version_ticks",
 ) -> tuple[DataFrame, DataFrame]:
     """``(next documents, errors)``: map the created and changed items of a sweep with the handlers
-    its rows name, and apply all of its changes to the document table (identity ``path``)."""
+    its rows name, and apply all of its changes to the document table (identity ``path``).
+
+    The work list is written once, as it is read four times."""
+    work = cut_lineage(work, "work")
     items = content.join(
         work.filter("action <> 'deleted'").select("path", "url", "roles", "file_type", "handler"),
         "path",

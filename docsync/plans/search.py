@@ -55,22 +55,20 @@ def index_for_words(
 
 
 def write_index(index: TextIndex, folder: str) -> None:
-    """Write postings and statistics. Postings are range-partitioned by (field, term, document), so
-    a frequent term spreads over files, and sorted, so a query reads only its terms' row groups.
-    Write to a new folder per snapshot version and publish that version afterwards."""
-    order = ["field", "term", "doc_key"]
+    """Write postings and statistics, each sorted by (field, term) inside its files, so that a query
+    reads only the row groups of its terms.
+
+    The one shuffle of the postings is a rebalance: terms stay together while they are small, and
+    the postings of a very frequent term are split over several tasks and files. Write to a new
+    folder per snapshot version and publish that version afterwards."""
+    by_term = ["field", "term"]
     (
-        index.postings.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        index.postings.hint("rebalance", *by_term)
+        .sortWithinPartitions(*by_term, "doc_key")
         .write.parquet(f"{folder}/postings")
     )
     stored = index.postings.sparkSession.read.parquet(f"{folder}/postings")
-    (
-        ix.term_stats(stored)
-        .repartitionByRange("field", "term")
-        .sortWithinPartitions("field", "term")
-        .write.parquet(f"{folder}/term_stats")
-    )
+    ix.term_stats(stored).sortWithinPartitions(*by_term).write.parquet(f"{folder}/term_stats")
 
 
 def read_index(spark: SparkSession, folder: str, docs: DataFrame, key: str) -> TextIndex:

@@ -2,36 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync.functions import paths, urls
 from docsync.schema import FILE_TYPES, check_file_types
-from docsync.session import config_frame
-
-
-def list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None = None) -> DataFrame:
+from docsync.session import config_frame, cut_lineage
+
+
+# Entries handed to Spark at a time while one folder is read.
+CHUNK = 10_000
+
+ENTRIES = "uri string, path string, is_dir boolean, length bigint, modified timestamp"
+
+
+def _folder_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Function for the tasks, nested so that it travels with the job."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Direct entries of each folder of a batch; a folder that is gone by now has none."""
+        for frame in frames:
+            for uri in frame["uri"]:
+                system, folder = fs.FileSystem.from_uri(uri)
+                prefix = uri[: -len(folder)] if uri.endswith(folder) else ""
+                entries = [
+                    e
+                    for e in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+                    # Linked folders would be walked twice, or for ever.
+                    if e.is_file or not (system.type_name == "local" and os.path.islink(e.path))
+                ]
+                for start in range(0, len(entries), CHUNK):
+                    part = entries[start : start + CHUNK]
+                    yield pd.DataFrame(
+                        {
+                            "uri": [prefix + e.path for e in part],
+                            "path": [e.path for e in part],
+                            "is_dir": [not e.is_file for e in part],
+                            "length": [e.size or 0 for e in part],
+                            "modified": pd.to_datetime(
+                                [e.mtime_ns // 1000 for e in part], unit="us", utc=True
+                            ),
+                        }
+                    )
+
+    return read
+
+
+def list_files(
+    spark: SparkSession, root: str | Sequence[str], glob: str | None = None,
+    excluded_dirs: Sequence[str] = (),
+) -> DataFrame:
     """``files(path, name, dir, ext, length, modified)`` for every file below the root(s).
 
-    File contents are never read: the column is pruned from the scan. For collections too large to
-    list from one driver, pass a table of the same shape (a storage inventory) to the operators
-    instead.
+    The tree is walked level by level: the folders of a level are spread over the cluster, each task
+    lists some of them, and the entries go to the shared folder, not to the driver. Excluded folders
+    are not entered. Contents are never read.
+
+    Spark's own file sources are no substitute: they leave out empty files and names that start with
+    a dot or an underscore, and such files would then count as deleted.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root if isinstance(root, str) else list(root))
-    path = F.regexp_replace("path", r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    return listed.select(
-        path.alias("path"),
-        paths.name_of(path).alias("name"),
-        paths.folder_of(path).alias("dir"),
-        paths.extension_of(path).alias("ext"),
-        F.col("length"),
-        F.col("modificationTime").alias("modified"),
+    roots = [(r.rstrip("/") or "/",) for r in ([root] if isinstance(root, str) else root)]
+    tasks = spark.sparkContext.defaultParallelism
+    folders = config_frame(spark, roots, "uri string")
+    found: list[DataFrame] = []
+    while not folders.isEmpty():
+        level = cut_lineage(
+            folders.repartition(tasks, "uri").mapInPandas(_folder_reader(), ENTRIES), "listing"
+        )
+        found.append(level.filter("not is_dir"))
+        inside = level.filter("is_dir")
+        if excluded_dirs:
+            inside = inside.filter(~excluded(F.col("path"), excluded_dirs))
+        folders = inside.select("uri")
+    listed = reduce(DataFrame.union, found).select(
+        "path",
+        paths.name_of(F.col("path")).alias("name"),
+        paths.folder_of(F.col("path")).alias("dir"),
+        paths.extension_of(F.col("path")).alias("ext"),
+        "length",
+        "modified",
     )
+    if glob is None:
+        return listed
+    pattern = re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".")
+    return listed.filter(F.col("name").rlike(rf"(?s)\A{pattern}\z"))
 
 
 def excluded(folder: Column, excluded_dirs: Sequence[str]) -> Column:

@@ -93,21 +93,23 @@ def _certain_openers(points: DataFrame, keys: list[str], gap: int, cell: int) ->
 
 def _openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> DataFrame:
     """``(keys, _t)``: every point that opens a window."""
-    certain = cut_lineage(_certain_openers(points, keys, gap, cell), "debounce")
-    at_dst = certain.withColumnRenamed("_t", "_dst")
+    found = cut_lineage(_certain_openers(points, keys, gap, cell), "debounce")
+    at_dst = found.withColumnRenamed("_t", "_dst")
     hops = _next_openers(points, keys, gap, cell).join(at_dst, [*keys, "_dst"], "left_anti")
-    found = reached = certain
+    hops = cut_lineage(hops.select(*keys, "_src", "_dst"), "debounce")
     while True:
-        hops = cut_lineage(hops, "debounce")
-        step = reached.withColumnRenamed("_t", "_src").join(hops, [*keys, "_src"])
-        new = cut_lineage(step.select(*keys, F.col("_dst").alias("_t")), "debounce")
+        new = found.withColumnRenamed("_t", "_src").join(hops, [*keys, "_src"])
+        new = new.select(*keys, F.lit(None).cast("bigint").alias("_src"), "_dst")
+        onward = hops.select(*keys, F.col("_src").alias("_dst"), F.col("_dst").alias("_next"))
+        doubled = hops.join(onward, [*keys, "_dst"])
+        doubled = doubled.select(*keys, "_src", F.col("_next").alias("_dst"))
+        # One write per round holds both: openers just found have no source.
+        round_ = cut_lineage(new.unionByName(doubled), "debounce")
+        new = round_.filter("_src is null").select(*keys, F.col("_dst").alias("_t"))
         if new.isEmpty():
             return found
-        found = reached = found.unionByName(new)
-        onward = hops.select(*keys, F.col("_src").alias("_dst"), F.col("_dst").alias("_next"))
-        hops = hops.join(onward, [*keys, "_dst"]).select(
-            *keys, "_src", F.col("_next").alias("_dst")
-        )
+        found = found.unionByName(new)
+        hops = round_.filter("_src is not null")
 
 
 def debounce_events(

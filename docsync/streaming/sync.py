@@ -19,25 +19,27 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 def changes_of_batch(
-    events: DataFrame, content: DataFrame, handlers: Mapping[str, Handler], webs: Sequence[tuple],
+    events: DataFrame, content: Callable[[DataFrame], DataFrame], handlers: Mapping[str, Handler], webs: Sequence[tuple],
     file_types: Sequence[tuple], dispatch: Sequence[tuple], checks: Mapping | None = None,
-    index: DataFrame | None = None,
+    listing: DataFrame | None = None, index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(changes, errors)`` for one batch of events.
 
-    ``content`` has ``path`` and what the handlers read; ``handlers`` maps handler names to
-    functions from items to documents (identity ``path``). Changes are documents with the marks a
+    ``content`` is called with the paths to be mapped and returns rows with ``path`` and what the
+    handlers read; it may return more than was asked for, or read only the folders concerned.
+    ``handlers`` maps handler names to functions from items to documents (identity ``path``). Changes are documents with the marks a
     delta needs; a created or changed item whose path is no longer in ``content`` counts as
     deleted. Documents that fail a check go to ``errors`` and leave the table as it was.
     """
-    if index is not None:
-        listing = content.select("path", F.regexp_replace("path", r"/[^/]*\z", "").alias("dir"))
-        events = events.unionByName(folder_events(events, listing, index.select("path", "dir")))
+    if listing is not None and index is not None:
+        # The folder events of one batch; the files below come from the listing and the table.
+        events = events.unionByName(folder_events(events, listing, index))
     routed = route_events(events, webs, file_types, dispatch)
     work = cut_lineage(latest_event(routed, ["path"]), "work")
     to_map = work.filter("action <> 'deleted'")
-    # Content is matched by path once per handler that the batch needs.
-    items = content.join(to_map.select("path", "url", "web", "file_type", "handler"), "path")
+    wanted = to_map.select("path", "url", "web", "file_type", "handler")
+    # Read once: the handlers, the errors and the check for missing files all start from here.
+    items = cut_lineage(content(wanted.select("path")).join(wanted, "path"), "items")
     mapped = [
         handler(items.filter(F.col("handler") == name)) for name, handler in handlers.items()
     ]
@@ -46,7 +48,7 @@ def changes_of_batch(
     gone = (
         work.filter("action = 'deleted'")
         .select("path")
-        .union(to_map.select("path").join(content.select("path"), "path", "left_anti"))
+        .union(to_map.select("path").join(items.select("path"), "path", "left_anti"))
         .distinct()
     )
     changes = ok.withColumn("is_deleted", F.lit(False)).unionByName(
@@ -57,24 +59,25 @@ def changes_of_batch(
 
 
 def sync_stream(
-    events: DataFrame, root: str, checkpoint: str, content: Callable[[], DataFrame],
+    events: DataFrame, root: str, checkpoint: str, content: Callable[[DataFrame], DataFrame],
     handlers: Mapping[str, Handler], webs: Sequence[tuple], file_types: Sequence[tuple],
     dispatch: Sequence[tuple], checks: Mapping | None = None,
-    index: Callable[[], DataFrame] | None = None, trigger: Mapping | None = None,
+    folders: Callable[[], tuple[DataFrame, DataFrame]] | None = None, trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Keep the snapshot below ``root`` in step with an event stream.
 
     Each micro-batch becomes delta ``v = batch id``. A batch that is repeated after a failure finds
-    its delta published and does nothing. ``content`` and ``index`` are called per batch so that
-    they see the current state.
+    its delta published and does nothing. ``content`` is called per batch (see
+    ``changes_of_batch``); so is ``folders``, which returns the current listing and indexed
+    documents as (path, dir) and is needed only where folder events occur.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if is_published(batch.sparkSession, root, "delta", batch_id):
             return
         changes, errors = changes_of_batch(
-            batch, content(), handlers, webs, file_types, dispatch, checks,
-            index() if index else None,
+            batch, content, handlers, webs, file_types, dispatch, checks,
+            *(folders() if folders else ()),
         )
         errors.write.mode("overwrite").parquet(f"{root}/errors/v={batch_id}")
         write_delta(changes, root, batch_id)
