@@ -32,6 +32,7 @@ DISPATCH = [
     ("office", "changed", "index_office"),
 ]
 WEB = ("intranet", "/", "https://intranet.example.com", r"^/src[0-9]+/")
+SHOP = ("shop", "/", "https://shop.example.com/s/", r"\.html$")
 GROUPS = "g1;g3;g9"
 
 PAGE_SPECS = [
@@ -180,12 +181,12 @@ def _change_type() -> Column:
 
 
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file event per row of ``events``; the user names the file."""
+    """One file event per row of ``events``; the user names the file, and with it the web."""
     folder = (F.col("user_id") % 20).cast("string")
     return table(spark, sf_dir, "events", "event_id").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
-        F.lit(WEB[0]).alias("web"),
+        F.when(F.col("user_id") % 2 == 0, WEB[0]).otherwise(SHOP[0]).alias("web"),
         F.concat(
             F.lit("/src"), folder, F.lit("/"), F.col("user_id").cast("string"), F.lit(".html")
         ).alias("path"),

@@ -162,11 +162,13 @@ _RANKING = "WITH " + _FILES + "," + _POSTINGS + "," + _CLAUSES + "," + _SCORED
 
 _EVENTS = """
 change_events AS (
-  SELECT event_id, ts, 'intranet' AS web, concat('/src', user_id % 20, '/', user_id, '.html') AS path,
+  SELECT event_id, ts, CASE user_id % 2 WHEN 0 THEN 'intranet' ELSE 'shop' END AS web,
+    concat('/src', user_id % 20, '/', user_id, '.html') AS path,
     CASE event_type WHEN 'signup' THEN 'Created' WHEN 'view' THEN 'Changed' WHEN 'click' THEN 'Changed'
          WHEN 'error' THEN 'Deleted' ELSE 'Other' END AS change_type FROM events),
 routed AS (
-  SELECT event_id, ts, web, path, 'https://intranet.example.com' || path AS url, 'page' AS file_type,
+  SELECT event_id, ts, web, path, 'page' AS file_type,
+    CASE web WHEN 'intranet' THEN 'https://intranet.example.com' ELSE 'https://shop.example.com/s' END || path AS url,
     lower(change_type) AS action,
     CASE WHEN change_type = 'Deleted' THEN 'remove' ELSE 'index_page' END AS handler
   FROM change_events WHERE change_type <> 'Other')"""

@@ -23,6 +23,7 @@ from docsync.streaming import debounce, events, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WEBS = [inputs.WEB, inputs.SHOP]
 WORDS = ["the", "and"]
 FIELDS = ["title", "content"]
 BOOSTS = {"title": 2.0}
@@ -486,7 +487,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.route_events(
-        inputs.change_events(spark, sf_dir), [inputs.WEB], inputs.FILE_TYPES, inputs.DISPATCH
+        inputs.change_events(spark, sf_dir), WEBS, inputs.FILE_TYPES, inputs.DISPATCH
     )
 
 
@@ -553,7 +554,7 @@ def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     query = sync.sync_stream(
         stream, root, shared_folder(spark, "sync-checkpoint"),
-        lambda wanted: _sync_content(spark, sf_dir), {"index_page": as_document}, [inputs.WEB],
+        lambda wanted: _sync_content(spark, sf_dir), {"index_page": as_document}, WEBS,
         inputs.FILE_TYPES, inputs.DISPATCH,
     )
     query.awaitTermination()
