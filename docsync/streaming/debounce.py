@@ -1,8 +1,8 @@
 """Debouncing: the first event of a key opens a window, later ones join it until it is due.
 
-Which events open windows depends on all earlier ones, so the obvious form folds each key's events
-in order. One key may hold a third of all events, so the batch form never gathers a key. It works on
-*openers*: every event points to the event that would open the next window if it opened one itself,
+Which events open windows depends on all earlier ones of the key. A key with few moments is folded in
+order, inside one row. One key may also hold a third of all events; such keys are never gathered.
+For them every event points to the event that would open the next window if it opened one itself,
 and following those pointers from events that open a window for certain finds all the others.
 Pointers are doubled each round, so a chain of a million windows takes twenty rounds.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,9 +21,14 @@ from docsync.session import cut_lineage
 
 KEYS = ("handler", "web", "path")
 
+# A key with at most this many different moments is folded in one row.
+FOLD_LIMIT = 1000
+
 # Time is cut into cells, and cells into blocks of this many; a block is at least one gap long.
 CELLS = 1024
 
+WINDOW = "struct<opened:bigint,n:bigint,last:bigint>"
+
 
 def _micros(gap: timedelta) -> int:
     micros = gap // timedelta(microseconds=1)
@@ -32,7 +37,43 @@ def _micros(gap: timedelta) -> int:
     return micros
 
 
-def _next_openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> DataFrame:
+def _start(moment: Column, length: int) -> Column:
+    """Start of the stretch of ``length`` microseconds a moment lies in."""
+    return moment - F.pmod(moment, F.lit(length).cast("bigint"))
+
+
+def _folded(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Windows ``(keys, opened, n, last)`` of keys with at most ``FOLD_LIMIT`` moments each."""
+    closed_and_open = F.struct(
+        F.array().cast(f"array<{WINDOW}>").alias("closed"), F.lit(None).cast(WINDOW).alias("open")
+    )
+
+    def step(state: Column, point: Column) -> Column:
+        window = state["open"]
+        joins = window.isNotNull() & (point["_t"] < window["opened"] + gap)
+        joined = F.struct(
+            window["opened"].alias("opened"), (window["n"] + point["_n"]).alias("n"),
+            point["_last"].alias("last"),
+        )
+        opened = F.struct(
+            point["_t"].alias("opened"), point["_n"].alias("n"), point["_last"].alias("last")
+        )
+        closed = F.when(joins | window.isNull(), state["closed"]).otherwise(
+            F.concat(state["closed"], F.array(window))
+        )
+        return F.struct(closed.alias("closed"), F.when(joins, joined).otherwise(opened).alias("open"))
+
+    in_order = F.sort_array(F.collect_list(F.struct("_t", "_n", "_last")))
+    windows = F.aggregate(
+        "_points", closed_and_open, step, lambda s: F.concat(s["closed"], F.array(s["open"]))
+    )
+    rows = points.groupBy(*keys).agg(in_order.alias("_points"))
+    return rows.select(*keys, F.inline(windows))
+
+
+def _next_openers(
+    points: DataFrame, blocks: DataFrame, keys: list[str], gap: int, cell: int
+) -> DataFrame:
     """``(keys, _src, _dst)``: for each point the first point at least ``gap`` later, as far as the
     end of the block after the one ``_src + gap`` falls in; beyond that a point opens for certain.
 
@@ -40,11 +81,11 @@ def _next_openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> Da
     (at most ``CELLS`` rows).
     """
     asked = points.select(
-        *keys, F.explode(F.array(
+        *keys, F.inline(F.array(
             F.struct(F.col("_t").alias("_x"), F.lit(None).cast("bigint").alias("_src")),
             F.struct((F.col("_t") + gap).alias("_x"), F.col("_t").alias("_src")),
-        )).alias("_row")
-    ).select(*keys, "_row._x", "_row._src", F.floor(F.col("_row._x") / cell).alias("_cell"))
+        ))
+    ).withColumn("_cell", _start(F.col("_x"), cell))
     point_x = F.when(F.col("_src").isNull(), F.col("_x"))
     # Latest first, points before questions at the same moment: the running minimum is the answer.
     later_in_cell = (
@@ -56,17 +97,19 @@ def _next_openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> Da
     cells = (
         asked.groupBy(*keys, "_cell")
         .agg(F.min(point_x).alias("_first"))
-        .withColumn("_block", F.floor(F.col("_cell") / CELLS))
+        .withColumn("_block", _start(F.col("_cell"), cell * CELLS))
     )
     later_in_block = (
         Window.partitionBy(*keys, "_block")
         .orderBy(F.desc("_cell"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = cells.groupBy(*keys, "_block").agg(F.min("_first").alias("_next_first"))
+    next_block = blocks.select(
+        *keys, (F.col("_block") - cell * CELLS).alias("_block"), F.col("_first").alias("_next_first")
+    )
     after = (
         cells.withColumn("_after", F.min("_first").over(later_in_block))
-        .join(blocks.withColumn("_block", F.col("_block") - 1), [*keys, "_block"], "left")
+        .join(next_block, [*keys, "_block"], "left")
         .select(*keys, "_cell", F.coalesce("_after", "_next_first").alias("_after"))
     )
     return (
@@ -77,26 +120,26 @@ def _next_openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> Da
     )
 
 
-def _certain_openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> DataFrame:
-    """``(keys, _t)``: first points of their block with no point in the ``gap`` before them."""
-    blocks = (
-        points.groupBy(*keys, F.floor(F.col("_t") / (cell * CELLS)).alias("_block"))
-        .agg(F.min("_t").alias("_t"), F.max("_t").alias("_last"))
-    )
-    before = blocks.select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_last").alias("_prev"))
-    return (
-        blocks.join(before, [*keys, "_block"], "left")
-        .filter(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap))
-        .select(*keys, "_t")
-    )
-
-
 def _openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> DataFrame:
     """``(keys, _t)``: every point that opens a window."""
-    found = cut_lineage(_certain_openers(points, keys, gap, cell), "debounce")
+    blocks = cut_lineage(
+        points.groupBy(*keys, _start(F.col("_t"), cell * CELLS).alias("_block")).agg(
+            F.min("_t").alias("_first"), F.max("_t").alias("_last")
+        ),
+        "debounce",
+    )
+    # Certain: the first point of a block, with no point in the gap before it.
+    before = blocks.select(
+        *keys, (F.col("_block") + cell * CELLS).alias("_block"), F.col("_last").alias("_prev")
+    )
+    certain = blocks.join(before, [*keys, "_block"], "left").filter(
+        F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") >= gap)
+    )
+    found = cut_lineage(certain.select(*keys, F.col("_first").alias("_t")), "debounce")
     at_dst = found.withColumnRenamed("_t", "_dst")
-    hops = _next_openers(points, keys, gap, cell).join(at_dst, [*keys, "_dst"], "left_anti")
-    hops = cut_lineage(hops.select(*keys, "_src", "_dst"), "debounce")
+    hops = _next_openers(points, blocks, keys, gap, cell)
+    hops = cut_lineage(hops.join(at_dst, [*keys, "_dst"], "left_anti"), "debounce")
+    hops = hops.select(*keys, "_src", "_dst")
     while True:
         new = found.withColumnRenamed("_t", "_src").join(hops, [*keys, "_src"])
         new = new.select(*keys, F.lit(None).cast("bigint").alias("_src"), "_dst")
@@ -104,12 +147,32 @@ def _openers(points: DataFrame, keys: list[str], gap: int, cell: int) -> DataFra
         doubled = hops.join(onward, [*keys, "_dst"])
         doubled = doubled.select(*keys, "_src", F.col("_next").alias("_dst"))
         # One write per round holds both: openers just found have no source.
-        round_ = cut_lineage(new.unionByName(doubled), "debounce")
-        new = round_.filter("_src is null").select(*keys, F.col("_dst").alias("_t"))
+        both = cut_lineage(new.unionByName(doubled), "debounce")
+        new = both.filter("_src is null").select(*keys, F.col("_dst").alias("_t"))
         if new.isEmpty():
             return found
         found = found.unionByName(new)
-        hops = round_.filter("_src is not null")
+        hops = both.filter("_src is not null")
+
+
+def _pointed(points: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Windows ``(keys, opened, n, last)`` of keys of any size."""
+    cell = -(-gap // CELLS)
+    block = cell * CELLS
+    first_block = _start(F.col("_t"), block)
+    windows = _openers(points.select(*keys, "_t"), keys, gap, cell).select(
+        *keys,
+        F.col("_t").alias("opened"),
+        # A window reaches into the block it opens in and the one after.
+        F.explode(F.array(first_block, first_block + block)).alias("_block"),
+    )
+    return (
+        points.withColumn("_block", _start(F.col("_t"), block))
+        .join(windows, [*keys, "_block"])
+        .filter((F.col("opened") <= F.col("_t")) & (F.col("_t") < F.col("opened") + gap))
+        .groupBy(*keys, "opened")
+        .agg(F.sum("_n").alias("n"), F.max_by("_last", "_t").alias("last"))
+    )
 
 
 def debounce_events(
@@ -122,34 +185,27 @@ def debounce_events(
     runs at ``due`` and sees the latest state. ``events`` has the keys, ``ts`` and ``event_id``.
     """
     keys, gap_us = list(keys), _micros(gap)
-    cell = -(-gap_us // CELLS)
+    # Events of one key at one moment count as one point from here on.
     points = cut_lineage(
         events.groupBy(*keys, F.unix_micros("ts").alias("_t")).agg(
             F.count("*").alias("_n"), F.max("event_id").alias("_last")
         ),
         "debounce",
     )
-    times = points.select(*keys, "_t")
-    block = cell * CELLS
-    windows = _openers(times, keys, gap_us, cell).select(
-        *keys,
-        F.col("_t").alias("_opened"),
-        # A window reaches into the block it opens in and the one after.
-        F.explode(F.array(F.floor(F.col("_t") / block), F.floor(F.col("_t") / block) + 1)).alias("_block"),
-    )
-    return (
-        points.withColumn("_block", F.floor(F.col("_t") / block))
-        .join(windows, [*keys, "_block"])
-        .filter((F.col("_opened") <= F.col("_t")) & (F.col("_t") < F.col("_opened") + gap_us))
-        .groupBy(*keys, "_opened")
-        .agg(F.sum("_n").alias("n_events"), F.max(F.struct("_t", "_last"))["_last"].alias("last_event"))
-        .select(
-            *keys,
-            F.timestamp_micros("_opened").alias("opened"),
-            F.timestamp_micros(F.col("_opened") + gap_us).alias("due"),
-            "n_events",
-            "last_event",
+    counted = points.groupBy(*keys).agg(F.count("*").alias("_moments"))
+    large = cut_lineage(counted.filter(F.col("_moments") > FOLD_LIMIT).select(*keys), "debounce")
+    if large.isEmpty():
+        windows = _folded(points, keys, gap_us)
+    else:
+        windows = _folded(points.join(large, keys, "left_anti"), keys, gap_us).unionByName(
+            _pointed(cut_lineage(points.join(large, keys, "left_semi"), "debounce"), keys, gap_us)
         )
+    return windows.select(
+        *keys,
+        F.timestamp_micros("opened").alias("opened"),
+        F.timestamp_micros(F.col("opened") + gap_us).alias("due"),
+        F.col("n").alias("n_events"),
+        F.col("last").alias("last_event"),
     )
 
 

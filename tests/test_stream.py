@@ -76,13 +76,16 @@ def random_events(seed, spread, n):
         micros = rng.choice([
             rng.randrange(spread), rng.randrange(spread) // 7 * 7, rng.randrange(spread) // 1024 * 1024,
             rng.randrange(max(1, spread // 50))])
-        rows.append((key, micros, i))
+        # Moments before 1970 as well.
+        rows.append((key, micros - spread // 3, i))
     return rows
 
 
-@pytest.mark.parametrize("gap_us, spread", [(1, 300), (7, 300), (1024, 40_000), (1500, 300_000), (5_000_000, 10**9),
-                                            (10_000_000, 10**7)])
-def test_debounce_against_brute_force(frame, gap_us, spread):
+@pytest.mark.parametrize("gap_us, spread", [(7, 300), (1500, 300_000), (5_000_000, 10**9), (10_000_000, 10**7)])
+@pytest.mark.parametrize("fold_limit", [0, 100, 1000])
+def test_debounce_against_brute_force(frame, monkeypatch, gap_us, spread, fold_limit):
+    """All keys by pointers, small keys folded and the hot one by pointers, all keys folded."""
+    monkeypatch.setattr(debounce, "FOLD_LIMIT", fold_limit)
     made = random_events(gap_us, spread, 600)
     df = frame([(k, t, i) for k, t, i in made], "path string, t bigint, event_id bigint").select(
         "path", F.timestamp_micros("t").alias("ts"), "event_id")
