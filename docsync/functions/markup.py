@@ -25,12 +25,20 @@ def _tag_name(tag: str) -> str:
     return tag
 
 
-def _markup_for(html: Column, tag: str) -> Column:
-    """Markup in which text inside comments and scripts cannot be mistaken for elements."""
-    html = F.regexp_replace(html, COMMENT, "")
-    if tag.lower() in ("script", "style"):
+def readable(html: Column) -> Column:
+    """Markup without comments, scripts and styles, whose text could be mistaken for elements.
+
+    Attach it once where several values are taken from the same page, and pass ``is_readable``.
+    """
+    return F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN, "")
+
+
+def _markup_for(html: Column, tag: str, is_readable: bool) -> Column:
+    if is_readable:
         return html
-    return F.regexp_replace(html, HIDDEN, "")
+    if tag.lower() in ("script", "style"):
+        return F.regexp_replace(html, COMMENT, "")
+    return readable(html)
 
 
 def strip_tags(html: Column) -> Column:
@@ -49,12 +57,13 @@ def attribute_of(open_tag: Column, attr: str) -> Column:
 
 
 def first_attribute(
-    html: Column, tag: str, attr: str, where: tuple[str, str] | None = None
+    html: Column, tag: str, attr: str, where: tuple[str, str] | None = None,
+    is_readable: bool = False,
 ) -> Column:
     """Decoded attribute of the first ``tag`` element, or of the first one whose attribute
     ``where[0]`` equals ``where[1]``. Null when there is no such element or attribute."""
     pattern = rf"(?is)<{_tag_name(tag)}(?:\s[^>]*)?>"
-    markup = _markup_for(html, tag)
+    markup = _markup_for(html, tag, is_readable)
     if where is None:
         open_tag = F.regexp_extract(markup, pattern, 0)
     else:
@@ -63,14 +72,14 @@ def first_attribute(
     return decode_entities(attribute_of(open_tag, attr))
 
 
-def element_texts(html: Column, tag: str) -> Column:
+def element_texts(html: Column, tag: str, is_readable: bool = False) -> Column:
     """Array with the cleaned text of every ``tag`` element, in page order."""
     tag = _tag_name(tag)
     pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-    inner = F.regexp_extract_all(_markup_for(html, tag), F.lit(pattern), F.lit(1))
+    inner = F.regexp_extract_all(_markup_for(html, tag, is_readable), F.lit(pattern), F.lit(1))
     return F.transform(inner, lambda x: decode_entities(normalise_lines(strip_tags(x))))
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(html: Column, is_readable: bool = False) -> Column:
     """Text of a whole page without scripts, styles and comments."""
-    return decode_entities(normalise_lines(strip_tags(_markup_for(html, "body"))))
+    return decode_entities(normalise_lines(strip_tags(html if is_readable else readable(html))))

@@ -17,7 +17,10 @@ from docsync.functions.values import conditional_value, info_member
 from docsync.schema import FieldSpec, Task, check_specs
 
 # Input columns each kind of source reads.
-PROPS, HTML, PAGE, TEXT, URL = "props", "html", "html", "text", "url"
+PROPS, HTML, TEXT, URL = "props", "html", "text", "url"
+
+# The page without comments and scripts: computed once, however many fields are taken from it.
+READABLE = "_readable"
 
 # Shape of the values of one document before they become rows.
 ROWS = "array<struct<field:string,pos:int,value:string,boost:double>>"
@@ -48,13 +51,26 @@ def _source_value(spec: FieldSpec) -> Column:
     if spec.source == "doc_content":
         return F.col(TEXT)
     if spec.source == "file_content":
-        return markup.first_attribute(F.col(HTML), spec.tag, spec.member)
-    texts = markup.element_texts(F.col(PAGE), spec.tag)
-    if spec.multi:
-        return texts
-    if spec.tag.lower() in ("body", "html"):
-        return markup.visible_text(F.col(PAGE))
-    return F.get(texts, F.lit(0))
+        return markup.first_attribute(*_page(spec), spec.member, is_readable=_is_readable(spec))
+    if spec.tag.lower() in ("body", "html") and not spec.multi:
+        return markup.visible_text(F.col(READABLE), is_readable=True)
+    texts = markup.element_texts(*_page(spec), is_readable=_is_readable(spec))
+    return texts if spec.multi else F.get(texts, F.lit(0))
+
+
+def _is_readable(spec: FieldSpec) -> bool:
+    """Scripts and styles themselves are read from the page as it is."""
+    return spec.tag.lower() not in ("script", "style")
+
+
+def _page(spec: FieldSpec) -> tuple[Column, str]:
+    return F.col(READABLE if _is_readable(spec) else HTML), spec.tag
+
+
+def _prepared(items: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
+    if any(s.source in ("file_content", "page_content") for s in specs):
+        return items.withColumn(READABLE, markup.readable(F.col(HTML)))
+    return items
 
 
 def apply_task(value: Column, task: Task, operand: Column) -> Column:
@@ -93,14 +109,14 @@ def map_fields(items: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     """Documents of one file type: one column per stored field, variables dropped, null where a
     field is absent."""
     fields, _ = field_columns(check_specs(specs))
-    return items.select(*(value.alias(name) for name, value in fields.items()))
+    return _prepared(items, specs).select(*(v.alias(name) for name, v in fields.items()))
 
 
 def with_variables(items: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
     """The items with every field *and* variable attached, for inspection of a mapping; drop the
     variables with ``drop_variables`` before storing."""
     fields, variables = field_columns(check_specs(specs))
-    return items.withColumns({**variables, **fields})
+    return _prepared(items, specs).withColumns({**variables, **fields}).drop(READABLE)
 
 
 def drop_variables(docs: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
