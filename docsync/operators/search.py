@@ -6,12 +6,12 @@ reaches the Parquet scan when the postings are stored, and only what is left is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsync.functions.text import tokenize as tokenize_text
 from docsync.schema import CLAUSES, Clause, check_clauses
 from docsync.session import MAX_CONFIG_ROWS, config_frame
 
@@ -73,8 +73,6 @@ def word_clauses(
 
 def query_words(text: str) -> list[str]:
     """Words of a user's query text, split as the tokeniser splits documents."""
-    import re
-
     # What is left of \w without the underscore: letters and digits of any script.
     return list(dict.fromkeys(w for w in re.split(r"[\W_]+", text.lower()) if w))
 
@@ -201,9 +199,3 @@ def fetch_fields(
         hits = F.broadcast(hits)
     stored = docs.select(F.col(key).cast("string").alias("doc_key"), *fields)
     return stored.join(hits, "doc_key")
-
-
-__all__ = [
-    "bool_query", "fetch_fields", "multi_field_query", "query_words", "score", "score_words",
-    "term_query", "tokenize_text", "top_k", "total_hits", "word_clauses",
-]

@@ -15,9 +15,10 @@ from docsync.functions import markup, text, values
 from docsync.operators import access, changes, content, mapping, search as se, store
 from docsync.operators import index as ix
 from docsync.plans import inputs
-from docsync.plans.search import TextIndex, build_index, index_for_words, search
+from docsync.plans.reconcile import with_eligible
+from docsync.plans.search import TextIndex, index_for_words, search
 from docsync.schema import Clause, FieldSpec, Task
-from docsync.session import cut_lineage, shared_folder
+from docsync.session import shared_folder
 from docsync.sources import files, quarantine as qu, snapshots
 from docsync.streaming import debounce, events, sync
 
@@ -265,8 +266,6 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docsync.plans.reconcile import with_eligible
-
     return with_eligible(inputs.listing(spark, sf_dir), inputs.EXCLUDED, inputs.FILE_TYPES)
 
 
@@ -581,5 +580,3 @@ QUERIES: dict[str, Query] = {
     )
 }
 QUERIES["search"] = search_documents
-
-__all__ = ["QUERIES", "build_index", "cut_lineage", "search_documents"]

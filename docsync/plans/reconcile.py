@@ -71,7 +71,8 @@ def reconcile(
     """``(next documents, errors)``: map the created and changed items of a sweep with the handlers
     its rows name, and apply all of its changes to the document table (identity ``path``).
 
-    The work list is written once, as it is read four times."""
+    The work list and the mapped documents are written once to the shared folder: both are read
+    several times, and extraction is the expensive part."""
     work = cut_lineage(work, "work")
     items = content.join(
         work.filter("action <> 'deleted'").select("path", "url", "roles", "file_type", "handler"),
@@ -81,5 +82,6 @@ def reconcile(
     for name, handler in handlers.items():
         part = handler(items.filter(F.col("handler") == name))
         mapped = part if mapped is None else mapped.unionByName(part, allowMissingColumns=True)
+    mapped = cut_lineage(mapped, "mapped")
     ok, errors = quarantine(mapped, {**identity_checks(["path"]), **(checks or {})})
     return apply_changes(docs, work.select("path", "action"), ok, ["path"], version), errors

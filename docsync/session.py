@@ -9,11 +9,13 @@ from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 # Configuration held as Python rows may not exceed this; more belongs in a table.
 MAX_CONFIG_ROWS = 10_000
+MAX_CONFIG_BYTES = 8 << 20
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,12 +66,13 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Configuration rows as a local relation. Spark knows its exact size, so it joins by
-    broadcast when, and only when, the rows fit under the broadcast threshold."""
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"{len(rows)} configuration rows; keep them in a table instead")
+    """Configuration rows as a local relation, to be joined by broadcast. Both limits are checked
+    here, so the broadcast has a size bound whatever the data."""
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
     columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
+    table = pa.Table.from_arrays(arrays, schema=arrow)
+    if len(rows) > MAX_CONFIG_ROWS or table.nbytes > MAX_CONFIG_BYTES:
+        raise ValueError(f"{len(rows)} rows, {table.nbytes} bytes: keep them in a table instead")
+    return F.broadcast(spark.createDataFrame(table, schema=struct))

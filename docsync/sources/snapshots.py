@@ -2,22 +2,25 @@
 
 Layout below one root::
 
-    base/v=N/     full document table, partitioned by document type
-    delta/v=N/    changed documents and delete marks of one batch
-    manifest/v=N/ one row: version, kind, folded, stamps
+    base/v=N-.../  full document table, partitioned by document type or bucketed by identity
+    delta/v=N-.../ changed documents and delete marks of one batch
+    manifest/...   one row per version: kind, folder, what it folds in, schema, buckets, stamps
 
-Data files are written first and the manifest row last, so a failed or repeated write is never
-seen. A base folds in every delta up to ``folded``; later deltas are laid over it when reading.
+Every attempt writes to a folder of its own and the manifest row comes last, so a failed or repeated
+write is never seen. A base folds in every delta up to ``folded``; later deltas are laid over it when
+reading.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,18 +28,17 @@ from docsync.operators.store import delete_docs, latest_per_identity
 from docsync.session import config_frame
 
 MANIFEST = (
-    "version bigint, kind string, folded bigint, schema string, "
-    "stamps array<struct<index: string, stamp: timestamp>>"
+    "version bigint, kind string, folder string, folded bigint, schema string, "
+    "buckets int, bucketed_by array<string>, stamps array<struct<index: string, stamp: timestamp>>"
 )
 
-
 # Columns a delta has besides those of the documents.
 MARKS = ("is_deleted", "changed_at", "change_id")
 
 
-def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+def _manifest(spark: SparkSession, root: str, rows: str = "v=*") -> DataFrame | None:
     try:
-        return spark.read.schema(MANIFEST).json(f"{root}/manifest/v=*")
+        return spark.read.schema(MANIFEST).json(f"{root}/manifest/{rows}")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in (missing.getCondition() or ""):
             return None
@@ -44,35 +46,57 @@ def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def is_published(spark: SparkSession, root: str, kind: str, version: int) -> bool:
-    """True when the version's manifest row exists."""
-    rows = _manifest(spark, root)
-    if rows is None:
-        return False
-    return not rows.filter((F.col("kind") == kind) & (F.col("version") == version)).isEmpty()
+    """True when the version's manifest row exists; looks at that row only."""
+    row = _manifest(spark, root, f"v={kind}-{version}")
+    return row is not None and not row.isEmpty()
 
 
-def _publish(
-    spark: SparkSession, root: str, kind: str, version: int, folded: int, schema: str,
-    stamps: Mapping[str, datetime],
-) -> None:
-    row = (version, kind, folded, schema, [{"index": k, "stamp": v} for k, v in stamps.items()])
+def _publish(spark: SparkSession, root: str, row: Row) -> None:
     # A single small file: its rename into place is the commit.
-    config_frame(spark, [row], MANIFEST).coalesce(1).write.mode("overwrite").json(
-        f"{root}/manifest/v={kind}-{version}"
+    config_frame(spark, [tuple(row)], MANIFEST).coalesce(1).write.mode("overwrite").json(
+        f"{root}/manifest/v={row.kind}-{row.version}"
     )
 
 
+def _new_folder(kind: str, version: int) -> str:
+    return f"{kind}/v={version}-{uuid.uuid4().hex}"
+
+
 def write_snapshot(
     docs: DataFrame, root: str, version: int, folded: int = -1,
     stamps: Mapping[str, datetime] | None = None, partition_by: Sequence[str] = ("doc_type",),
+    buckets: int | None = None, bucketed_by: Sequence[str] = ("path",),
 ) -> None:
     """Write a full table as base ``version`` and publish it. ``folded`` is the highest delta it
-    already contains. A published version is never rewritten."""
+    already contains. A published version is never rewritten.
+
+    With ``buckets`` the table is bucketed and sorted by identity instead of partitioned. Upserts
+    and deletes on a table read back from buckets then move only the incoming rows, and a table that
+    came from such an upsert (``incoming.repartition(buckets, *keys)``) is written without a shuffle.
+    """
     spark = docs.sparkSession
     if is_published(spark, root, "base", version):
         raise ValueError(f"base version {version} is already published")
-    docs.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/base/v={version}")
-    _publish(spark, root, "base", version, folded, docs.schema.json(), stamps or {})
+    folder = _new_folder("base", version)
+    if buckets is None:
+        docs.write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
+    else:
+        keys, table = list(bucketed_by), f"docsync_{uuid.uuid4().hex}"
+        (
+            docs.repartition(buckets, *keys)
+            .write.format("parquet")
+            .bucketBy(buckets, *keys)
+            .sortBy(*keys)
+            .option("path", f"{root}/{folder}")
+            .saveAsTable(table)
+        )
+        # Only the name goes: the files of a table with a path of its own stay.
+        spark.sql(f"DROP TABLE {table}")
+    marks = [{"index": k, "stamp": v} for k, v in (stamps or {}).items()]
+    _publish(spark, root, Row(
+        version=version, kind="base", folder=folder, folded=folded, schema=docs.schema.json(),
+        buckets=buckets, bucketed_by=list(bucketed_by) if buckets else None, stamps=marks,
+    ))
 
 
 def write_delta(changes: DataFrame, root: str, version: int) -> bool:
@@ -81,22 +105,41 @@ def write_delta(changes: DataFrame, root: str, version: int) -> bool:
     spark = changes.sparkSession
     if is_published(spark, root, "delta", version):
         return False
-    changes.write.mode("overwrite").parquet(f"{root}/delta/v={version}")
-    _publish(spark, root, "delta", version, -1, changes.schema.json(), {})
+    folder = _new_folder("delta", version)
+    changes.write.parquet(f"{root}/{folder}")
+    _publish(spark, root, Row(
+        version=version, kind="delta", folder=folder, folded=-1, schema=changes.schema.json(),
+        buckets=None, bucketed_by=None, stamps=[],
+    ))
     return True
 
 
-def _versions(spark: SparkSession, root: str) -> tuple[tuple | None, list[tuple]]:
+def _versions(spark: SparkSession, root: str) -> tuple[Row | None, list[Row]]:
     """The newest base row and the delta rows after it; a few small rows, one per write."""
     rows = _manifest(spark, root)
     if rows is None:
         return None, []
     bases = rows.filter("kind = 'base'")
-    base = bases.agg(F.max_by(F.struct("version", "folded", "schema"), "version").alias("b")).first()
-    base = base.b if base else None
+    base = bases.agg(F.max_by(F.struct(*bases.columns), "version").alias("newest")).first().newest
     since = base.folded if base else -1
     deltas = rows.filter((F.col("kind") == "delta") & (F.col("version") > since))
-    return base, deltas.select("version", "schema").orderBy("version").collect()
+    return base, deltas.orderBy("version").collect()
+
+
+def _read_base(spark: SparkSession, root: str, base: Row) -> DataFrame:
+    schema, location = StructType.fromJson(json.loads(base.schema)), f"{root}/{base.folder}"
+    if not base.buckets:
+        return spark.read.schema(schema).parquet(location).select(*schema.names)
+    # Metadata only: tells the session how the existing files are bucketed.
+    table = f"docsync_{hashlib.md5(location.encode()).hexdigest()}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    keys = ", ".join(f"`{k}`" for k in base.bucketed_by)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {base.buckets} BUCKETS "
+        f"LOCATION '{location}'"
+    )
+    return spark.table(table)
 
 
 def read_stamps(spark: SparkSession, root: str) -> DataFrame | None:
@@ -115,7 +158,7 @@ def read_delta_changes(spark: SparkSession, root: str, keys: Sequence[str]) -> D
     if not deltas:
         return None
     schema = StructType.fromJson(json.loads(deltas[-1].schema))
-    changes = spark.read.schema(schema).parquet(*(f"{root}/delta/v={d.version}" for d in deltas))
+    changes = spark.read.schema(schema).parquet(*(f"{root}/{d.folder}" for d in deltas))
     return latest_per_identity(changes, keys, "changed_at", "change_id")
 
 
@@ -124,17 +167,12 @@ def read_snapshot(
 ) -> DataFrame:
     """The published document table: the newest base (or base ``version`` alone) with later deltas
     laid over it. Only the deltas' keys meet the base, never its contents."""
-    base, _ = _versions(spark, root)
-    if version is not None and not is_published(spark, root, "base", version):
-        raise ValueError(f"base version {version} is not published")
-    docs = None
-    if base is not None or version is not None:
-        number = base.version if version is None else version
-        rows = _manifest(spark, root).filter(f"kind = 'base' and version = {number}")
-        schema = StructType.fromJson(json.loads(rows.first().schema))
-        docs = spark.read.schema(schema).parquet(f"{root}/base/v={number}").select(*schema.names)
     if version is not None:
-        return docs
+        if not is_published(spark, root, "base", version):
+            raise ValueError(f"base version {version} is not published")
+        return _read_base(spark, root, _manifest(spark, root, f"v=base-{version}").first())
+    base, _ = _versions(spark, root)
+    docs = _read_base(spark, root, base) if base else None
     changes = read_delta_changes(spark, root, keys)
     if changes is None:
         if docs is None:
@@ -146,11 +184,18 @@ def read_snapshot(
     return delete_docs(docs, changes, keys).unionByName(alive)
 
 
-def compact(spark: SparkSession, root: str, keys: Sequence[str] = ("path",)) -> int:
-    """Fold all published deltas into a new base; returns its version."""
+def compact(
+    spark: SparkSession, root: str, keys: Sequence[str] = ("path",),
+    partition_by: Sequence[str] = ("doc_type",),
+) -> int:
+    """Fold all published deltas into a new base, bucketed like the last one; returns its version."""
     base, deltas = _versions(spark, root)
     number = (base.version if base else -1) + 1
     folded = deltas[-1].version if deltas else (base.folded if base else -1)
-    write_snapshot(read_snapshot(spark, root, keys), root, number, folded)
+    if base and base.buckets:
+        layout = {"buckets": base.buckets, "bucketed_by": base.bucketed_by}
+    else:
+        layout = {"partition_by": partition_by}
+    write_snapshot(read_snapshot(spark, root, keys), root, number, folded, **layout)
     return number
 

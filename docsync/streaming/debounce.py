@@ -213,8 +213,9 @@ def debounce_stream(
     events: DataFrame, gap: timedelta, delay: str = "10 seconds", keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The streaming form of ``debounce_events``: a window is emitted once the watermark passes its
-    ``due``. State per key is its one open window. Micro-batches must come in event-time order per
-    key; an event older than the open window joins it."""
+    ``due``. State per key is its one open window; a task holds one key's events of one micro-batch,
+    which the stream's ``maxFilesPerTrigger`` bounds. Micro-batches must come in event-time order
+    per key; an event older than the open window joins it."""
     keys, gap_us = list(keys), _micros(gap)
     out = [f"`{k}` string" for k in keys]
     out += ["opened timestamp", "due timestamp", "n_events bigint", "last_event bigint"]

@@ -19,8 +19,9 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 def changes_of_batch(
-    events: DataFrame, content: Callable[[DataFrame], DataFrame], handlers: Mapping[str, Handler], webs: Sequence[tuple],
-    file_types: Sequence[tuple], dispatch: Sequence[tuple], checks: Mapping | None = None,
+    events: DataFrame, content: Callable[[DataFrame], DataFrame],
+    handlers: Mapping[str, Handler], webs: Sequence[tuple], file_types: Sequence[tuple],
+    dispatch: Sequence[tuple], checks: Mapping | None = None,
     listing: DataFrame | None = None, index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(changes, errors)`` for one batch of events.
@@ -38,12 +39,13 @@ def changes_of_batch(
     work = cut_lineage(latest_event(routed, ["path"]), "work")
     to_map = work.filter("action <> 'deleted'")
     wanted = to_map.select("path", "url", "web", "file_type", "handler")
-    # Read once: the handlers, the errors and the check for missing files all start from here.
+    # Read once: every handler and the check for missing files start from here.
     items = cut_lineage(content(wanted.select("path")).join(wanted, "path"), "items")
     mapped = [
         handler(items.filter(F.col("handler") == name)) for name, handler in handlers.items()
     ]
     docs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), mapped)
+    docs = cut_lineage(docs, "mapped")
     ok, errors = quarantine(docs, {**identity_checks(["path"]), **(checks or {})})
     gone = (
         work.filter("action = 'deleted'")

@@ -128,6 +128,35 @@ def test_deltas_lie_over_the_base_whatever_order_they_arrive_in(spark, frame, ro
     assert snapshots.compact(spark, root) == 1
     assert rows(snapshots.read_snapshot(spark, root)) == expected
     assert snapshots.read_delta_changes(spark, root, ["path"]) is None
-    assert os.path.isdir(f"{root}/delta/v=1")
+    assert os.path.isdir(f"{root}/delta")
     snapshots.write_delta(frame([("c", None, None, True, at(1), 1)], DELTA), root, 2)
     assert rows(snapshots.read_snapshot(spark, root)) == [("a", "Page", "3"), ("d", "Page", "2")]
+
+
+def test_bucketed_base_stays_in_place_while_it_is_updated(spark, frame, rows):
+    from docsync.operators.store import upsert_docs
+
+    root = shared_folder(spark, "test")
+    docs = frame([(f"p{i}", "Page", "1") for i in range(50)], DOC)
+    snapshots.write_snapshot(docs, root, 0, buckets=4)
+    stored = snapshots.read_snapshot(spark, root)
+    assert rows(stored) == rows(docs)
+    incoming = frame([("p1", "Page", "2"), ("q", "Page", "2")], DOC).repartition(4, "path")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = upsert_docs(stored, incoming, ["path"]).repartition(4, "path")
+        physical = plan._jdf.queryExecution().executedPlan().toString()
+        # Only the incoming rows move: once as keys, once as rows.
+        assert physical.count("Exchange") == 2 and "Bucketed: true" in physical
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = sorted([("p1", "Page", "2"), ("q", "Page", "2")] + [r for r in rows(docs) if r[0] != "p1"], key=repr)
+    snapshots.write_snapshot(upsert_docs(stored, incoming, ["path"]), root, 1, buckets=4)
+    assert rows(snapshots.read_snapshot(spark, root)) == expected
+    snapshots.write_delta(frame([("q", None, None, True, at(1), 1)], DELTA), root, 0)
+    assert snapshots.compact(spark, root) == 2
+    after = snapshots.read_snapshot(spark, root)
+    assert rows(after) == [r for r in expected if r[0] != "q"]
+    grouped = after.groupBy("path").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert snapshots.read_snapshot(spark, root, version=0).count() == 50
