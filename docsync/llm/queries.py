@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import language, mixing, secret_scan, tokens
+from docsync.llm import contamination, language, mixing, secret_scan, tokens
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).cast("long")
@@ -40,6 +48,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_counts, op6_language_id, op7_secret_scans, op9_mixing)
+    q.__name__: q for q in (op1_token_counts, op6_language_id, op7_secret_scans, op8_decontamination, op9_mixing)
+}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
