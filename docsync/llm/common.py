@@ -107,3 +107,24 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         labels = step.select("node", "component")
         if not changed:
             return labels
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """Texts to learn from: ``(text, label)`` of at most ``per_class`` ids per label, the first by a
+    hash of the id among the rows where ``learn`` holds, and how many labelled rows each label has.
+
+    Rows without an id or with another label than 0 and 1 teach nothing; of texts that occur under
+    several ids one is kept, so a group of copies counts once. The ids sampled are the bounded side
+    of the join.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{label}`").cast("int").alias("label"))
+    known = known.where(F.col("sample_id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.where(learn(F.col("sample_id")))
+    totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    order = [F.xxhash64("sample_id"), "sample_id"]
+    chosen = [known.where(F.col("label") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1])
+    rows = docs.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = rows.join(F.broadcast(chosen), "sample_id").where("text is not null")
+    return texts.groupBy("text").agg(F.min("label").alias("label")), totals

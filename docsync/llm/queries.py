@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import contamination, language, mixing, secret_scan, tokens
+from docsync.llm import contamination, language, mixing, quality, secret_scan, tokens, toxicity
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, lambda doc_id: fold(doc_id, 5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, lambda doc_id: fold(doc_id, 4) != 2)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, fold(F.col("doc_id"), 3) != 1)
@@ -48,7 +66,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_token_counts, op6_language_id, op7_secret_scans, op8_decontamination, op9_mixing)
+    q.__name__: q for q in (
+        op1_token_counts, op2_toxicity, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
+        op9_mixing,
+    )
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
