@@ -24,7 +24,8 @@ DIMENSIONS = 16
 GRAMS = (3, 4)
 # Labelled rows to learn from, per label.
 PER_CLASS = 2_000
-EPOCHS = 12
+# Documents seen in training; a small sample is gone through more often.
+STEPS = 40_000
 RATE = 0.1
 SEED = 5
 THRESHOLD = 0.7
@@ -100,8 +101,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], totals: dict[int,
     table = random.uniform(-1, 1, (1 << BUCKETS_LOG2, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     counts = np.bincount([e[2] for e in examples], minlength=2)
-    steps, done = EPOCHS * len(examples), 0
-    for _ in range(EPOCHS if counts.all() else 0):
+    epochs = max(1, STEPS // len(examples)) if counts.all() else 0
+    steps, done = epochs * len(examples), 0
+    for _ in range(epochs):
         for i in random.permutation(len(examples)):
             used, shares, label = examples[i]
             rate = RATE * (1 - done / steps)
