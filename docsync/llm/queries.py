@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import contamination, language, mixing, quality, secret_scan, tokens, toxicity
+from docsync.llm import contamination, language, mixing, perplexity, quality, secret_scan, tokens, toxicity
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.apply_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "log_perplexity",
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, lambda doc_id: fold(doc_id, 4) != 2)
@@ -67,7 +74,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
-        op1_token_counts, op2_toxicity, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
+        op1_token_counts, op2_toxicity, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
         op9_mixing,
     )
 }
