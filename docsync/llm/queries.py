@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import contamination, language, mixing, perplexity, quality, secret_scan, tokens, toxicity
+from docsync.llm import contamination, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_repeated", (F.col("n_repeated") > 0).alias("repeats"),
+        F.array_join(span, ",").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_token_counts, op2_toxicity, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
-        op9_mixing,
+        op9_mixing, op10_suffix_array_dedup,
     )
 }
 ORACLES: dict[str, str] = {
