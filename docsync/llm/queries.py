@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import contamination, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity
+from docsync.llm import contamination, jaccard, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -83,7 +87,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
-        op1_token_counts, op2_toxicity, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
+        op1_token_counts, op2_toxicity, op3_jaccard_join, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
         op9_mixing, op10_suffix_array_dedup,
     )
 }
