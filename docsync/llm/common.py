@@ -15,6 +15,8 @@ from docsync.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 # A worker's memo of words is emptied at this size, which bounds its memory.
 MEMO = 1 << 19
+# So many pairs of id and hash, about 16 bytes each, may be broadcast.
+BROADCAST_KEYS = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,13 +63,24 @@ def as_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
+def text_hash(text: Column) -> Column:
+    """Hash of a text's bytes; with the id, it tells rows apart. Null and empty are alike."""
+    return F.xxhash64(as_bytes(text))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which id and text hash are not in ``keys`` ``(key_id, key_hash)``.
 
+    Few keys (counted first) are sent to the rows; beyond that bound both sides are shuffled."""
+    keys = cut_lineage(keys.select("key_id", "key_hash").distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("key_id")) & (text_hash(F.col(f"`{text_col}`")) == F.col("key_hash"))
+    return docs.join(keys, same, "left_anti")
 
-def numbers(array: pa.Array, dtype) -> np.ndarray:
-    """A column without nulls as numpy values."""
-    return array.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def checked_broadcast(spark: SparkSession, value, size: int, limit: int):

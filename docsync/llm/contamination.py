@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, checked_broadcast, column, gram_hashes, numbers
+from docsync.llm.common import WordHashes, as_bytes, checked_broadcast, column, gram_hashes, text_hash
 from docsync.session import cut_lineage
 
 WINDOW = 13
@@ -135,19 +135,19 @@ def _meetings(texts: DataFrame, bitmap, sizes: list[int], window: int) -> DataFr
             out: list[tuple] = []
             for i, text in enumerate(column(batch, "text").to_pylist()):
                 words = words_of(text)
-                copy = xxhash.xxh3_64_intdigest(text) >> 1
-                out.append((i, copy, len(words), None, None, None, None))
+                out.append((i, len(words), None, None, None, None))
                 own = hashes.of(words)
                 for size in sizes:
                     tokens = gram_hashes(own, size)
                     for place in _marked(tokens, bits).tolist():
                         first = max(0, place + size - window)
                         near = b" ".join(words[first:place + window])
-                        out.append((i, copy, len(words), place, int(tokens[place].astype(np.int64)), near, place - first))
-            rows, *rest = zip(*out) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+                        out.append((i, len(words), place, int(tokens[place].astype(np.int64)), near, place - first))
+            rows, *rest = zip(*out) if out else [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+            taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").take(pa.array(rows, pa.int64())),
+                [column(batch, "doc_id").take(taken), column(batch, "copy").take(taken),
                  *(pa.array(v, k) for v, k in zip(rest, kinds))],
                 names=["doc_id", "copy", "n_words", "place", "token", "near", "before"],
             )
@@ -196,6 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
+    texts = texts.withColumn("copy", text_hash(F.col("text")))
     source = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), as_bytes(F.col(f"`{item_text_col}`")).alias("text"))
     item_kind = source.schema["item_id"].dataType.simpleString()
     items = cut_lineage(source.mapInArrow(
@@ -249,16 +250,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def text_key(text) -> "F.Column":
-    """``copy`` of a text: with the id, it tells rows apart."""
-
-    @F.pandas_udf("long")
-    def key(texts):
-        return texts.map(lambda t: xxhash.xxh3_64_intdigest(t) >> 1)
-
-    return key(as_bytes(text))
-
-
 ORACLE_SQL = r"""
 with docs as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

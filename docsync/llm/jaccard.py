@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, column, components, gram_hashes
+from docsync.llm.common import (
+    WordHashes, as_bytes, column, components, gram_hashes, text_hash, without,
+)
 from docsync.session import cut_lineage
 
 NGRAM = 4
@@ -344,3 +346,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each group of linked documents only the one with the
+    smallest id (null ids last, then by text hash). Documents that link with nothing stay. Of rows
+    equal in id and text, which link with each other, one stays."""
+    doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    name = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), text_hash(text).alias("hash"))
+    found = cut_lineage(join(docs.select(name.alias("doc_id"), text.alias("text")), **options), "jaccard")
+    keys = [F.col("doc_id.id").alias("key_id"), F.col("doc_id.hash").alias("key_hash")]
+    gone = found.where("doc_id <> component_id").select(*keys)
+    many = found.where("doc_id = component_id and n_links > 0").groupBy("doc_id").count().where("count > 1")
+    rest = without(docs, gone.unionByName(many.select(*keys)), id_col, text_col)
+    if many.limit(1).count() == 0:
+        return rest
+    same = doc_id.eqNullSafe(F.col("key_id")) & (text_hash(text) == F.col("key_hash"))
+    return rest.unionByName(docs.join(many.select(*keys), same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes, numbers
+from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes
 from docsync.session import cut_lineage
 
 MIN_WORDS = 50
