@@ -68,18 +68,36 @@ def first_attribute(
         open_tag = F.regexp_extract(markup, pattern, 0)
     else:
         tags = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
-        open_tag = F.get(F.filter(tags, lambda t: attribute_of(t, where[0]) == where[1]), F.lit(0))
+        open_tag = F.get(
+            F.filter(tags, lambda t: decode_entities(attribute_of(t, where[0])) == where[1]), F.lit(0))
     return decode_entities(attribute_of(open_tag, attr))
 
 
-def element_texts(html: Column, tag: str, is_readable: bool = False) -> Column:
-    """Array with the cleaned text of every ``tag`` element, in page order."""
+def element_texts(
+    html: Column, tag: str, is_readable: bool = False, where: tuple[str, str] | None = None,
+) -> Column:
+    """Array with the cleaned text of every ``tag`` element, in page order; with ``where`` only of
+    those whose attribute ``where[0]`` equals ``where[1]``."""
     tag = _tag_name(tag)
     pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
-    inner = F.regexp_extract_all(_markup_for(html, tag, is_readable), F.lit(pattern), F.lit(1))
+    markup = _markup_for(html, tag, is_readable)
+    if where is None:
+        inner = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
+    else:
+        found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+        opening = lambda x: F.regexp_extract(x, r"(?s)\A<[^>]*>", 0)
+        inner = F.filter(found, lambda x: decode_entities(attribute_of(opening(x), where[0])) == where[1])
     return F.transform(inner, lambda x: decode_entities(normalise_lines(strip_tags(x))))
 
 
+def body_text(html: Column, is_readable: bool = False) -> Column:
+    """Text of the body element, up to the last closing tag or the end; null without a body."""
+    markup = html if is_readable else readable(html)
+    opening = r"(?is)\A.*?<body(?:\s[^>]*)?>"
+    inner = F.regexp_replace(F.regexp_replace(markup, opening, ""), r"(?is)</body\s*>(?!.*</body\s*>).*\z", "")
+    return F.when(F.rlike(markup, F.lit(r"(?is)<body(?:\s[^>]*)?>")), decode_entities(normalise_lines(strip_tags(inner))))
+
+
 def visible_text(html: Column, is_readable: bool = False) -> Column:
     """Text of a whole page without scripts, styles and comments."""
     return decode_entities(normalise_lines(strip_tags(html if is_readable else readable(html))))

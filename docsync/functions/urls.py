@@ -33,7 +33,8 @@ def percent_encode(path: Column) -> Column:
 
 
 def url_below(base_url: Column, root: Column, path: Column) -> Column:
-    """URL of a file: the path below ``root``, percent-encoded, appended to ``base_url``."""
+    """URL of a file: the path below ``root``, percent-encoded, appended to ``base_url``; null for a
+    path that is not below it."""
     root = F.regexp_replace(root, r"/+\z", "")
-    relative = F.substr(path, F.length(root) + 2)
+    relative = F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substr(path, F.length(root) + 2))
     return F.concat(F.regexp_replace(base_url, r"/+\z", ""), F.lit("/"), percent_encode(relative))

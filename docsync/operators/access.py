@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docsync.functions import rights as masks
 from docsync.functions.paths import ancestors
 from docsync.schema import ROLE_CONF, check_role_conf
-from docsync.session import MAX_CONFIG_ROWS, config_frame
+from docsync.session import config_frame
 
 
 def _split_roles(roles: Column) -> Column:
@@ -96,19 +96,16 @@ def visible_to(
 ) -> DataFrame:
     """Documents that share a role with the caller.
 
-    A list of roles filters the scan. A table of roles (column ``role``) is read as a list while it
-    is small; beyond that, document keys are matched by role and the documents by key.
+    A list of roles filters the scan. With a table of roles (column ``role``), document keys are
+    matched by role and the documents by key; Spark broadcasts the roles while they are few.
     """
     if isinstance(caller_roles, DataFrame):
-        few = caller_roles.select("role").distinct().limit(MAX_CONFIG_ROWS + 1).collect()
-        if len(few) > MAX_CONFIG_ROWS:
-            keys = (
-                docs.select(key, F.explode("roles").alias("role"))
-                .join(caller_roles.select("role"), "role", "left_semi")
-                .select(key)
-                .distinct()
-            )
-            return docs.join(keys, key, "left_semi")
-        caller_roles = [r.role for r in few]
+        keys = (
+            docs.select(key, F.explode("roles").alias("role"))
+            .join(caller_roles.select("role"), "role", "left_semi")
+            .select(key)
+            .distinct()
+        )
+        return docs.join(keys, key, "left_semi")
     wanted = F.array(*map(F.lit, caller_roles)).cast("array<string>")
     return docs.filter(F.arrays_overlap("roles", wanted))

@@ -46,7 +46,7 @@ def analyze_fields(
     types = dict(docs.dtypes)
     rows = [
         F.struct(F.lit(s.field).alias("field"), _terms(s, types[s.field], stop_words).alias("terms"))
-        for s in specs
+        for s in {s.field: s for s in reversed(specs)}.values()
         if not s.is_variable and s.field in types
     ]
     return docs.select(F.col(key).cast("string").alias("doc_key"), F.inline(F.array(*rows))).filter(

@@ -7,6 +7,7 @@ one stage can steer the tasks of later fields.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,10 +52,12 @@ def _source_value(spec: FieldSpec) -> Column:
     if spec.source == "doc_content":
         return F.col(TEXT)
     if spec.source == "file_content":
-        return markup.first_attribute(*_page(spec), spec.member, is_readable=_is_readable(spec))
-    if spec.tag.lower() in ("body", "html") and not spec.multi:
+        return markup.first_attribute(*_page(spec), spec.member, spec.where, _is_readable(spec))
+    if spec.tag.lower() == "html" and not spec.multi:
         return markup.visible_text(F.col(READABLE), is_readable=True)
-    texts = markup.element_texts(*_page(spec), is_readable=_is_readable(spec))
+    if spec.tag.lower() == "body" and not spec.multi and not spec.where:
+        return markup.body_text(F.col(READABLE), is_readable=True)
+    texts = markup.element_texts(*_page(spec), is_readable=_is_readable(spec), where=spec.where)
     return texts if spec.multi else F.get(texts, F.lit(0))
 
 
@@ -84,14 +87,15 @@ def apply_task(value: Column, task: Task, operand: Column) -> Column:
 
 
 def field_columns(specs: Sequence[FieldSpec]) -> tuple[dict[str, Column], dict[str, Column]]:
-    """``(fields, variables)``: one Column per spec, variables kept apart."""
+    """``(fields, variables)``: one Column per name, variables kept apart. A name that several specs
+    feed is an array of all their values, in the order of the specs' stages."""
     fields: dict[str, Column] = {}
+    fed = Counter(s.field for s in specs)
     variables: dict[str, Column] = {}
     for stage in STAGES:
         for spec in (s for s in specs if s.source in stage):
             value = _source_value(spec)
-            task = spec.task
-            if task:
+            for task in spec.tasks:
                 operand = (
                     variables[task.operand]
                     if task.operand_source == "variable"
@@ -101,6 +105,11 @@ def field_columns(specs: Sequence[FieldSpec]) -> tuple[dict[str, Column], dict[s
                     value = F.transform(value, lambda v: apply_task(v, task, operand))
                 else:
                     value = apply_task(value, task, operand)
+            if fed[spec.field] > 1:
+                values = value if spec.multi else F.array(value.cast("string"))
+                before = fields.get(spec.field, F.array().cast("array<string>"))
+                value = F.filter(F.concat(before, F.coalesce(values, F.array().cast("array<string>"))),
+                                 lambda v: v.isNotNull())
             (variables if spec.is_variable else fields)[spec.field] = value
     return fields, variables
 
@@ -161,7 +170,7 @@ def to_field_rows(docs: DataFrame, specs: Sequence[FieldSpec], key: str) -> Data
 
     types = dict(docs.dtypes)
     groups = []
-    for spec in specs:
+    for spec in {s.field: s for s in reversed(specs)}.values():
         if spec.is_variable or spec.field not in types:
             continue
         value = F.col(spec.field)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.schema import CLAUSES, Clause, check_clauses
-from docsync.session import MAX_CONFIG_ROWS, config_frame
+from docsync.session import config_frame
 
 # Scores are rounded before they are compared, so that ties are ties on every run.
 SCORE_DIGITS = 6
@@ -193,9 +193,8 @@ def total_hits(scored: DataFrame) -> DataFrame:
 def fetch_fields(
     hits: DataFrame, docs: DataFrame, fields: Sequence[str], key: str, k: int | None = None
 ) -> DataFrame:
-    """The hits with stored fields of their documents. A top-``k`` list is broadcast, its size being
-    known; any other hit list is joined as Spark sees fit."""
-    if k is not None and k <= MAX_CONFIG_ROWS:
-        hits = F.broadcast(hits)
+    """The hits, at most ``k`` of them, with stored fields of their documents."""
+    if k is not None:
+        hits = hits.orderBy(F.desc("score"), "doc_key").limit(k)
     stored = docs.select(F.col(key).cast("string").alias("doc_key"), *fields)
     return stored.join(hits, "doc_key")

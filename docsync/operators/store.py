@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 
 def latest_per_identity(
-    docs: DataFrame, keys: Sequence[str], version: str, tiebreak: str
+    docs: DataFrame, keys: Sequence[str], version: str, tiebreak: str | None = None
 ) -> DataFrame:
-    """The last version of each identity in one batch.
+    """The last version of each identity in one batch. Of equal versions the higher ``tiebreak``
+    counts; without one, the higher hash of the whole row, so that every run keeps the same row.
 
     Spark limits every map task to one row per key before the shuffle (WindowGroupLimit), so a key
     that holds a large share of the batch arrives as one row per task.
     """
-    last_first = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc(tiebreak))
+    tie = F.col(tiebreak) if tiebreak else F.xxhash64(*docs.columns)
+    last_first = Window.partitionBy(*keys).orderBy(F.desc(version), tie.desc())
     return (
         docs.withColumn("_rank", F.row_number().over(last_first))
         .filter("_rank = 1")
@@ -55,13 +57,12 @@ def apply_changes(
     ``changes`` has the identity and an ``action``; ``mapped`` has the documents extracted for the
     created and changed ones. Deleted documents leave, mapped documents replace or join, all others
     stay. A created or changed item without a mapped document (its mapping failed) leaves the table
-    as it was. Both kinds of leaving are one anti-join over the documents.
+    as it was. Both kinds of leaving are one anti-join over the documents. Of documents with one
+    identity the last by ``version`` counts (ties: see ``latest_per_identity``).
     """
     keys = list(keys)
     work = changes.filter(F.col("action").isin("created", "changed"))
-    incoming = latest_per_identity(
-        exists_docs(mapped, work, keys), keys, version, tiebreak or keys[0]
-    )
+    incoming = latest_per_identity(exists_docs(mapped, work, keys), keys, version, tiebreak)
     leaving = changes.filter(F.col("action") == "deleted").select(*keys)
     return delete_docs(docs, leaving.unionByName(incoming.select(*keys)), keys).unionByName(
         incoming, allowMissingColumns=True

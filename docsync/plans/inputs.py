@@ -59,23 +59,18 @@ DOC_SPECS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A source table. One stored as fewer splits than there are cores is spread over them by a
-    key; large tables have more splits than that and stay as they are."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A source table as it is stored; how it is split is the session's matter."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages", "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +178,7 @@ def _change_type() -> Column:
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file event per row of ``events``; the user names the file, and with it the web."""
     folder = (F.col("user_id") % 20).cast("string")
-    return table(spark, sf_dir, "events", "event_id").select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("user_id") % 2 == 0, WEB[0]).otherwise(SHOP[0]).alias("web"),
@@ -202,7 +197,7 @@ def folder_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit(""), F.lit("/en"), F.lit("/fr"), F.lit("/de"), F.lit("/es")),
         (F.col("event_id") % 5 + 1).cast("int"),
     )
-    return table(spark, sf_dir, "events", "event_id").select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.lit(WEB[0]).alias("web"),
@@ -214,7 +209,7 @@ def folder_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as text fragments."""
-    return table(spark, sf_dir, "conversations", "conv_id").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_key"), F.col("turn").alias("pos"), "text"
     )
 
@@ -224,7 +219,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     The last user turn of a conversation may refer to a string that does not exist."""
     shared = F.col("role") == "user"
     raw = F.when(shared, (F.col("turn") + 2).cast("string")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations", "conv_id").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("workbook_id"), F.col("turn").alias("pos"),
         shared.alias("is_shared"), raw.alias("raw"),
     )
@@ -232,7 +227,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the string tables of workbooks."""
-    return table(spark, sf_dir, "conversations", "conv_id").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("workbook_id"), F.col("turn").alias("idx"), "text"
     )
 

@@ -38,6 +38,13 @@ def _clean(x: str) -> str:
     return _decode(_normalise(f"regexp_replace({x}, '(?s)<[^>]*>', '', 'g')"))
 
 
+def _body(x: str) -> str:
+    """Inside of the body element; no body, no text."""
+    inner = rf"regexp_replace({_markup(x)}, '(?is)\A.*?<body(?:\s[^>]*)?>', '')"
+    inner = rf"regexp_replace({inner}, '(?is)\A(.*)</body\s*>.*\z', '\1')"
+    return rf"CASE WHEN regexp_matches({x}, '(?is)<body(?:\s[^>]*)?>') THEN {inner} END"
+
+
 def _texts(x: str, tag: str) -> str:
     found = rf"regexp_extract_all({_markup(x)}, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>', 1)"
     return f"list_transform({found}, lambda t: {_clean('t')})"
@@ -190,7 +197,7 @@ mapped AS (
          ELSE {_attr("html", "meta", "charset")} END AS mobile,
     {_texts("html", "title")}[1] AS title,
     {_texts("html", "p")} AS paragraph,
-    {_clean(_markup("html"))} AS content
+    {_clean(_body("html"))} AS content
   FROM pages)"""
 
 _RIGHTS = r"""

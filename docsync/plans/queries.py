@@ -77,10 +77,14 @@ def split_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.split_url(inputs.pages(spark, sf_dir).select("page_id", "url"))
 
 
+# Buckets of the document tables written here; a real table has one per few hundred MB.
+BUCKETS = 8
+
+
 def write_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the document table as base 0 and reports what version 0 holds per document type."""
     root = shared_folder(spark, "snapshot")
-    snapshots.write_snapshot(inputs.docs(spark, sf_dir), root, 0)
+    snapshots.write_snapshot(inputs.docs(spark, sf_dir), root, 0, buckets=BUCKETS)
     written = snapshots.read_snapshot(spark, root, version=0)
     return written.groupBy("doc_type").agg(
         F.count("*").alias("n_docs"), F.sum(F.length("content")).alias("n_chars")
@@ -181,7 +185,7 @@ def join_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def info_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = inputs.table(spark, sf_dir, "events", "event_id").select("event_id", "props")
+    seen = inputs.table(spark, sf_dir, "events").select("event_id", "props")
     return mapping.info_fields(seen, {"k": "k", "author": "author"}).select("event_id", "k", "author")
 
 
@@ -283,7 +287,7 @@ def removed_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = inputs.table(spark, sf_dir, "events", "event_id")
+    seen = inputs.table(spark, sf_dir, "events")
     return seen.select(
         "event_id", values.version_ticks(F.col("ts").cast("timestamp")).alias("version_ticks")
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsync.functions.paths import is_at_or_below
 from docsync.operators.access import inherit_roles
 from docsync.operators.changes import classify_changes, dispatch_actions
 from docsync.operators.store import apply_changes
@@ -38,11 +39,13 @@ def sweep(
     """Work items ``(path, version, action, file_type, handler, web, url, roles)`` of one web.
 
     ``listing`` and ``index`` have (path, dir, ext, version), one row per path; ``web`` is
-    (web, root, base_url, filter). Unchanged files are dropped before anything is attached, and
+    (web, root, base_url, filter). Both are limited to the web's root first: an index may hold several
+    webs, and what lies elsewhere is not gone because this listing lacks it. Unchanged files are dropped before anything is attached, and
     what depends on the path alone is computed from it again instead of being carried through the
     comparison.
     """
     name, root, base_url, _ = web
+    listing, index = (t.filter(is_at_or_below(F.col("dir"), root)) for t in (listing, index))
     listing = with_eligible(listing, excluded_dirs, file_types)
     changed = classify_changes(listing, index, ["path"], force).filter("action <> 'unchanged'")
     located = changed.withColumns(
@@ -63,17 +66,38 @@ def sweep(
     )
 
 
+def check_handlers(work: DataFrame, handlers: Mapping[str, Callable]) -> None:
+    """Raise when a row to be mapped names a handler that is not supplied. Rows that only delete need
+    none; there are as many names as the dispatch table has."""
+    named = work.filter(F.col("action") != "deleted").select("handler").distinct()
+    missing = named.filter(~F.coalesce("handler", F.lit("")).isin(list(handlers)))
+    unknown = sorted(str(r.handler) for r in missing.limit(20).collect())
+    if unknown:
+        raise ValueError(f"no handler supplied for {', '.join(unknown)}")
+
+
+def without_document(work: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Error rows for the items to be mapped that gave no document."""
+    wanted = work.filter(F.col("action") != "deleted").select("path")
+    lost = wanted.join(mapped.select("path"), "path", "left_anti")
+    return lost.select("path", F.lit("mapping").alias("stage"), F.lit("no document").alias("message"))
+
+
 def reconcile(
     docs: DataFrame, work: DataFrame, content: DataFrame,
     handlers: Mapping[str, Callable[[DataFrame], DataFrame]], checks: Mapping | None = None,
-    version: str = "version_ticks",
+    version: str = "version_ticks", tiebreak: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(next documents, errors)``: map the created and changed items of a sweep with the handlers
     its rows name, and apply all of its changes to the document table (identity ``path``).
 
+    Rows that name a handler which is not supplied are an error before anything is mapped; items that
+    are missing in ``content``, or for which a handler returns no document, go to ``errors``.
+
     The work list and the mapped documents are written once to the shared folder: both are read
     several times, and extraction is the expensive part."""
     work = cut_lineage(work, "work")
+    check_handlers(work, handlers)
     items = content.join(
         work.filter("action <> 'deleted'").select("path", "url", "roles", "file_type", "handler"),
         "path",
@@ -84,4 +108,5 @@ def reconcile(
         mapped = part if mapped is None else mapped.unionByName(part, allowMissingColumns=True)
     mapped = cut_lineage(mapped, "mapped")
     ok, errors = quarantine(mapped, {**identity_checks(["path"]), **(checks or {})})
-    return apply_changes(docs, work.select("path", "action"), ok, ["path"], version), errors
+    errors = errors.unionByName(without_document(work, mapped))
+    return apply_changes(docs, work.select("path", "action"), ok, ["path"], version, tiebreak), errors

@@ -51,7 +51,16 @@ class FieldSpec(NamedTuple):
     analyzer: str = "standard"
     boost: float = 1.0
     multi: bool = False
-    task: Task | None = None
+    # One task, or several that apply one after the other.
+    task: Task | Sequence[Task] | None = None
+    # Attribute test (name, value) for sources that read elements of a page.
+    where: tuple[str, str] | None = None
+
+    @property
+    def tasks(self) -> list[Task]:
+        if self.task is None:
+            return []
+        return [self.task] if isinstance(self.task, Task) else list(self.task)
 
 
 class Clause(NamedTuple):
@@ -76,23 +85,27 @@ def _unique(keys: Iterable[object], what: str) -> None:
 
 
 def check_specs(specs: Sequence[FieldSpec]) -> list[FieldSpec]:
-    """Field specs of one file type, checked: known words, unique names, a usable identity."""
-    _unique([s.field for s in specs], "field name")
+    """Field specs of one file type, checked: known words, a usable identity. Several specs may feed
+    one stored field, which then has several values; variables and identities have one spec."""
+    single = {s.field for s in specs if s.identity or s.is_variable}
+    _unique([s.field for s in specs if s.field in single], "field name")
     known: set[str] = set()
     for stage in (("job",), ("file",), ("url",), SOURCES[3:]):
         for spec in (s for s in specs if s.source in stage):
-            if spec.task and spec.task.operand_source == "variable":
-                if spec.task.operand not in known:
-                    raise ValueError(f"{spec.field}: variable {spec.task.operand!r} is not set yet")
+            for task in spec.tasks:
+                if task.operand_source == "variable" and task.operand not in known:
+                    raise ValueError(f"{spec.field}: variable {task.operand!r} is not set yet")
             if spec.is_variable:
                 known.add(spec.field)
     for spec in specs:
         _one_of(spec.source, SOURCES, "source")
         _one_of(spec.analyzer, ANALYZERS, "analyzer")
-        if spec.task:
-            _one_of(spec.task.operand_source, ("job", "variable"), "operand source")
-            _one_of(spec.task.condition, CONDITIONS, "condition")
-            _one_of(spec.task.action, ACTIONS, "action")
+        for task in spec.tasks:
+            _one_of(task.operand_source, ("job", "variable"), "operand source")
+            _one_of(task.condition, CONDITIONS, "condition")
+            _one_of(task.action, ACTIONS, "action")
+        if spec.where and spec.source not in ("file_content", "page_content"):
+            raise ValueError(f"{spec.field}: only elements of a page have attributes to test")
         if spec.identity and (spec.is_variable or spec.multi):
             raise ValueError(f"{spec.field}: an identity field is stored and has one value")
     if not any(s.identity for s in specs):

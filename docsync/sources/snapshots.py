@@ -2,13 +2,14 @@
 
 Layout below one root::
 
-    base/v=N-.../  full document table, partitioned by document type or bucketed by identity
+    base/v=N-.../  full document table, bucketed by identity (or partitioned, where asked for)
     delta/v=N-.../ changed documents and delete marks of one batch
     manifest/...   one row per version: kind, folder, what it folds in, schema, buckets, stamps
 
 Every attempt writes to a folder of its own and the manifest row comes last, so a failed or repeated
 write is never seen. A base folds in every delta up to ``folded``; later deltas are laid over it when
-reading.
+reading. A folded base keeps the marks of its changes, and those of deleted documents for a while, so
+that an event which arrives late never replaces a newer one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -29,11 +30,15 @@ from docsync.session import config_frame
 
 MANIFEST = (
     "version bigint, kind string, folder string, folded bigint, schema string, "
-    "buckets int, bucketed_by array<string>, stamps array<struct<index: string, stamp: timestamp>>"
+    "buckets int, bucketed_by array<string>, stamps array<struct<index: string, stamp: timestamp>>, "
+    "partition_by array<string>"
 )
 
 # Columns a delta has besides those of the documents.
-MARKS = ("is_deleted", "changed_at", "change_id")
+MARKS = {"is_deleted": "boolean", "changed_at": "timestamp", "change_id": "bigint"}
+
+# How long a folded base remembers the marks of deleted documents.
+HORIZON = timedelta(days=30)
 
 
 def _manifest(spark: SparkSession, root: str, rows: str = "v=*") -> DataFrame | None:
@@ -64,21 +69,25 @@ def _new_folder(kind: str, version: int) -> str:
 
 def write_snapshot(
     docs: DataFrame, root: str, version: int, folded: int = -1,
-    stamps: Mapping[str, datetime] | None = None, partition_by: Sequence[str] = ("doc_type",),
+    stamps: Mapping[str, datetime] | None = None, partition_by: Sequence[str] = (),
     buckets: int | None = None, bucketed_by: Sequence[str] = ("path",),
 ) -> None:
     """Write a full table as base ``version`` and publish it. ``folded`` is the highest delta it
     already contains. A published version is never rewritten.
 
-    With ``buckets`` the table is bucketed and sorted by identity instead of partitioned. Upserts
-    and deletes on a table read back from buckets then move only the incoming rows, and a table that
-    came from such an upsert (``incoming.repartition(buckets, *keys)``) is written without a shuffle.
+    The table is bucketed and sorted by identity, into ``buckets`` (by default as many as there are
+    shuffle partitions). Upserts, deletes and deltas on a table read back from buckets then move
+    only the incoming rows, and a table that came from such an upsert
+    (``incoming.repartition(buckets, *keys)``) is written without a shuffle. With ``partition_by`` it
+    is partitioned instead.
     """
     spark = docs.sparkSession
     if is_published(spark, root, "base", version):
         raise ValueError(f"base version {version} is already published")
     folder = _new_folder("base", version)
-    if buckets is None:
+    if not partition_by:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partition_by:
         docs.write.partitionBy(*partition_by).parquet(f"{root}/{folder}")
     else:
         keys, table = list(bucketed_by), f"docsync_{uuid.uuid4().hex}"
@@ -95,7 +104,8 @@ def write_snapshot(
     marks = [{"index": k, "stamp": v} for k, v in (stamps or {}).items()]
     _publish(spark, root, Row(
         version=version, kind="base", folder=folder, folded=folded, schema=docs.schema.json(),
-        buckets=buckets, bucketed_by=list(bucketed_by) if buckets else None, stamps=marks,
+        buckets=None if partition_by else buckets, bucketed_by=None if partition_by else list(bucketed_by),
+        stamps=marks, partition_by=list(partition_by),
     ))
 
 
@@ -109,7 +119,7 @@ def write_delta(changes: DataFrame, root: str, version: int) -> bool:
     changes.write.parquet(f"{root}/{folder}")
     _publish(spark, root, Row(
         version=version, kind="delta", folder=folder, folded=-1, schema=changes.schema.json(),
-        buckets=None, bucketed_by=None, stamps=[],
+        buckets=None, bucketed_by=None, stamps=[], partition_by=[],
     ))
     return True
 
@@ -157,45 +167,70 @@ def read_delta_changes(spark: SparkSession, root: str, keys: Sequence[str]) -> D
     _, deltas = _versions(spark, root)
     if not deltas:
         return None
-    schema = StructType.fromJson(json.loads(deltas[-1].schema))
+    schema = StructType()
+    for delta in deltas:  # later deltas add columns to those of earlier ones, and drop none
+        new = StructType.fromJson(json.loads(delta.schema))
+        schema = StructType(schema.fields + [f for f in new.fields if f.name not in schema.names])
     changes = spark.read.schema(schema).parquet(*(f"{root}/{d.folder}" for d in deltas))
     return latest_per_identity(changes, keys, "changed_at", "change_id")
 
 
+def _with_marks(docs: DataFrame) -> DataFrame:
+    """A base with the columns of ``MARKS``; documents that no event has changed have no time."""
+    missing = {n: F.lit(None).cast(t) for n, t in MARKS.items() if n not in docs.columns}
+    return docs.withColumns(missing).withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+
+
+def _overlaid(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """The newest base with its deltas, marks and delete marks included."""
+    base, _ = _versions(spark, root)
+    docs = _with_marks(_read_base(spark, root, base)) if base else None
+    changes = read_delta_changes(spark, root, keys)
+    if docs is None and changes is None:
+        raise ValueError(f"nothing is published below {root}")
+    if docs is None or changes is None:
+        return docs if changes is None else changes
+    # Changes older than what the base has folded in already are late and lose.
+    known = docs.filter("changed_at is not null").select(
+        *keys, F.struct("changed_at", "change_id").alias("_known"))
+    later = F.col("_known").isNull() | (F.struct("changed_at", "change_id") > F.col("_known"))
+    changes = changes.join(known, list(keys), "left").filter(later).drop("_known")
+    return delete_docs(docs, changes, keys).unionByName(changes, allowMissingColumns=True)
+
+
 def read_snapshot(
     spark: SparkSession, root: str, keys: Sequence[str] = ("path",), version: int | None = None
 ) -> DataFrame:
     """The published document table: the newest base (or base ``version`` alone) with later deltas
-    laid over it. Only the deltas' keys meet the base, never its contents."""
+    laid over it. A bucketed base stays where it is; the deltas' keys move to it."""
     if version is not None:
         if not is_published(spark, root, "base", version):
             raise ValueError(f"base version {version} is not published")
-        return _read_base(spark, root, _manifest(spark, root, f"v=base-{version}").first())
-    base, _ = _versions(spark, root)
-    docs = _read_base(spark, root, base) if base else None
-    changes = read_delta_changes(spark, root, keys)
-    if changes is None:
-        if docs is None:
-            raise ValueError(f"nothing is published below {root}")
-        return docs
-    alive = changes.filter(~F.col("is_deleted")).drop(*MARKS)
-    if docs is None:
-        return alive
-    return delete_docs(docs, changes, keys).unionByName(alive)
+        found = _with_marks(_read_base(spark, root, _manifest(spark, root, f"v=base-{version}").first()))
+    else:
+        found = _overlaid(spark, root, keys)
+    return found.filter(~F.col("is_deleted")).drop(*MARKS)
 
 
 def compact(
-    spark: SparkSession, root: str, keys: Sequence[str] = ("path",),
-    partition_by: Sequence[str] = ("doc_type",),
+    spark: SparkSession, root: str, keys: Sequence[str] = ("path",), horizon: timedelta = HORIZON,
 ) -> int:
-    """Fold all published deltas into a new base, bucketed like the last one; returns its version."""
+    """Fold all published deltas into a new base with the layout and stamps of the last one; returns
+    its version. Marks of documents deleted longer than ``horizon`` before the last change go: an
+    event later than that counts as new."""
     base, deltas = _versions(spark, root)
     number = (base.version if base else -1) + 1
     folded = deltas[-1].version if deltas else (base.folded if base else -1)
+    layout = {"bucketed_by": list(keys)}
     if base and base.buckets:
         layout = {"buckets": base.buckets, "bucketed_by": base.bucketed_by}
-    else:
-        layout = {"partition_by": partition_by}
-    write_snapshot(read_snapshot(spark, root, keys), root, number, folded, **layout)
+    elif base:
+        layout = {"partition_by": base.partition_by}
+    stamps = {s["index"]: s["stamp"] for s in (base.stamps if base else None) or []}
+    found = _overlaid(spark, root, keys)
+    last = found.agg(F.max("changed_at").alias("last")).first().last
+    if last is not None:
+        found = found.filter(~F.col("is_deleted") | (F.col("changed_at") >= F.lit(last - horizon)))
+    write_snapshot(found, root, number, folded, stamps, **layout)
     return number
 

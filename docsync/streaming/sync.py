@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docsync.operators.access import inherit_roles
+from docsync.functions.paths import folder_of
+from docsync.plans.reconcile import check_handlers, without_document
 from docsync.session import cut_lineage
 from docsync.sources.quarantine import identity_checks, quarantine
 from docsync.sources.snapshots import is_published, write_delta
@@ -23,22 +26,28 @@ def changes_of_batch(
     handlers: Mapping[str, Handler], webs: Sequence[tuple], file_types: Sequence[tuple],
     dispatch: Sequence[tuple], checks: Mapping | None = None,
     listing: DataFrame | None = None, index: DataFrame | None = None,
+    role_conf: Sequence[tuple] | DataFrame = (), root_roles: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """``(changes, errors)`` for one batch of events.
 
     ``content`` is called with the paths to be mapped and returns rows with ``path`` and what the
     handlers read; it may return more than was asked for, or read only the folders concerned.
-    ``handlers`` maps handler names to functions from items to documents (identity ``path``). Changes are documents with the marks a
-    delta needs; a created or changed item whose path is no longer in ``content`` counts as
-    deleted. Documents that fail a check go to ``errors`` and leave the table as it was.
+    ``handlers`` maps handler names to functions from items to documents (identity ``path``); an event
+    for a handler that is not supplied is an error. Items carry the ``roles`` that their folder
+    inherits from ``root_roles`` by ``role_conf``. Changes are documents with the marks a delta needs;
+    a created or changed item whose path is no longer in ``content`` counts as deleted. Documents that
+    fail a check, and items without a document, go to ``errors`` and leave the table as it was.
     """
     if listing is not None and index is not None:
         # The folder events of one batch; the files below come from the listing and the table.
         events = events.unionByName(folder_events(events, listing, index))
     routed = route_events(events, webs, file_types, dispatch)
     work = cut_lineage(latest_event(routed, ["path"]), "work")
+    check_handlers(work, handlers)
     to_map = work.filter("action <> 'deleted'")
-    wanted = to_map.select("path", "url", "web", "file_type", "handler")
+    wanted = to_map.select("path", "url", "web", "file_type", "handler", folder_of(F.col("path")).alias("_dir"))
+    roles = inherit_roles(wanted.select(F.col("_dir").alias("dir")), role_conf, root_roles)
+    wanted = wanted.join(roles.withColumnRenamed("dir", "_dir"), "_dir").drop("_dir")
     # Read once: every handler and the check for missing files start from here.
     items = cut_lineage(content(wanted.select("path")).join(wanted, "path"), "items")
     mapped = [
@@ -47,6 +56,7 @@ def changes_of_batch(
     docs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), mapped)
     docs = cut_lineage(docs, "mapped")
     ok, errors = quarantine(docs, {**identity_checks(["path"]), **(checks or {})})
+    errors = errors.unionByName(without_document(items.select("path", F.lit("mapped").alias("action")), docs))
     gone = (
         work.filter("action = 'deleted'")
         .select("path")
@@ -65,6 +75,7 @@ def sync_stream(
     handlers: Mapping[str, Handler], webs: Sequence[tuple], file_types: Sequence[tuple],
     dispatch: Sequence[tuple], checks: Mapping | None = None,
     folders: Callable[[], tuple[DataFrame, DataFrame]] | None = None, trigger: Mapping | None = None,
+    role_conf: Sequence[tuple] | DataFrame = (), root_roles: Sequence[str] = (),
 ) -> StreamingQuery:
     """Keep the snapshot below ``root`` in step with an event stream.
 
@@ -79,7 +90,7 @@ def sync_stream(
             return
         changes, errors = changes_of_batch(
             batch, content, handlers, webs, file_types, dispatch, checks,
-            *(folders() if folders else ()),
+            *(folders() if folders else (None, None)), role_conf, root_roles,
         )
         errors.write.mode("overwrite").parquet(f"{root}/errors/v={batch_id}")
         write_delta(changes, root, batch_id)

@@ -39,11 +39,9 @@ def test_authorized_groups(frame, rows):
         ("f", ["u", "v"]), ("g", ["u"])]
 
 
-def test_visible_to(frame, rows, monkeypatch):
+def test_visible_to(frame, rows):
     docs = frame([("a", ["A", "B"]), ("b", ["C"]), ("c", []), ("d", None)], "path string, roles array<string>")
     caller = frame([("B",), ("C",), ("C",)], "role string")
     assert rows(access.visible_to(docs, ["B", "Z"]), "path") == [("a",)]
     assert rows(access.visible_to(docs, []), "path") == []
     assert rows(access.visible_to(docs, caller), "path") == [("a",), ("b",)]
-    monkeypatch.setattr(access, "MAX_CONFIG_ROWS", 1)
-    assert rows(access.visible_to(docs, caller), "path") == [("a",), ("b",)]

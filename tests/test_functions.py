@@ -62,10 +62,13 @@ def test_decode_entities(frame, raw, expected):
     assert one(frame, text.decode_entities, raw) == expected
 
 
-def test_decode_all_entities_covers_named_and_numeric(frame):
-    got = frame([("&eacute;&#x41;&amp;lt;",), (None,)], "x string").select(
-        text.decode_all_entities(F.col("x")).alias("y")).collect()
-    assert [r.y for r in got] == ["éA&lt;", None]
+def test_decode_entities_covers_named_and_numeric(frame):
+    known = [n for n in text.NAMED if n != "NewLine;"]
+    whole = "x".join("&" + n for n in known)
+    raw = ["&eacute;&#233;&#x41;&#X1F600;&amp;lt;", whole, "&#0;&#xD800;&#99999999;&;&#;&x", "&&amp;&", None]
+    got = frame([(r,) for r in raw], "x string").select(text.decode_entities(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [
+        "ééA😀&lt;", "x".join(text.NAMED[n] for n in known), raw[2], "&&&", None]
 
 
 def test_decoded_space_survives_trimming(frame):

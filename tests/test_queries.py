@@ -10,7 +10,9 @@ from conftest import SF
 import __spark_entry__ as entry
 
 TABLES = "documents pages events conversations labels benchmark".split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from docsync.plans.oracles import ORACLES  # noqa: E402
+from docsync.plans.queries import QUERIES  # noqa: E402
+
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -33,8 +35,9 @@ def table(columns, rows):
     return sorted(repr([plain(row[i]) for i in order]) for row in rows)
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
