@@ -28,17 +28,32 @@ PER_CLASS = 2_000
 STEPS = 40_000
 RATE = 0.1
 SEED = 5
+# Words scored together, and new words whose vectors are made together; they bound a task's memory.
+PART, NEW_WORDS = 1 << 19, 1 << 15
 THRESHOLD = 0.7
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Buckets of a word: the word itself and its character n-grams, with marks for its ends. Of
-    words over 100 bytes the n-grams of every place are taken too."""
-    marked = b"<" + word + b">"
-    parts = [marked] + [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
-    return (hashes & _MASK).astype(np.int64)
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(buckets, starts, hashes)``: for each word, from its start on, the buckets of the word itself
+    and of its character n-grams, with marks for its ends; and the hash of each word."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    text = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    owners, buckets = [np.arange(len(words))], [hashes & _MASK]
+    for n in GRAMS:
+        # An n-gram belongs to the word in which it begins and ends.
+        begin = np.flatnonzero(np.arange(len(text)) + n <= ends[owner])
+        code = np.full(len(begin), n, np.uint64)
+        for i in range(n):
+            code = (code << np.uint64(8)) | text[begin + i]
+        owners.append(owner[begin])
+        buckets.append(scramble(scramble(code)) & _MASK)
+    owners, buckets = np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
+    order = np.argsort(owners, kind="stable")
+    return buckets[order], np.searchsorted(owners[order], np.arange(len(words))), hashes
 
 
 def pair_features(hashes: np.ndarray) -> np.ndarray:
@@ -62,14 +77,13 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    distinct: dict[bytes, int] = {}
-    for word in words:
-        distinct[word] = distinct.get(word, 0) + 1
-    total = np.zeros(1 << BUCKETS_LOG2)
-    for word, count in distinct.items():
-        own = word_features(word)
-        np.add.at(total, own, count / len(own) / len(words))
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    place: dict[bytes, int] = {}
+    rows = np.array([place.setdefault(w, len(place)) for w in words])
+    buckets, starts, hashes = word_features(list(place))
+    sizes = np.diff(np.append(starts, len(buckets)))
+    shares = np.bincount(rows) / sizes / len(words)
+    total = np.bincount(buckets, np.repeat(shares, sizes), minlength=1 << BUCKETS_LOG2)
+    hashes = hashes[rows]
     for group in (pair_features(hashes), repetition_features(hashes)):
         if len(group):
             total += np.bincount(group, minlength=len(total)) / len(group)
@@ -155,24 +169,41 @@ class Scorer:
         self.vectors = np.empty((1024, DIMENSIONS), np.float32)
         self.hashes = np.empty(1024, np.uint64)
 
-    def row(self, word: bytes) -> int:
-        row = len(self.rows)
-        if row == len(self.vectors):
-            self.vectors = np.concatenate((self.vectors, np.empty_like(self.vectors)))
-            self.hashes = np.concatenate((self.hashes, np.empty_like(self.hashes)))
-        self.vectors[row] = self.model.table[word_features(word)].mean(axis=0)
-        self.hashes[row] = xxhash.xxh3_64_intdigest(word)
-        self.rows[word] = row
-        return row
-
-    def score(self, text: bytes) -> float:
-        words = text.split()
-        if not words:
-            return self.model.score(np.zeros(DIMENSIONS, np.float32))
+    def learn(self, words: list[bytes]) -> None:
+        """Vectors of new words, many at a time."""
+        first, need = len(self.rows), len(self.rows) + len(words)
+        if need > len(self.vectors):
+            more = max(need, 2 * len(self.vectors)) - len(self.vectors)
+            self.vectors = np.concatenate((self.vectors, np.empty((more, DIMENSIONS), np.float32)))
+            self.hashes = np.concatenate((self.hashes, np.empty(more, np.uint64)))
+        buckets, starts, self.hashes[first:need] = word_features(words)
+        sizes = np.diff(np.append(starts, len(buckets)))
+        self.vectors[first:need] = np.add.reduceat(self.model.table[buckets], starts) / sizes[:, None]
+        self.rows.update(zip(words, range(first, need)))
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        """Scores of texts, taken together in parts of bounded size."""
+        found, part, size = [], [], 0
+        for text in texts:
+            part.append(text.split())
+            size += len(part[-1])
+            if size >= PART:
+                found += self._scores(part)
+                part, size = [], 0
+        return found + self._scores(part)
+
+    def _scores(self, texts: list[list[bytes]]) -> list[float]:
         if len(self.rows) > MEMO:
             self.rows.clear()
-        known = self.rows
-        rows = np.array([known[w] if w in known else self.row(w) for w in words])
+        new = list(set().union(*texts).difference(self.rows))
+        for start in range(0, len(new), NEW_WORDS):
+            self.learn(new[start:start + NEW_WORDS])
+        return [self._score(words) for words in texts]
+
+    def _score(self, words: list[bytes]) -> float:
+        if not words:
+            return self.model.score(np.zeros(DIMENSIONS, np.float32))
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         hashes, table = self.hashes[rows], self.model.table
         vector = self.vectors[rows].mean(axis=0, dtype=float)
         for group in (pair_features(hashes), repetition_features(hashes)):
@@ -194,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
         for batch in batches:
-            scores = [scorer.score(t) for t in column(batch, "text").to_pylist()]
+            scores = scorer.scores(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -210,6 +241,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col:
         scorer = Scorer(Model(*shared.value))
         for batch in batches:
             texts = column(batch, text_col).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([scorer.score(t or b"") >= threshold for t in texts], pa.bool_()))
+            scores = scorer.scores([t or b"" for t in texts])
+            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -333,5 +333,16 @@ def test_doc_features_match_scorer():
     text = "one two two one é three|| one".encode()
     used, shares = quality.document_features(text)
     vector = shares @ model.table[used].astype(float)
-    assert quality.Scorer(model).score(text) == pytest.approx(model.score(vector), abs=1e-5)
-    assert quality.Scorer(model).score(b"b c a") > 0.7 > quality.Scorer(model).score(b"z!! z!! z!! z!!")
+    assert quality.Scorer(model).scores([text]) == pytest.approx([model.score(vector)], abs=1e-5)
+    good, bad = quality.Scorer(model).scores([b"b c a", b"z!! z!! z!! z!!"])
+    assert good > 0.7 > bad
+
+
+def test_word_features_one_by_one():
+    words = [b"a", b"abcd", "é".encode(), b"x" * 300]
+    buckets, starts, _ = quality.word_features(words)
+    for i, word in enumerate(words):
+        own = quality.word_features([word])[0]
+        end = starts[i + 1] if i + 1 < len(words) else len(buckets)
+        assert (buckets[starts[i]:end] == own).all()
+        assert len(own) == 1 + len(word) + max(0, len(word) - 1)
