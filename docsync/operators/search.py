@@ -7,7 +7,7 @@ reaches the Parquet scan when the postings are stored, and only what is left is
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,20 +77,40 @@ def query_words(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[\W_]+", text.lower()) if w))
 
 
-def _all_words_somewhere(words: Sequence[str], fields: Sequence[str]) -> tuple[dict, Column]:
-    """Per-field match counts, and the condition that one field has all the words."""
-    counts = {f"_in_{i}": F.count_if(F.col("field") == f) for i, f in enumerate(fields)}
-    found = F.lit(False)
-    for name in counts:
-        found = found | (F.col(name) == len(set(words)))
+def field_terms(
+    words: str | Sequence[str], analyzers: Mapping[str, str], stop_words: Sequence[str] = ()
+) -> dict[str, list[str]]:
+    """The terms a query asks each field for: its words as that field's analyzer makes them. A
+    ``keyword`` field is asked for the text (or each given word) as a whole."""
+    whole = [words.strip()] if isinstance(words, str) else list(words)
+    split = query_words(" ".join(whole))
+    made = {
+        "keyword": [w for w in dict.fromkeys(whole) if w],
+        "standard": split,
+        "standard_stop": [w for w in split if w not in set(stop_words)],
+    }
+    return {field: made[analyzer] for field, analyzer in analyzers.items()}
+
+
+def _somewhere(terms: Mapping[str, Sequence[str]], operator: str) -> tuple[dict, Column]:
+    """Per-field match counts, and the condition that one field has all (``and``) or any (``or``) of
+    its terms. A field without terms has none."""
+    if operator not in ("and", "or"):
+        raise ValueError(f"operator {operator!r} is neither 'and' nor 'or'")
+    counts, found = {}, F.lit(False)
+    for i, (field, wanted) in enumerate(terms.items()):
+        counts[f"_in_{i}"] = F.count_if(F.col("field") == field)
+        least = len(set(wanted)) if operator == "and" else 1
+        if wanted:
+            found = found | (F.col(f"_in_{i}") >= least)
     return counts, found
 
 
 def multi_field_query(
-    postings: DataFrame, words: Sequence[str], fields: Sequence[str]
+    postings: DataFrame, words: Sequence[str], fields: Sequence[str], operator: str = "and"
 ) -> DataFrame:
-    """``(doc_key)`` of the documents in which at least one field contains all the words."""
-    counts, found = _all_words_somewhere(words, fields)
+    """``(doc_key)`` of the documents in which at least one field contains all the words, or any."""
+    counts, found = _somewhere({f: words for f in fields}, operator)
     if not words or not fields:
         return postings.select("doc_key").filter(F.lit(False))
     return (
@@ -156,11 +176,23 @@ def score(
 def score_words(
     postings: DataFrame, words: Sequence[str], fields: Sequence[str], term_stats: DataFrame,
     n_docs: Column | int, boosts: dict[str, float] | None = None, lengths: DataFrame | None = None,
+    operator: str = "and",
 ) -> DataFrame:
     """``(doc_key, score)`` of the documents ``multi_field_query`` finds, ranked over all their
-    matched words. Matching and ranking share one aggregation."""
-    clauses = word_clauses(words, fields, boosts)
-    counts, found = _all_words_somewhere(words, fields)
+    matched words."""
+    terms = {f: words for f in fields}
+    return score_terms(postings, terms, term_stats, n_docs, boosts, lengths, operator)
+
+
+def score_terms(
+    postings: DataFrame, terms: Mapping[str, Sequence[str]], term_stats: DataFrame,
+    n_docs: Column | int, boosts: dict[str, float] | None = None, lengths: DataFrame | None = None,
+    operator: str = "and",
+) -> DataFrame:
+    """``(doc_key, score)`` of the documents in which one field has all (or any) of its own terms,
+    ranked over all their matches. Matching and ranking share one aggregation."""
+    clauses = [c for f, words in terms.items() for c in word_clauses(words, [f], boosts)]
+    counts, found = _somewhere(terms, operator)
     if not clauses:
         return postings.select("doc_key", F.lit(0.0).alias("score")).filter(F.lit(False))
     return (

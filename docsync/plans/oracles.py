@@ -228,7 +228,61 @@ scored AS (
       OR count(*) FILTER (field = 'content') = {len(words)})"""
 
 
+def _stop(words: str) -> str:
+    """Postings of the stored index: the content without stop words."""
+    kept = f"list_filter({_tokens('text')}, lambda t: t NOT IN ({words}))"
+    return _POSTINGS.replace(f"'content', {_tokens('text')}", f"'content', {kept}")
+
+
+def _ranked(clauses: str, having: str, n: int) -> str:
+    """Ranking over the given (field, term) pairs."""
+    weight = _WEIGHT.replace("c.boost", "CASE p.field WHEN 'title' THEN 2.0 ELSE 1.0 END")
+    return f"""
+hits AS (
+  SELECT p.doc_key, p.field, {weight} AS w
+  FROM postings p JOIN stats s USING (field, term)
+    JOIN lengths n ON n.doc_key = p.doc_key AND n.field = p.field
+  WHERE (p.field, p.term) IN ({clauses})),
+scored AS (
+  SELECT doc_key, round(sum(w) * count(*) / {n}, 6) AS score FROM hits GROUP BY doc_key HAVING {having})"""
+
+
+_AS_ASKED = "('title', 'the'), ('title', 'and'), ('content', 'and')"
+
 ORACLES: dict[str, str] = {
+    "compact": f"""
+WITH {_FILES}, {_CONTENT}
+SELECT n.path, CASE WHEN i.version = n.version THEN 0 ELSE n.version END AS version,
+  CASE WHEN i.version = n.version THEN 'late' ELSE n.content END AS content,
+  CASE WHEN i.version = n.version THEN NULL ELSE 'edited' END AS note
+FROM new_docs n LEFT JOIN idx i USING (path)""",
+    "sweep": rf"""
+WITH {_FILES}, {_ROLES}, {_CLASSIFIED}, located AS (
+  SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '\.([^.]+)$', 1) AS ext
+  FROM classified WHERE starts_with(path, '/src1/') AND action <> 'unchanged')
+SELECT c.path, c.version, c.action, t.file_type, h.handler, 'first' AS web,
+  'https://first.example.com' || substr(c.path, 6) AS url, array_to_string(r.roles, '|') AS roles
+FROM located c JOIN {_TYPES} USING (ext) JOIN {_DISPATCH} USING (file_type, action) LEFT JOIN roles r USING (dir)""",
+    "map_fields_where": rf"""
+SELECT page_id, {_clean(f"""nullif(regexp_extract({_markup("html")}, '(?is)<div\s+class="ad"[^>]*>(.*?)</div\s*>', 1), '')""")} AS ad,
+  {_attr("html", "meta", "charset")} AS charset, NULL::VARCHAR AS other,
+  concat_ws('|', {_texts("html", "title")}[1], {_texts("html", "h1")}[1]) AS title,
+  CASE WHEN url LIKE '%#%' THEN NULL WHEN url LIKE '%?%' THEN 'query' ELSE 'Page' END AS kind
+FROM pages""",
+    "search_stored_index": f"""
+WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED, """count(*) FILTER (field = 'title') = 2
+    OR count(*) FILTER (field = 'content') = 1""", 3)}
+SELECT s.doc_key, d.title, d.lang, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
+WHERE d.active = 1 AND list_has_any(d.roles, ['A', 'D']) ORDER BY s.score DESC, s.doc_key LIMIT 20""",
+    "search_any_word": f"""
+WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED, "count(*) > 0", 3)}
+SELECT s.doc_key, d.title, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
+ORDER BY s.score DESC, s.doc_key LIMIT 50""",
+    "search_keyword_field": f"""
+WITH {_DOCS}
+SELECT path AS doc_key, lang, round(power(1 + ln((SELECT count(*) FROM documents)::DOUBLE
+    / ((SELECT count(*) FROM documents WHERE lang = 'fr') + 1)), 2), 6) AS score
+FROM docs WHERE lang = 'fr' AND active = 1""",
     "list_files": """
 SELECT DISTINCT concat('/source=', source, '/lang=', lang) AS dir, 'parquet' AS ext,
   true AS has_content, true AS has_time FROM documents""",

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from docsync.functions import markup, text, values
 from docsync.operators import access, changes, content, mapping, search as se, store
 from docsync.operators import index as ix
-from docsync.plans import inputs
+from docsync.plans import inputs, reconcile as rc
 from docsync.plans.reconcile import with_eligible
-from docsync.plans.search import TextIndex, index_for_words, search
+from docsync.plans.search import (
+    TextIndex, build_index, index_for_words, read_index, search, write_index,
+)
 from docsync.schema import Clause, FieldSpec, Task
 from docsync.session import shared_folder
 from docsync.sources import files, quarantine as qu, snapshots
@@ -109,6 +111,37 @@ def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.read_snapshot(spark, root).select("path", "version", "content")
 
 
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base 0 and a delta with one more column are folded; then a delta arrives late that is older
+    than what the first one changed and would overwrite every document."""
+    root = shared_folder(spark, "snapshot")
+    listing, index = inputs.listing(spark, sf_dir), inputs.index(spark, sf_dir)
+    snapshots.write_snapshot(_docs_at(spark, sf_dir, index), root, 0, buckets=BUCKETS)
+
+    def marked(df: DataFrame, second: int) -> DataFrame:
+        return df.withColumns({
+            "changed_at": F.timestamp_seconds(F.lit(second)), "change_id": F.lit(second).cast("bigint")})
+
+    action = changes.classify_changes(listing.withColumn("eligible", F.lit(True)), index, ["path"])
+    touched = action.filter("action <> 'unchanged'").select("path", (F.col("action") == "deleted").alias("is_deleted"))
+    now = _docs_at(spark, sf_dir, listing).withColumn("note", F.lit("edited"))
+    snapshots.write_delta(marked(touched.join(now, "path", "left"), 10), root, 1)
+    snapshots.compact(spark, root)
+    late = listing.select("path").union(index.select("path")).distinct().select(
+        "path", F.lit(False).alias("is_deleted"), F.lit(0).cast("bigint").alias("version"), F.lit("late").alias("content"))
+    snapshots.write_delta(marked(late, 5), root, 2)
+    return snapshots.read_snapshot(spark, root).select("path", "version", "content", "note")
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One web of two in the same index is swept: a listing of its folder against all documents."""
+    web = ("first", "/src1", "https://first.example.com/", ".")
+    listing = inputs.listing(spark, sf_dir).filter(F.col("dir").startswith("/src1/"))
+    work = rc.sweep(listing, inputs.index(spark, sf_dir), web, inputs.EXCLUDED, inputs.FILE_TYPES,
+                    inputs.DISPATCH, inputs.ROLE_CONF, inputs.ROOT_ROLES)
+    return work.withColumn("roles", _joined("roles"))
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose address has a fragment count as not fetched."""
     fetched = inputs.page_items(spark, sf_dir).select(
@@ -134,6 +167,22 @@ def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.withColumn("paragraph", _joined("paragraph"))
 
 
+def map_fields_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements chosen by an attribute, two elements that feed one field, two tasks on one field."""
+    specs = [
+        FieldSpec("page", "page_id", "job", "page_id", identity=True),
+        FieldSpec("page", "ad", "page_content", tag="div", where=("class", "ad")),
+        FieldSpec("page", "charset", "file_content", "charset", tag="meta", where=("charset", "utf-8")),
+        FieldSpec("page", "other", "file_content", "charset", tag="meta", where=("charset", "latin1")),
+        FieldSpec("page", "title", "page_content", tag="title"),
+        FieldSpec("page", "title", "page_content", tag="h1"),
+        FieldSpec("page", "kind", "job", "doc_type", task=(
+            Task("job", "url", "contains", "?", "set", "query"), Task("job", "url", "contains", "#", "clear"))),
+    ]
+    mapped = mapping.map_fields(inputs.page_items(spark, sf_dir), specs)
+    return mapped.withColumn("title", _joined("title"))
+
+
 def job_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = inputs.listing(spark, sf_dir)
     roles = access.inherit_roles(listed.select("dir"), inputs.ROLE_CONF, inputs.ROOT_ROLES)
@@ -485,6 +534,39 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, WORDS, FIELDS, ["title", "lang"], ["A", "D"], 1, BOOSTS, 20)
 
 
+def _stored_index(spark: SparkSession, sf_dir: str, specs: list[FieldSpec], stop_words: list[str]) -> TextIndex:
+    """The document table's index, written and read again."""
+    docs, folder = inputs.docs(spark, sf_dir), shared_folder(spark, "index")
+    write_index(build_index(docs, specs, "path", with_positions=False, stop_words=stop_words), folder)
+    return read_index(spark, folder, docs, "path")
+
+
+STORED = [
+    FieldSpec("document", "title", "doc_info", "title", boost=2.0),
+    FieldSpec("document", "content", "doc_content", analyzer="standard_stop"),
+    FieldSpec("document", "lang", "job", "lang", analyzer="keyword"),
+    FieldSpec("document", "active", "job", "active", analyzer="keyword"),
+    FieldSpec("document", "roles", "job", "roles", analyzer="keyword"),
+]
+
+
+def search_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words in one field, each field analysed in its own way; activity and roles as terms."""
+    index = _stored_index(spark, sf_dir, STORED, ["the"])
+    return search(index, "The and", FIELDS, ["title", "lang"], ["A", "D"], 1, k=20)
+
+
+def search_any_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _stored_index(spark, sf_dir, STORED[:2], ["the"])
+    return search(index, "the and", FIELDS, ["title"], active=None, k=50, operator="or")
+
+
+def search_keyword_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole value as one term: no splitting, no lower case."""
+    index = _stored_index(spark, sf_dir, STORED[2:], [])
+    return search(index, ["fr"], ["lang"], ["lang"], active=1, k=None)
+
+
 # --- change events -------------------------------------------------------------------------------
 
 
@@ -568,8 +650,8 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         list_files, exclude_subtrees, route_by_extension, derive_url, split_url, write_snapshot,
-        read_snapshot, quarantine,
-        map_fields, job_fields, with_variables, conditional_value, join_values, info_fields,
+        read_snapshot, compact, sweep, quarantine,
+        map_fields, map_fields_where, job_fields, with_variables, conditional_value, join_values, info_fields,
         to_field_rows, identity_key,
         first_attribute, node_texts, normalise_lines, decode_entities, page_text, assemble_text,
         resolve_shared_strings,
@@ -581,6 +663,7 @@ QUERIES: dict[str, Query] = {
         tokenize, analyze_fields, build_postings, term_stats, field_lengths, term_query,
         bool_query, multi_field_query, score, top_k, total_hits, fetch_fields,
         read_change_events, route_events, latest_event, debounce_events, folder_events, sync_stream,
+        search_stored_index, search_any_word, search_keyword_field,
     )
 }
 QUERIES["search"] = search_documents

@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from docsync.operators import changes, store
 from docsync.plans.reconcile import reconcile, sweep, with_eligible
 from docsync.sources.files import list_files
@@ -180,3 +182,30 @@ def test_sweep_of_a_real_folder(spark, tmp_path, rows):
     assert rows(work, "url", "action") == [("http://h/a.html", "created"), ("http://h/s/b.html", "created")]
     assert sweep(listing, listing, web, [], TYPES, DISPATCH, [], ["R"]).count() == 0
     assert with_eligible(listing, [], TYPES).filter("eligible").count() == 2
+
+
+def test_a_sweep_leaves_other_webs_alone(frame, rows):
+    listing = frame([("/r/a.html", "/r", "html", 1)], LISTED)
+    index = frame([("/r/a.html", "/r", "html", 1), ("/v/x.html", "/v", "html", 1), ("/r/b.html", "/r", "html", 1)], LISTED)
+    work = sweep(listing, index, WEB, [], TYPES, DISPATCH, [], ["R"])
+    assert rows(work, "path", "action") == [("/r/b.html", "deleted")]
+
+
+def test_a_handler_that_is_not_supplied_is_an_error(frame, rows):
+    listing = frame([("/r/a.html", "/r", "html", 1), ("/r/d.txt", "/r", "txt", 1)], LISTED)
+    work = sweep(listing, listing.limit(0), WEB, [], TYPES, DISPATCH, [], ["R"])
+    docs = frame([], "path string, content string, version_ticks bigint")
+    contents = frame([("/r/a.html", "A"), ("/r/d.txt", "D")], "path string, content string")
+    with pytest.raises(ValueError, match="map"):
+        reconcile(docs, work, contents, {"other": lambda items: items})
+    keeps_one = lambda items: items.filter("path = '/r/a.html'").selectExpr("path", "content", "1L AS version_ticks")
+    after, errors = reconcile(docs, work, contents, {"map": keeps_one})
+    assert rows(after, "path") == [("/r/a.html",)]
+    assert rows(errors) == [("/r/d.txt", "mapping", "no document")]
+
+
+def test_equal_versions_keep_the_same_row_in_every_order(frame, rows):
+    docs = frame([("a", "x", 1), ("a", "y", 1), ("a", "z", 0)], DOC)
+    first = rows(store.latest_per_identity(docs, K, "version"))
+    assert first == rows(store.latest_per_identity(docs.orderBy("content", ascending=False).repartition(3), K, "version"))
+    assert len(first) == 1 and first[0][2] == 1

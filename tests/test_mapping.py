@@ -91,3 +91,25 @@ def test_shared_strings(frame, rows):
     assert rows(ok) == [("w", 1, "shared"), ("w", 2, "lit")]
     assert rows(errors) == [("v", 1, "no shared string 0"), ("w", 3, "no shared string 9"),
                             ("w", 4, "no shared string x")]
+
+
+def test_body_attribute_tests_tasks_and_shared_names(frame, rows):
+    page = ("<html><head><title>T</title><meta name='k' content='no'><META NAME=\"description\" content='d&eacute;'></head>"
+            "<body class=b><h1>H</h1><div id='x'>one</div><div id='main'>two</div></body></html>")
+    specs = [
+        FieldSpec("page", "url", "job", "url", identity=True),
+        FieldSpec("page", "body", "page_content", tag="body"),
+        FieldSpec("page", "about", "file_content", "content", tag="meta", where=("name", "description")),
+        FieldSpec("page", "main", "page_content", tag="div", where=("id", "main")),
+        FieldSpec("page", "title", "page_content", tag="title", boost=2.0),
+        FieldSpec("page", "title", "page_content", tag="h1"),
+        FieldSpec("page", "kind", "job", "url", task=(
+            Task("job", "url", "eq", "u", "set", "first"), Task("job", "url", "matches", "u|v", "replace", "x"))),
+    ]
+    items = frame([("u", page), ("v", "no markup"), ("w", None)], "url string, html string")
+    mapped = mapping.map_fields(items, specs)
+    assert rows(mapped, "url", "body", "about", "main", "title", "kind") == [
+        ("u", "Honetwo", "dé", "two", ["T", "H"], "first"), ("v", None, None, None, [], "x"),
+        ("w", None, None, None, [], "w")]
+    stored = mapping.to_field_rows(mapped, specs, "url").filter("field = 'title'")
+    assert rows(stored, "pos", "value", "boost") == [(0, "T", 2.0), (1, "H", 2.0)]

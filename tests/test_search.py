@@ -175,3 +175,37 @@ def test_terms_reach_the_scan_of_stored_postings(spark, docs, index):
     plan = se.bool_query(stored.postings, must("fox", "dog"))._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters"):].split("ReadSchema")[0]
     assert "In(term, [dog,fox])" in pushed and "positions" not in plan
+
+
+def test_words_are_analysed_as_their_field_was(spark, frame, tmp_path):
+    docs = frame([("1", "the fox", "de-DE", 1, ["A"]), ("2", "the dog", "en", 1, ["B"]), ("3", "Fox", "en", 0, ["A"])],
+                 "id string, content string, lang string, active int, roles array<string>")
+    specs = [FieldSpec("d", "content", "job", "content", analyzer="standard_stop", boost=3.0),
+             FieldSpec("d", "lang", "job", "lang", analyzer="keyword"),
+             FieldSpec("d", "active", "job", "active", analyzer="keyword"),
+             FieldSpec("d", "roles", "job", "roles", analyzer="keyword")]
+    built = build_index(docs, specs, "id", stop_words=["the"])
+    write_index(built, str(tmp_path / "index"))
+    for index in (built, read_index(spark, str(tmp_path / "index"), docs, "id")):
+        find = lambda words, fields, **kw: sorted(r.doc_key for r in search(index, words, fields, ["lang"], **kw).collect())  # noqa: B023,E731
+        assert find("the fox", ["content"]) == ["1"]
+        assert find(["Fox"], ["content"], active=None) == ["1", "3"]
+        assert find("de-DE", ["lang"]) == ["1"] and find("de-de", ["lang"]) == []
+        assert find("fox dog", ["content"]) == [] and find("fox dog", ["content"], operator="or") == ["1", "2"]
+        assert find("the", ["content"]) == []
+        assert find("fox dog", ["content"], operator="or", roles=["B"]) == ["2"]
+        roles = frame([("A",), ("Z",)], "role string")
+        assert find("fox dog", ["content"], operator="or", roles=roles, active=None) == ["1", "3"]
+    stored = read_index(spark, str(tmp_path / "index"), docs, "id")
+    unboosted = search(stored, "fox", ["content"], ["lang"], boosts={}).first().score
+    assert round(search(stored, "fox", ["content"], ["lang"]).first().score / unboosted, 3) == 3.0
+
+
+def test_a_stored_index_reads_documents_for_shown_rows_only(spark, frame, tmp_path):
+    frame([("1", "fox", 1)], "id string, content string, active int").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    specs = [FieldSpec("d", "content", "job", "content"), FieldSpec("d", "active", "job", "active", analyzer="keyword")]
+    write_index(build_index(docs, specs, "id"), str(tmp_path / "index"))
+    found = search(read_index(spark, str(tmp_path / "index"), docs, "id"), "fox", ["content"], ["content"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/docs]") == 1

@@ -69,7 +69,8 @@ def test_quarantine_splits_and_reports_every_failure(frame, rows):
 
 
 DOC = "path string, doc_type string, content string"
-DELTA = DOC + ", is_deleted boolean, changed_at timestamp, change_id bigint"
+MARKS = ", is_deleted boolean, changed_at timestamp, change_id bigint"
+DELTA = DOC + MARKS
 
 
 def at(second):
@@ -160,3 +161,50 @@ def test_bucketed_base_stays_in_place_while_it_is_updated(spark, frame, rows):
     grouped = after.groupBy("path").count()
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
     assert snapshots.read_snapshot(spark, root, version=0).count() == 50
+
+
+def test_compact_keeps_stamps_layout_and_columns(spark, frame, rows):
+    root = shared_folder(spark, "test")
+    base = frame([("a", "Page", "1", "old")], DOC + ", note string")
+    snapshots.write_snapshot(base, root, 0, stamps={"i": at(1)}, partition_by=["doc_type"])
+    snapshots.write_delta(frame([("b", "Page", "2", "kw", False, at(2), 2)], DOC + ", keywords string" + MARKS), root, 0)
+    snapshots.write_delta(frame([("c", "Page", "3", False, at(3), 3)], DELTA), root, 1)
+    expected = [("a", "1", "old", None), ("b", "2", None, "kw"), ("c", "3", None, None)]
+    for _ in range(3):
+        assert rows(snapshots.read_snapshot(spark, root), "path", "content", "note", "keywords") == expected
+        snapshots.compact(spark, root)
+    assert [r["index"] for r in snapshots.read_stamps(spark, root).collect()] == ["i"]
+
+
+def test_late_events_lose_after_compact(spark, frame, rows):
+    root = shared_folder(spark, "test")
+    snapshots.write_snapshot(frame([("a", "Page", "1"), ("b", "Page", "1")], DOC), root, 0, buckets=2)
+    snapshots.write_delta(frame([("a", "Page", "9", False, at(9), 9), ("b", None, None, True, at(9), 9)], DELTA), root, 0)
+    snapshots.compact(spark, root)
+    late = [("a", "Page", "2", False, at(2), 2), ("b", "Page", "2", False, at(2), 2), ("c", "Page", "2", False, at(2), 2)]
+    snapshots.write_delta(frame(late, DELTA), root, 1)
+    for _ in range(2):
+        assert rows(snapshots.read_snapshot(spark, root)) == [("a", "Page", "9"), ("c", "Page", "2")]
+        snapshots.compact(spark, root)
+    snapshots.write_delta(frame([("b", "Page", "10", False, at(10), 10)], DELTA), root, 2)
+    assert ("b", "Page", "10") in rows(snapshots.read_snapshot(spark, root))
+
+
+def test_a_bucketed_base_is_not_shuffled_when_read(spark, frame):
+    root = shared_folder(spark, "test")
+    snapshots.write_snapshot(frame([(f"p{i}", "Page", "1") for i in range(20)], DOC), root, 0, buckets=4)
+    snapshots.write_delta(frame([("p1", "Page", "2", False, at(2), 2)], DELTA), root, 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = snapshots.read_snapshot(spark, root)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Every scan of the base feeds its join directly: no exchange has a bucketed scan right below it.
+    lines = plan.splitlines()
+    below = [lines[i:i + 4] for i, line in enumerate(lines) if "Exchange" in line]
+    assert below and not any("Bucketed: true" in part for lines in below for part in lines)
+
+
+def test_a_path_outside_the_root_has_no_url(frame, rows):
+    df = frame([("/r/a b",), ("/v/x",), ("/rx/y",)], "path string")
+    assert rows(files.derive_url(df, "http://h/", "/r"), "url") == [("http://h/a%20b",), (None,), (None,)]
