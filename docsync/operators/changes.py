@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions import paths
 from docsync.schema import DISPATCH, check_dispatch
-from docsync.session import config_frame
+from docsync.session import config_table
 
 
 def deleted_files(index: DataFrame, listing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,10 +123,10 @@ def config_changed(configured: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def dispatch_actions(
-    changes: DataFrame, dispatch: Sequence[tuple[str, str, str]]
+    changes: DataFrame, dispatch: Sequence[tuple[str, str, str]] | DataFrame
 ) -> DataFrame:
     """Attach the handler of (file_type, action); actions nobody handles are dropped."""
-    handlers = config_frame(changes.sparkSession, check_dispatch(dispatch), DISPATCH)
+    handlers = config_table(changes.sparkSession, dispatch, DISPATCH, check_dispatch)
     return changes.join(handlers, ["file_type", "action"])
 
 

@@ -263,6 +263,18 @@ WITH {_FILES}, {_ROLES}, {_CLASSIFIED}, located AS (
 SELECT c.path, c.version, c.action, t.file_type, h.handler, 'first' AS web,
   'https://first.example.com' || substr(c.path, 6) AS url, array_to_string(r.roles, '|') AS roles
 FROM located c JOIN {_TYPES} USING (ext) JOIN {_DISPATCH} USING (file_type, action) LEFT JOIN roles r USING (dir)""",
+    "forced_sweep": f"""
+WITH {_FILES}, here AS (SELECT * FROM listing WHERE starts_with(path, '/src1/')),
+seen AS (
+  SELECT coalesce(l.path, i.path) AS path, coalesce(l.ext, i.ext) AS ext, l.path IS NULL AS gone, i.path IS NULL AS new,
+    l.version IS NOT DISTINCT FROM i.version AS same
+  FROM here l FULL OUTER JOIN (SELECT * FROM idx WHERE starts_with(path, '/src1/')) i ON l.path = i.path),
+acted AS (
+  SELECT day, path, ext, CASE WHEN gone THEN 'deleted' WHEN new THEN 'created'
+      WHEN day = 1 OR NOT same THEN 'changed' ELSE 'unchanged' END AS action
+  FROM seen CROSS JOIN (VALUES (1), (2)) d(day))
+SELECT a.day, a.path, a.action, h.handler
+FROM acted a JOIN {_TYPES} USING (ext) JOIN {_DISPATCH} USING (file_type, action)""",
     "map_fields_where": rf"""
 SELECT page_id, {_clean(f"""nullif(regexp_extract({_markup("html")}, '(?is)<div\s+class="ad"[^>]*>(.*?)</div\s*>', 1), '')""")} AS ad,
   {_attr("html", "meta", "charset")} AS charset, NULL::VARCHAR AS other,
@@ -489,6 +501,17 @@ SELECT o.handler, o.web, o.path, o.t AS opened, o.t + 86400000000 AS due, count(
   arg_max(e.event_id, (e.t, e.event_id)) AS last_event
 FROM opened o JOIN timed e ON e.handler = o.handler AND e.web = o.web AND e.path = o.path
   AND e.t >= o.t AND e.t < o.t + 86400000000 GROUP BY o.handler, o.web, o.path, o.t""",
+    "debounce_hot": f"""
+WITH RECURSIVE {_EVENTS}, timed AS (SELECT handler, event_id, epoch_us(ts) AS t FROM routed),
+opened(handler, t) AS (
+  SELECT handler, min(t) FROM timed GROUP BY handler
+  UNION ALL
+  SELECT o.handler, (SELECT min(e.t) FROM timed e WHERE e.handler = o.handler AND e.t >= o.t + 3600000000)
+  FROM opened o WHERE o.t IS NOT NULL)
+SELECT o.handler, o.t AS opened, o.t + 3600000000 AS due, count(*) AS n_events,
+  arg_max(e.event_id, (e.t, e.event_id)) AS last_event
+FROM opened o JOIN timed e ON e.handler = o.handler AND e.t >= o.t AND e.t < o.t + 3600000000
+GROUP BY o.handler, o.t""",
     "folder_events": f"""
 WITH {_FILES}, {_FOLDER_EVENTS}, found AS (
   SELECT l.path, c.* EXCLUDE (path) FROM listing l JOIN folder_changes c

@@ -6,7 +6,7 @@ Arrays are joined to text in the results so that they compare the same everywher
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from docsync.plans.search import (
     TextIndex, build_index, index_for_words, read_index, search, write_index,
 )
 from docsync.schema import Clause, FieldSpec, Task
-from docsync.session import shared_folder
+from docsync.session import cut_lineage, shared_folder
 from docsync.sources import files, quarantine as qu, snapshots
 from docsync.streaming import debounce, events, sync
 
@@ -142,6 +142,25 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.withColumn("roles", _joined("roles"))
 
 
+def forced_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored stamp of the index is older than the configured one: all of the web's eligible
+    documents are ordered anew. After publishing with the new stamps nothing is forced."""
+    root = shared_folder(spark, "snapshot")
+    web = ("first", "/src1", "https://first.example.com/", ".")
+    stamp = lambda day: datetime(2024, 1, day, tzinfo=timezone.utc)
+    listing, index = inputs.listing(spark, sf_dir), inputs.index(spark, sf_dir)
+    configured = spark.createDataFrame([("main", stamp(2)), ("other", stamp(1))], "index string, stamp timestamp")
+    orders = []
+    for version, day in enumerate((1, 2)):
+        snapshots.write_snapshot(
+            _docs_at(spark, sf_dir, index), root, version, stamps={"main": stamp(day)}, buckets=BUCKETS)
+        work = rc.configured_sweep(
+            listing.filter(F.col("dir").startswith("/src1/")), index, web, "main", configured,
+            snapshots.read_stamps(spark, root), [], inputs.FILE_TYPES, inputs.DISPATCH, [], [])
+        orders.append(cut_lineage(work.select(F.lit(day).alias("day"), "path", "action", "handler"), "orders"))
+    return orders[0].unionByName(orders[1])
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose address has a fragment count as not fetched."""
     fetched = inputs.page_items(spark, sf_dir).select(
@@ -612,6 +631,12 @@ def debounce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.unix_micros(c) for c in ("opened", "due")})
 
 
+def debounce_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key per handler: a key has thousands of moments and is never gathered."""
+    found = debounce.debounce_events(_routed(spark, sf_dir), timedelta(hours=1), ["handler"])
+    return found.withColumns({c: F.unix_micros(c) for c in ("opened", "due")})
+
+
 def folder_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.folder_events(
         inputs.folder_change_events(spark, sf_dir), inputs.listing(spark, sf_dir),
@@ -650,7 +675,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         list_files, exclude_subtrees, route_by_extension, derive_url, split_url, write_snapshot,
-        read_snapshot, compact, sweep, quarantine,
+        read_snapshot, compact, sweep, forced_sweep, quarantine,
         map_fields, map_fields_where, job_fields, with_variables, conditional_value, join_values, info_fields,
         to_field_rows, identity_key,
         first_attribute, node_texts, normalise_lines, decode_entities, page_text, assemble_text,
@@ -662,7 +687,7 @@ QUERIES: dict[str, Query] = {
         visible_to,
         tokenize, analyze_fields, build_postings, term_stats, field_lengths, term_query,
         bool_query, multi_field_query, score, top_k, total_hits, fetch_fields,
-        read_change_events, route_events, latest_event, debounce_events, folder_events, sync_stream,
+        read_change_events, route_events, latest_event, debounce_events, debounce_hot, folder_events, sync_stream,
         search_stored_index, search_any_word, search_keyword_field,
     )
 }

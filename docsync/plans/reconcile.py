@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions.paths import is_at_or_below
 from docsync.operators.access import inherit_roles
-from docsync.operators.changes import classify_changes, dispatch_actions
+from docsync.operators.changes import classify_changes, config_changed, dispatch_actions
 from docsync.operators.store import apply_changes
 from docsync.schema import check_file_types
 from docsync.session import cut_lineage
@@ -18,17 +18,21 @@ from docsync.sources.quarantine import identity_checks, quarantine
 
 
 def with_eligible(
-    listing: DataFrame, excluded_dirs: Sequence[str], file_types: Sequence[tuple[str, str]]
+    listing: DataFrame, excluded_dirs: Sequence[str],
+    file_types: Sequence[tuple[str, str]] | DataFrame,
 ) -> DataFrame:
     """Attach ``file_type`` (null when no type owns the extension) and ``eligible``: owned, and not
     in an excluded folder. Nothing is dropped."""
+    eligible = F.col("file_type").isNotNull() & ~excluded(F.col("dir"), excluded_dirs)
+    if isinstance(file_types, DataFrame):
+        owners = file_types.select("file_type", F.col("ext").alias("_ext"))
+        typed = listing.join(owners, F.lower("ext") == F.col("_ext"), "left").drop("_ext")
+        return typed.withColumn("eligible", eligible)
     owners = check_file_types(file_types)
     file_type = F.lit(None).cast("string")
     for name, ext in owners:
         file_type = F.when(F.lower("ext") == ext, name).otherwise(file_type)
-    return listing.withColumn("file_type", file_type).withColumn(
-        "eligible", F.col("file_type").isNotNull() & ~excluded(F.col("dir"), excluded_dirs)
-    )
+    return listing.withColumn("file_type", file_type).withColumn("eligible", eligible)
 
 
 def sweep(
@@ -66,6 +70,22 @@ def sweep(
     )
 
 
+def configured_sweep(
+    listing: DataFrame, index: DataFrame, web: tuple, name: str, configured: DataFrame,
+    stored: DataFrame | None, *settings,
+) -> DataFrame:
+    """A ``sweep`` (``settings`` are its further arguments) in which every eligible indexed file counts
+    as changed when the configuration of index ``name`` has another stamp than the stored one, or
+    none is stored. Publish the new table with the stamps of ``configured`` (``write_snapshot(...,
+    stamps=...)``), and the next sweep orders nothing."""
+    changed = configured.filter(F.col("index") == name)
+    if stored is None:
+        stored = configured.limit(0)
+    changed = config_changed(changed, stored).select(F.bool_or("changed").alias("changed"))
+    force = F.coalesce(changed.scalar(), F.lit(False))
+    return sweep(listing.withColumn("_forced", force), index, web, *settings, force="_forced")
+
+
 def check_handlers(work: DataFrame, handlers: Mapping[str, Callable]) -> None:
     """Raise when a row to be mapped names a handler that is not supplied. Rows that only delete need
     none; there are as many names as the dispatch table has."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,10 @@ SETTINGS = {
 }
 
 
+# Folder that owns what is written to the shared folder meanwhile; see ``scratch``.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def build_session(
     app: str = "docsync", master: str | None = None, extra: Mapping[str, str] | None = None
 ) -> SparkSession:
@@ -46,8 +52,11 @@ def build_session(
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session that names no such folder gets a temporary one.
+    Only a local session that names no such folder gets a temporary one. Inside ``scratch`` the
+    folder goes when the scope ends.
     """
+    if _scope.get():
+        return f"{_scope.get()}/{purpose}-{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -56,6 +65,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope that owns every intermediate result written in it. Results that are still needed are
+    written elsewhere before it ends; then its folder is deleted."""
+    folder = shared_folder(spark, "scratch")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back. Losing an executor
     later costs nothing that came before this point."""
@@ -76,3 +99,14 @@ def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     if len(rows) > MAX_CONFIG_ROWS or table.nbytes > MAX_CONFIG_BYTES:
         raise ValueError(f"{len(rows)} rows, {table.nbytes} bytes: keep them in a table instead")
     return F.broadcast(spark.createDataFrame(table, schema=struct))
+
+
+def config_table(
+    spark: SparkSession, rows: Sequence[tuple] | DataFrame, schema: str,
+    check: Callable[[Sequence[tuple]], list[tuple]] = list,
+) -> DataFrame:
+    """Configuration as rows, checked and broadcast, or as a table of any size with the columns of
+    ``schema``, which Spark joins as it sees fit and whose keys must be unique."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*StructType.fromDDL(schema).names)
+    return config_frame(spark, check(rows), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions import paths, urls
 from docsync.schema import FILE_TYPES, check_file_types
-from docsync.session import config_frame, cut_lineage
+from docsync.session import config_frame, config_table, cut_lineage
 
 
 # Entries handed to Spark at a time while one folder is read.
@@ -55,6 +55,15 @@ def _folder_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     return read
 
 
+def _listable(spark: SparkSession, root: str) -> str:
+    """A root as the folder reader understands it."""
+    if "://" not in root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root!r} has no scheme; each executor would list its own disk")
+    # Hadoop's names for one kind of store.
+    root = re.sub(r"\As3[an]://", "s3://", root)
+    return root.rstrip("/") or "/"
+
+
 def list_files(
     spark: SparkSession, root: str | Sequence[str], glob: str | None = None,
     excluded_dirs: Sequence[str] = (),
@@ -67,8 +76,12 @@ def list_files(
 
     Spark's own file sources are no substitute: they leave out empty files and names that start with
     a dot or an underscore, and such files would then count as deleted.
+
+    On a cluster a root needs a scheme: a bare path would name every executor's own disk. One folder
+    is read by one task; stores with very large folders keep inventories, and a table of
+    (path, dir, ext, version) from one goes to ``sweep`` as well as a listing does.
     """
-    roots = [(r.rstrip("/") or "/",) for r in ([root] if isinstance(root, str) else root)]
+    roots = [(_listable(spark, r),) for r in ([root] if isinstance(root, str) else root)]
     tasks = spark.sparkContext.defaultParallelism
     folders = config_frame(spark, roots, "uri string")
     found: list[DataFrame] = []
@@ -121,9 +134,12 @@ def exclude_subtrees(files: DataFrame, excluded_dirs: Sequence[str] | DataFrame)
     return files.join(hit, "dir", "left_anti")
 
 
-def route_by_extension(files: DataFrame, file_types: Sequence[tuple[str, str]]) -> DataFrame:
-    """Attach the file type that owns each file's extension; files without an owner are dropped."""
-    owners = config_frame(files.sparkSession, check_file_types(file_types), FILE_TYPES)
+def route_by_extension(
+    files: DataFrame, file_types: Sequence[tuple[str, str]] | DataFrame
+) -> DataFrame:
+    """Attach the file type that owns each file's extension; files without an owner are dropped. A
+    table of file types has lower-cased extensions without the dot."""
+    owners = config_table(files.sparkSession, file_types, FILE_TYPES, check_file_types)
     return files.withColumn("ext", F.lower("ext")).join(owners, "ext")
 
 

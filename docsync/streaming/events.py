@@ -16,7 +16,7 @@ from docsync.functions.paths import ancestors
 from docsync.operators.changes import dispatch_actions
 from docsync.operators.store import latest_per_identity
 from docsync.schema import CHANGE_EVENTS, FILE_TYPES, check_file_types
-from docsync.session import config_frame
+from docsync.session import config_table
 
 # The change kinds that are subscribed to.
 EVENT_KINDS = ("Created", "Changed", "Deleted")
@@ -39,16 +39,17 @@ def read_change_events(
 
 
 def route_events(
-    events: DataFrame, webs: Sequence[tuple], file_types: Sequence[tuple], dispatch: Sequence[tuple]
+    events: DataFrame, webs: Sequence[tuple] | DataFrame, file_types: Sequence[tuple] | DataFrame,
+    dispatch: Sequence[tuple] | DataFrame,
 ) -> DataFrame:
     """File events somebody handles, with web, file type, action, handler and URL attached.
 
-    ``webs`` are rows (web, root, base_url, filter). Every join is against configuration, so the
-    events are not shuffled and may be a stream.
+    ``webs`` are rows (web, root, base_url, filter). Each configuration is rows, or a table where
+    there are too many. Joins against rows do not shuffle the events, which may be a stream.
     """
     spark = events.sparkSession
-    web_rows = config_frame(spark, webs, WEBS)
-    owners = config_frame(spark, check_file_types(file_types), FILE_TYPES)
+    web_rows = config_table(spark, webs, WEBS)
+    owners = config_table(spark, file_types, FILE_TYPES, check_file_types)
     routed = (
         events.filter(~F.col("is_dir") & F.col("change_type").isin(*EVENT_KINDS))
         .join(web_rows, "web")

@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from docsync.operators.access import inherit_roles
 from docsync.functions.paths import folder_of
 from docsync.plans.reconcile import check_handlers, without_document
-from docsync.session import cut_lineage
+from docsync.session import cut_lineage, scratch
 from docsync.sources.quarantine import identity_checks, quarantine
-from docsync.sources.snapshots import is_published, write_delta
+from docsync.sources.snapshots import compact, is_published, write_delta
 from docsync.streaming.events import folder_events, latest_event, route_events
 
 # Turns items into documents: the extension point a dispatch row names.
@@ -76,24 +76,29 @@ def sync_stream(
     dispatch: Sequence[tuple], checks: Mapping | None = None,
     folders: Callable[[], tuple[DataFrame, DataFrame]] | None = None, trigger: Mapping | None = None,
     role_conf: Sequence[tuple] | DataFrame = (), root_roles: Sequence[str] = (),
+    compact_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep the snapshot below ``root`` in step with an event stream.
 
     Each micro-batch becomes delta ``v = batch id``. A batch that is repeated after a failure finds
     its delta published and does nothing. ``content`` is called per batch (see
     ``changes_of_batch``); so is ``folders``, which returns the current listing and indexed
-    documents as (path, dir) and is needed only where folder events occur.
+    documents as (path, dir) and is needed only where folder events occur. Intermediate results of a
+    batch go once its delta is published; every ``compact_every`` batches the deltas are folded.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if is_published(batch.sparkSession, root, "delta", batch_id):
             return
-        changes, errors = changes_of_batch(
-            batch, content, handlers, webs, file_types, dispatch, checks,
-            *(folders() if folders else (None, None)), role_conf, root_roles,
-        )
-        errors.write.mode("overwrite").parquet(f"{root}/errors/v={batch_id}")
-        write_delta(changes, root, batch_id)
+        with scratch(batch.sparkSession):
+            changes, errors = changes_of_batch(
+                batch, content, handlers, webs, file_types, dispatch, checks,
+                *(folders() if folders else (None, None)), role_conf, root_roles,
+            )
+            errors.write.mode("overwrite").parquet(f"{root}/errors/v={batch_id}")
+            write_delta(changes, root, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, root)
 
     return (
         events.writeStream.foreachBatch(run)

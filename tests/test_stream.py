@@ -195,3 +195,49 @@ def test_sync_stream_over_a_base_with_folder_events(spark, frame, rows):
     snapshots.write_delta(changes, root, 0)
     assert errors.count() == 0
     assert rows(snapshots.read_snapshot(spark, root), "path", "content") == [("/r/keep.html", "k"), ("/r/s/c.html", "C")]
+
+
+def test_items_have_the_roles_of_their_folder_and_scratch_goes(spark, frame, rows, tmp_path):
+    import os
+
+    from docsync.session import cut_lineage, scratch
+
+    feed = frame([event(1, 1, "/r/b.html", "Created"), event(2, 2, "/r/s/c.html", "Changed")], CHANGE_EVENTS)
+    contents = frame(CONTENT, "path string, content string")
+    with scratch(spark) as folder:
+        changes, errors = sync.changes_of_batch(
+            feed, lambda wanted: contents, {"map": lambda items: items.select("path", "url", "content", "roles")},
+            WEBS, TYPES, DISPATCH, role_conf=[("/r/s", "S", None)], root_roles=["R"])
+        assert rows(changes, "path", "roles") == [("/r/b.html", ["R"]), ("/r/s/c.html", ["S"])]
+        assert errors.count() == 0 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    kept = cut_lineage(contents, "kept")
+    assert kept.count() == contents.count()
+
+
+def test_an_event_for_an_unknown_handler_is_an_error(spark, frame):
+    feed = frame([event(1, 1, "/r/b.html", "Created")], CHANGE_EVENTS)
+    contents = frame(CONTENT, "path string, content string")
+    with pytest.raises(ValueError, match="no handler supplied for map"):
+        sync.changes_of_batch(feed, lambda wanted: contents, {"other": lambda i: i}, WEBS, TYPES, DISPATCH)
+
+
+def test_configuration_may_be_tables(spark, frame, rows):
+    feed = frame([event(1, 1, "/r/b.html", "Created"), event(2, 2, "/q/x.bin", "Created")], CHANGE_EVENTS)
+    tables = [frame([tuple(r) for r in rows_], schema) for rows_, schema in (
+        (WEBS, "web string, root string, base_url string, filter string"), (TYPES, "file_type string, ext string"),
+        (DISPATCH, "file_type string, action string, handler string"))]
+    assert rows(events.route_events(feed, *tables)) == rows(events.route_events(feed, WEBS, TYPES, DISPATCH))
+    assert events.route_events(feed, *tables).count() == 1
+
+
+def test_the_stream_folds_its_deltas(spark, frame, rows):
+    landing, root = shared_folder(spark, "land"), shared_folder(spark, "sync")
+    contents = frame(CONTENT, "path string, content string")
+    for i, part in enumerate(([event(1, 1, "/r/b.html", "Created")], [event(2, 2, "/r/s/c.html", "Created")])):
+        frame(part, CHANGE_EVENTS).coalesce(1).write.mode("append").parquet(landing)
+        drain(sync.sync_stream(
+            events.read_change_events(spark, landing), root, root + "-check", lambda wanted: contents,
+            {"map": lambda items: items.select("path", "url", "content")}, WEBS, TYPES, DISPATCH, compact_every=2))
+    assert snapshots.read_delta_changes(spark, root, ["path"]) is None
+    assert rows(snapshots.read_snapshot(spark, root), "path") == [("/r/b.html",), ("/r/s/c.html",)]
