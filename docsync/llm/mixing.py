@@ -149,10 +149,8 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     chosen = {k: place[names.index(options.pop(k, d))] for k, d in
               (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     taken = mix(docs.toDF(*place), keep=place, **chosen, **options)
-    return taken.where("copies > 0").select(
-        *[F.col(p).alias(c) for p, c in zip(place, names)],
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    every = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("again")
+    return taken.where("copies > 0").select(*place, every).select(*[F.col(p).alias(c) for p, c in zip(place, names)])
 
 
 ORACLE_SQL = r"""
