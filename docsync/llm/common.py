@@ -14,7 +14,8 @@ from docsync.session import cut_lineage
 # are just the separators of bytes.split(), so UTF-8 texts are split without a regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 # A worker's memo of words is emptied at this size, which bounds its memory.
-MEMO = 1 << 19
+MEMO = 1 << 18
+BATCH_BYTES = 8 << 20
 # So many pairs of id and hash, about 16 bytes each, may be broadcast.
 BROADCAST_KEYS = 1 << 20
 
@@ -63,6 +64,12 @@ def as_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most these bytes, so that what a task holds at once does
+    not follow the length of texts. One longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_hash(text: Column) -> Column:
     """Hash of a text's bytes; with the id, it tells rows apart. Null and empty are alike."""
     return F.xxhash64(as_bytes(text))
