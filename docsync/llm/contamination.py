@@ -22,7 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, checked_broadcast, column, gram_hashes, text_hash
+from docsync.llm.common import (
+    WordHashes, as_bytes, checked_broadcast, column, gram_hashes, small_batches, text_hash,
+)
 from docsync.session import cut_lineage
 
 WINDOW = 13
@@ -194,6 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeated: rows are told apart by id and text, and rows equal in both get the same result, each
     its own row. Either table may be empty; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
     texts = texts.withColumn("copy", text_hash(F.col("text")))

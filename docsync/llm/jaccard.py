@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    WordHashes, as_bytes, column, components, gram_hashes, text_hash, without,
+    WordHashes, as_bytes, column, components, gram_hashes, small_batches, text_hash, without,
 )
 from docsync.session import cut_lineage
 
@@ -36,7 +36,7 @@ NGRAM = 4
 # Sets link when PERCENT of their union is in both.
 PERCENT = 85
 # A task gathers so many n-grams and sets before it cuts them into fragments.
-CHUNK_TOKENS, CHUNK_SETS = 1 << 21, 60_000
+CHUNK_TOKENS, CHUNK_SETS = 1 << 20, 60_000
 # An n-gram of so many sets in one chunk counts as frequent everywhere; its places stay in the chunk.
 FREQUENT = 16
 FREQUENT_COUNT = (1 << 31) - 1
@@ -303,11 +303,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     documents that it links with. Null, empty and wordless texts have an empty set, link with nothing
     and name themselves. Repeated rows are documents of their own, linked by equal sets. A null id is
     never the smallest; where all ids are null, so is the component. An empty table gives an empty
-    table; other columns are not read. ``fragments`` (by default the shuffle partitions, at most
+    table; other columns are not read. ``fragments`` (by default three per shuffle partition, at most
     65,536) should grow with the input: a task holds one fragment.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    fragments = min(fragments or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), 1 << 16)
+    fragments = min(fragments or 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = _SCHEMA.format(kind=kind)

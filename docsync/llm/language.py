@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import column
+from docsync.llm.common import column, small_batches
 
 DIMENSIONS = 512
 SEED = 6
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     repeated: each row is judged by itself. An empty table gives an empty table. Other columns are
     not read. Broadcast: one vector per language, at most ``MAX_LANGUAGES``.
     """
+    small_batches(docs.sparkSession)
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string")
     learning = docs.where(learn & text.isNotNull() & lang.isNotNull()).select(text.alias("text"), lang.alias("lang"))
     names, bundles = fit(learning, dimensions, seed)

@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import MEMO, as_bytes, checked_broadcast, column, labelled_sample, scramble
+from docsync.llm.common import (
+    MEMO, as_bytes, checked_broadcast, column, labelled_sample, scramble, small_batches,
+)
 
 BUCKETS_LOG2 = 15
 DIMENSIONS = 16
@@ -29,7 +31,7 @@ STEPS = 40_000
 RATE = 0.1
 SEED = 5
 # Words scored together, and new words whose vectors are made together; they bound a task's memory.
-PART, NEW_WORDS = 1 << 19, 1 << 15
+PART, NEW_WORDS = 1 << 17, 1 << 15
 THRESHOLD = 0.7
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
@@ -141,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], l
         per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from at most ``per_class`` rows of each label, by ``learn`` of their ids. Tasks make the
     features; the driver gets at most ``2 * per_class`` sparse rows of at most one entry per bucket."""
+    small_batches(docs.sparkSession)
     sample, totals = labelled_sample(docs, labels, label, learn, per_class, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

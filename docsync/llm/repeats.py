@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes
+from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes, small_batches
 from docsync.session import cut_lineage
 
 MIN_WORDS = 50
@@ -155,6 +155,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the sorted order; where copies are cut differently, what only a farther copy shares at the ends
     of a longer match may stay out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     order = ["hash", "right", "key", "place"]

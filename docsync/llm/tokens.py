@@ -18,9 +18,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import MEMO, as_bytes, checked_broadcast, column
+from docsync.llm.common import as_bytes, checked_broadcast, column, small_batches
 
 LIMIT = 1024
+# Pieces are dear to count, so their memo is larger than that of words.
+MEMO = 1 << 19
 # A vocabulary file with more merges than this is not a vocabulary.
 MAX_MERGES = 1_000_000
 # Fixed value: the published pattern that cuts a text before the merges of this vocabulary.
@@ -115,6 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     are not read. ``vocabulary`` is the path of a byte-level vocabulary file, read on the driver;
     its merges (checked against a fixed bound) are the only thing broadcast.
     """
+    small_batches(docs.sparkSession)
     ranks, special = read_vocabulary(vocabulary)
     shared = checked_broadcast(docs.sparkSession, (ranks, special), len(ranks), MAX_MERGES)
 

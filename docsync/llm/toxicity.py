@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import MEMO, checked_broadcast, column, labelled_sample
+from docsync.llm.common import MEMO, checked_broadcast, column, labelled_sample, small_batches
 
 # Word lists of the grammar, in four languages.
 THREATS = """kill hurt destroy beat punch stab shoot töten schlagen vernichten tuer frapper détruire
@@ -205,6 +205,7 @@ def fit_logistic(features: np.ndarray, labels: np.ndarray, totals: dict[int, int
 def fit(docs: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], label: str = "toxic",
         per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
     """Stem weights and logistic weights, from at most ``per_class`` rows of each label."""
+    small_batches(docs.sparkSession)
     sample, totals = labelled_sample(docs, labels, label, learn, per_class, id_col, text_col)
     weights = learn_stems(sample)
     shared = checked_broadcast(docs.sparkSession, weights, len(weights), MAX_STEMS)
