@@ -25,6 +25,8 @@ MAX_EPOCHS = 3
 SEED = 9
 # Seeded starts of the systematic sample that are compared.
 STARTS = 8
+# So many cells, about 100 bytes each, may be broadcast.
+BROADCAST_CELLS = 1 << 19
 CELL = ["source", "class", "bucket"]
 
 
@@ -103,6 +105,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))
     ).select(*[F.col(c).alias(f"cell_{c}") for c in CELL], "first", "position", "source_size", "target", "epochs")
     cells = cut_lineage(cells, "mixing")
+    # Few cells (counted first) are sent to the rows, which then move once, for the ranks.
+    if cells.count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
     starts = _best_starts(_ranked(sized, cells, "draw", "size"), seed)
     ranked = _ranked(rows, cells, "draw", "size", "kept_0").join(starts, "position")
     return ranked.select(
