@@ -102,10 +102,20 @@ def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def covered(span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> bool:
+    """Whether base spans, which come in order, cover every character of a span."""
+    done = span[1]
+    for _, start, end in base:
+        if start <= done:
+            done = max(done, end)
+    return done >= span[2]
+
+
 def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: base ones stay, entropy ones are added where they touch none."""
+    """Base spans, and all spans: base ones stay, entropy ones are added whole unless base spans cover
+    all of them, so the rest of a token that a base span covers in part is found too."""
     base = base_spans(text)
-    added = [s for s in entropy_spans(text) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    added = [s for s in entropy_spans(text) if not covered(s, base)]
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -83,6 +83,24 @@ def test_redaction_joins_overlaps():
     assert secret_scan.redacted("abcdefgh", [("hex", 1, 4), ("hex", 3, 5), ("hex", 6, 7)], "*") == "a*f*h"
 
 
+def test_rest_of_a_token_beside_a_base_span():
+    """What a base span covers in part is found, and replaced, to its end."""
+    random.seed(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789"
+    secret = "".join(random.sample(letters, 40))
+    for first, last in (("AKIA" + "Q7W2E9R4T1Y6U3Z8", "/" + secret), (secret, "_" + "0123456789abcdef" * 2)):
+        token = first + last
+        text = f"uses {token} here"
+        base, spans = secret_scan.scan_text(text)
+        assert base and set(base) <= set(spans)
+        assert {j for _, a, b in spans for j in range(a, b)} >= set(range(5, 5 + len(token)))
+        assert secret_scan.redacted(text, spans, "*") == "uses * here"
+    # A span that base spans cover wholly is not added.
+    assert {s[0] for s in secret_scan.scan_text('token = "0123456789abcdef0123456789"')[1]} == {"assign", "hex"}
+    assert not secret_scan.covered(("entropy", 0, 9), [("hex", 0, 3), ("hex", 4, 9)])
+    assert secret_scan.covered(("entropy", 0, 9), [("assign", 0, 4), ("hex", 4, 9)])
+
+
 def near_copies(seed, groups=12):
     """Texts in groups of near copies of all degrees, exact copies and short ones."""
     r = random.Random(seed)
