@@ -4,8 +4,10 @@ Only suffixes that start at content-selected minimisers are kept: of every 43 ne
 8 words, the one with the smallest hash. Any passage of 50 words holds one, at the same place in
 every copy. The suffixes, each with the words a passage of 50 around it may reach, are sorted by
 content over the whole cluster; each is compared with its neighbours from other documents, and the
-match is extended to the left and to the right. A hot passage is sorted like all others: ranges
-are cut by content, document and place, so no key has to fit in one task.
+match is extended to the left and to the right. Where three or more suffixes go on alike, the left
+context of one farther off may match for longer: there the passages of 50 words that each minimiser
+owns also get a fingerprint, and those are counted by document. A hot passage is sorted like all
+others: ranges are cut by content, document and place, so no key has to fit in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes, small_batches
+from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes, scramble, small_batches
 from docsync.session import cut_lineage
 
 MIN_WORDS = 50
@@ -26,33 +28,41 @@ GRAM = 8
 RIGHT, LEFT = MIN_WORDS, MIN_WORDS - GRAM
 # Suffixes compared at a time.
 CHUNK = 1 << 15
-_SUFFIX = "hash long, right binary, left binary, key long, place int"
+_SUFFIX = "hash long, right binary, left binary, key long, place int, least int, most int"
+_FOUND = "hash long, print long, key long, start int, end int"
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the smallest (leftmost of equals) in every window."""
+def owners(grams: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest (leftmost of equals) of each window; never falls from one to the next."""
     if len(grams) < window:
         return np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(grams, window)
     # Long documents go in pieces, which bounds the memory of the comparison.
     starts = range(0, len(views), 1 << 16)
     places = [views[s:s + (1 << 16)].argmin(axis=1) + np.arange(s, min(s + (1 << 16), len(views))) for s in starts]
-    return np.unique(np.concatenate(places))
+    return np.concatenate(places)
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the smallest (leftmost of equals) in every window."""
+    return np.unique(owners(grams, window))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes of all documents that have ``min_words`` words, words as 16 bits of their hash."""
+    """The suffixes of all documents that have ``min_words`` words, words as 16 bits of their hash.
+    ``least`` and ``most`` are the words before the minimiser in the passages that it owns."""
     hashes = WordHashes()
     right, left = min_words, min_words - gram
     for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("hash", "right", "left", "key", "place")}
+        out: dict[str, list] = {c: [] for c in ("hash", "right", "left", "key", "place", "least", "most")}
         for key, text in zip(column(batch, "key").to_pylist(), column(batch, "text").to_pylist()):
             words = text.split()
             if len(words) < min_words:
                 continue
             own = hashes.of(words)
             grams = gram_hashes(own, gram)
-            places = minimisers(grams, min_words - gram + 1)
+            places, first, owned = np.unique(
+                owners(grams, min_words - gram + 1), return_index=True, return_counts=True)
             codes = (own >> np.uint64(48)).astype(">u2")
             after, before = codes.tobytes(), codes[::-1].tobytes()
             n = len(words)
@@ -62,7 +72,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> I
                 out["left"].append(before[2 * (n - p):2 * (n - p + left)])
             out["key"] += [key] * len(places)
             out["place"] += places.tolist()
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+            out["least"] += (places - first - owned + 1).tolist()
+            out["most"] += (places - first).tolist()
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.int32()] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
@@ -80,27 +92,32 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
+def _prefixes(words: np.ndarray, side: int) -> np.ndarray:
+    """Hashes of the first 0, 1, ... words of each context."""
+    with np.errstate(over="ignore"):
+        places = np.arange(words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(side)
+        own = scramble(scramble((words.astype(np.uint64) << np.uint64(16)) + places + np.uint64(1)))
+    sums = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+    np.cumsum(own, axis=1, out=sums[:, 1:])
+    return sums
+
+
 def _compare(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes with their neighbours from other documents: ``(key, start, end)``.
-    The first and the last suffix of the partition come out too, with their content."""
-    names = ["hash", "right", "left", "key", "place"]
-    schema = pa.schema([("hash", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("key", pa.int64()),
-                        ("place", pa.int32())])
-
-    def result(key, start, end, edges: pa.Table) -> pa.RecordBatch:
-        n, m = len(key), len(edges)
-        edge = edges.combine_chunks()
-        columns = [edge[c].combine_chunks() if m else pa.array([], schema.field(c).type) for c in names]
-        columns = [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in columns]
-        columns[3] = pa.concat_arrays([pa.array(key, pa.int64()), edge["key"].combine_chunks() if m else pa.array([], pa.int64())])
-        span = [pa.concat_arrays([pa.array(v, pa.int32()), pa.nulls(m, pa.int32())]) for v in (start, end)]
-        return pa.RecordBatch.from_arrays([*columns, *span], names=[*names, "start", "end"])
-
-    def matches(table: pa.Table):
-        hashes, keys = table["hash"].to_numpy(), table["key"].to_numpy()
-        places = table["place"].to_numpy().astype(np.int64)
-        right = _matrix(table["right"], min_words)
-        left = _matrix(table["left"], min_words - gram)
+    """Matches of sorted suffixes with their neighbours from other documents, ``(key, start, end)``;
+    and, with a hash and a fingerprint, the owned passages of which three or more suffixes have the
+    part from the minimiser on. A passage that no neighbour has yet matched has an end.
+
+    Of two suffixes alone with such a part, each is the other's neighbour. What lies beyond a chunk
+    or a partition is taken to be alike, so its ends never hide a third."""
+    names = ["hash", "right", "left", "key", "place", "least", "most"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def result(*parts: tuple) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([pa.nulls(p[-1], k) if p[i] is None else pa.array(p[i], k) for p in parts])
+                   for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["hash", "print", "key", "start", "end"])
+
+    def neighbours(hashes, keys, places, right, left) -> tuple[np.ndarray, np.ndarray]:
         n = len(keys)
         first = np.concatenate(([True], keys[1:] != keys[:-1]))
         begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -115,32 +132,52 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> It
             i, a, b = i[long], a[long], b[long]
             low[i] = np.minimum(low[i], places[i] - a)
             high[i] = np.maximum(high[i], places[i] + b)
+        return low, high
+
+    def matches(table: pa.Table) -> pa.RecordBatch:
+        hashes, keys = table["hash"].to_numpy(), table["key"].to_numpy()
+        places, least, most = (table[c].to_numpy().astype(np.int64) for c in ("place", "least", "most"))
+        right = _matrix(table["right"], min_words)
+        left = _matrix(table["left"], min_words - gram)
+        n = len(keys)
+        low, high = neighbours(hashes, keys, places, right, left)
+        # Words that each suffix and the next have in common, and with how many words two more agree.
+        common = np.full(n + 3, min_words)
+        common[2:n + 1] = np.where(hashes[1:] == hashes[:-1], _common(right[1:], right[:-1]), 0)
+        pairs = np.minimum(common[1:], common[:-1])
+        crowd = np.maximum(np.maximum(pairs[:n], pairs[1:n + 1]), pairs[2:n + 2])
+        fewest = np.maximum(least, min_words - crowd)
+        i = np.flatnonzero((fewest <= most) & (crowd >= gram))
+        sizes = (most - fewest + 1)[i]
+        row = np.repeat(np.arange(len(i)), sizes)
+        before = fewest[i][row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        with np.errstate(over="ignore"):
+            prints = scramble(_prefixes(left[i], 1)[row, before] + _prefixes(right[i], 0)[row, min_words - before])
+        i = i[row]
+        start = places[i] - before
+        asked = (start < low[i]) | (start + min_words > high[i])
+        ends = pa.array(start + min_words, pa.int32(), mask=~asked)
         found = high >= 0
-        return keys[found], low[found], high[found]
+        return result((None, None, keys[found], low[found], high[found], int(found.sum())),
+                      (hashes[i], prints.view(np.int64), keys[i], start, ends, len(i)))
 
-    kept, size, edge_first, carried = [], 0, None, None
-    no_edges = schema.empty_table()
+    kept, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        batch = batch.select(names)
-        if edge_first is None:
-            edge_first = pa.Table.from_batches([batch.slice(0, 1)])
-        kept.append(batch)
+        kept.append(batch.select(names))
         size += batch.num_rows
         if size < CHUNK:
             continue
         table = pa.Table.from_batches(kept).combine_chunks()
-        yield result(*matches(table), no_edges)
+        yield matches(table)
         # Later suffixes still need the last document's run and the suffix before it.
         keys = table["key"].to_numpy()
         last = np.flatnonzero(keys != keys[-1])
         start = last[-1] if len(last) else 0
         kept, size = table.slice(start).to_batches(), 0
     if kept:
-        table = pa.Table.from_batches(kept).combine_chunks()
-        edges = pa.concat_tables([edge_first.select(names), table.slice(len(table) - 1)]).cast(schema)
-        yield result(*matches(table), edges)
+        yield matches(pa.Table.from_batches(kept).combine_chunks())
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -151,9 +188,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null, empty and shorter texts repeat nothing. Rows equal in id and text are one document, which
     does not repeat itself; each of them gets its result. Null ids are told apart by text. An empty
-    table gives an empty table; other columns are not read. A passage is found with each neighbour in
-    the sorted order; where copies are cut differently, what only a farther copy shares at the ends
-    of a longer match may stay out.
+    table gives an empty table; other columns are not read. Every such passage is found, but for equal
+    hashes of different words.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
@@ -162,12 +198,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suffixes = rows.select("key", "text").mapInArrow(lambda b: _suffixes(b, min_words, gram), _SUFFIX)
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     array = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    found_schema = f"{_SUFFIX}, start int, end int"
-    found = cut_lineage(array.mapInArrow(lambda b: _compare(b, min_words, gram), found_schema), "repeats")
-    # Two suffixes for each range: where one range ends, the next begins.
-    edges = found.where("start is null").select("hash", "right", "left", "key", "place")
-    met = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(lambda b: _compare(b, min_words, gram), found_schema)
-    spans = found.unionByName(met).where("start is not null").select("key", "start", "end").distinct()
+    found = cut_lineage(array.mapInArrow(lambda b: _compare(b, min_words, gram), _FOUND), "repeats")
+    # Passages still to be matched are looked for among all with their fingerprint.
+    passages = found.where("hash is not null")
+    several = passages.groupBy("hash", "print").agg(
+        F.min("key").alias("one"), F.max("key").alias("other"), F.count("end").alias("asked"))
+    several = several.where("one <> other and asked > 0").select("hash", "print")
+    met = passages.where("end is not null").join(several, ["hash", "print"], "left_semi")
+    spans = found.where("hash is null").unionByName(met).select("key", "start", "end").distinct()
     before = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     apart = F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))
     running = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)

@@ -308,6 +308,40 @@ def test_repeats_across_chunks(spark, monkeypatch):
     assert all([tuple(s) for s in r.spans] == [(20, 100)] for r in repeats.find_repeats(df).collect())
 
 
+def brute_repeats(texts, size=50):
+    """Words inside runs of ``size`` that another text has too."""
+    owners = defaultdict(set)
+    for i, t in enumerate(texts):
+        for s in range(len(t) - size + 1):
+            owners[tuple(t[s:s + size])].add(i)
+    return [{j for s in range(len(t) - size + 1) if len(owners[tuple(t[s:s + size])]) > 1 for j in range(s, s + size)}
+            for t in texts]
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 7])
+def test_shared_passages_that_end_in_a_frequent_line(spark, monkeypatch, chunk):
+    """The partner with the long left match sorts among the many that share the line only."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    r = random.Random(9)
+    fresh = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    hashes = lambda t: gram_hashes(repeats.WordHashes().of([w.encode() for w in t]), 8)
+    # A line whose first run of 8 words is nearly always the minimiser.
+    line = min((fresh(10) for _ in range(3000)), key=lambda t: hashes(t)[0])
+    passage = [fresh(42) for _ in range(12)]
+    texts = [fresh(r.randrange(60)) + p + line + fresh(60) for p in passage for _ in range(2)]
+    texts += [fresh(60) + line + fresh(60) for _ in range(150)]
+    # Copies cut differently, on both sides.
+    whole = fresh(200)
+    for _ in range(25):
+        a = r.randrange(140)
+        texts.append(fresh(30) + whole[a:a + r.randrange(49, 120)] + fresh(30))
+    r.shuffle(texts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: {j for a, b in x.spans for j in range(a, b)} for x in repeats.find_repeats(df).collect()}
+    wanted = brute_repeats(texts)
+    assert [got[i] for i in range(len(texts))] == wanted and sum(map(bool, wanted)) >= 40
+
+
 def test_minimisers_by_definition():
     values = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64)
     wanted = {i + int(np.argmin(values[i:i + 7])) for i in range(394)}
