@@ -245,6 +245,26 @@ def test_bands_reject_what_is_unlike(spark):
     assert sum(got[i].kept for i in range(60)) >= 58 and got[101].kept
 
 
+def test_bands_have_no_switch_by_size(spark, monkeypatch):
+    """One more document of a language does not flip the others, and one alone is near the overall band."""
+    words = ["60 n_words", "0 word_chars", "0 n_symbols", "0 n_dup_lines", "0 n_repeat_words"]
+    many = [(1000 + i, "en", 1.0 + i % 100 / 50) for i in range(400)]
+
+    def judged(rare):
+        rows = spark.createDataFrame(many + rare, "doc_id long, lang string, log_perplexity double")
+        monkeypatch.setattr(perplexity, "fit", lambda texts: None)
+        monkeypatch.setattr(perplexity, "measure", lambda r, model: rows.selectExpr("*", *words))
+        docs = rows.select("doc_id", "lang", F.lit("").alias("text"))
+        return {r.doc_id: r.kept for r in perplexity.apply_rules(docs).collect()}
+
+    rare = [(i, "xx", 3.0) for i in range(28)] + [(28, "xx", 3.6), (29, "xx", 3.0)]
+    fewer, more = judged(rare[:29]), judged(rare)
+    assert all(fewer[i] == more[i] for i in fewer)
+    rows = spark.createDataFrame(many + [(1, "xx", 9.0)], "doc_id long, lang string, log_perplexity double")
+    low, high = {r.lang: (r.low, r.high) for r in perplexity.bands(rows).collect()}["xx"]
+    assert low < 2 < high < 9
+
+
 def test_water_filling(spark):
     sizes = {"a": 10, "b": 1000, "c": 1, "d": 0, None: 500}
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
