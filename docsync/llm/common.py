@@ -148,3 +148,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     rows = docs.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text"))
     texts = rows.join(F.broadcast(chosen), "sample_id").where("text is not null")
     return texts.groupBy("text").agg(F.min("label").alias("label")), totals
+
+
+# For oracles: the 256 remainders of unsigned crc32, by rule, as a common table expression.
+CRC32_TABLE_SQL = r"""crc32_table as materialized (
+    select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) remainders
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, where ``crc32_table`` is joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {octets}), "
+            f"lambda c, b: xor(remainders[(xor(c, b) & 255) + 1], c >> 8)))")

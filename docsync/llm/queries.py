@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import contamination, jaccard, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity
+from docsync.llm import (
+    contamination, jaccard, language, mixing, perplexity, phrases, quality, repeats, secret_scan, sharding, tokens,
+    toxicity,
+)
 from docsync.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,12 +88,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_token_counts, op2_toxicity, op3_jaccard_join, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
-        op9_mixing, op10_suffix_array_dedup,
+        op9_mixing, op10_suffix_array_dedup, op11_phrase_collocations, op13_sharding,
     )
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
+    "op11_phrase_collocations": phrases.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL,
 }
