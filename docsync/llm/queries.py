@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsync.llm import (
-    contamination, jaccard, language, mixing, perplexity, phrases, quality, repeats, secret_scan, sharding, tokens,
-    toxicity,
+    contamination, jaccard, language, mixing, perplexity, phrases, quality, repeats, secret_scan, sharding, spelling,
+    tokens, toxicity,
 )
 from docsync.llm.common import fold
 
@@ -92,6 +92,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -99,10 +103,12 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q for q in (
         op1_token_counts, op2_toxicity, op3_jaccard_join, op4_quality_rules, op5_quality_classifier, op6_language_id, op7_secret_scans, op8_decontamination,
-        op9_mixing, op10_suffix_array_dedup, op11_phrase_collocations, op13_sharding,
+        op9_mixing, op10_suffix_array_dedup, op11_phrase_collocations,
+        op12_spelling_variants, op13_sharding,
     )
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
-    "op11_phrase_collocations": phrases.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL,
+    "op11_phrase_collocations": phrases.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL,
 }

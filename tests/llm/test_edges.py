@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsync.llm import (
-    contamination, jaccard, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity,
+    contamination, jaccard, language, mixing, perplexity, phrases, quality, repeats, secret_scan, sharding,
+    spelling, tokens, toxicity,
 )
 
 PROSE = " ".join(f"word{i % 37} tail{i % 11}" for i in range(60))
@@ -19,7 +20,8 @@ ROWS = [
 ]
 # Names that the operators use inside.
 CLASH = """key hash token cls part kind copy n score label place size target copies class bucket draw
-words start end item_id spans leader near before rank position epochs run order row_id kept_0""".split()
+words start end item_id spans leader near before rank position epochs run order row_id kept_0 key_id key_hash shard slot
+law ids id word a l r lang_ first last form root role node block heads tails""".split()
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -56,6 +58,7 @@ OPERATORS = {
     "contamination": lambda d, l, b: contamination.contaminated(d, b),
     "mixing": lambda d, l, b: mixing.mix(d),
     "repeats": lambda d, l, b: repeats.find_repeats(d),
+    "sharding": lambda d, l, b: sharding.assign(d),
 }
 
 
@@ -64,7 +67,7 @@ def test_every_row_gets_a_result(name, docs, labels, benchmark):
     found = OPERATORS[name](docs, labels, benchmark).collect()
     assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in ROWS)
     same = [tuple(r) for r in found if r.doc_id == 2]
-    assert name == "mixing" or same[0] == same[1]
+    assert name in ("mixing", "sharding") or same[0] == same[1]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -126,3 +129,27 @@ def test_repeated_keeps_columns(docs):
     done = mixing.repeated(docs)
     assert done.columns == docs.columns
     assert max(r["count"] for r in done.groupBy("doc_id", "text").count().collect()) <= 6
+
+
+def test_words_and_phrases_of_all_kinds_of_rows(spark, docs):
+    # Digits end a run, so all runs but a lone one are too short.
+    assert spelling.variants(docs).collect() == [] == spelling.variants(docs.where("false")).collect()
+    more = docs.withColumn("text", F.concat(F.col("text"), F.lit(" Straße straße strase")))
+    words = {r.word: (r.n, r.form) for r in spelling.variants(more).collect()}
+    assert words["straße"] == (18, None) and words["strase"] == (9, "straße")
+    found = phrases.mine(docs, min_count=3, top=None).collect()
+    assert {r.lang for r in found} == {"en"} and {r.a for r in found} == {3}
+    assert phrases.mine(docs.where("false")).collect() == []
+    assert phrases.mine(docs.where("text is null")).collect() == []
+
+
+def test_shards_of_all_kinds_of_rows(docs):
+    found = sharding.assign(docs).collect()
+    none = [r for r in found if r.doc_id is None]
+    assert len({r.shard for r in none}) == 1 and {r.size for r in none} == {1, len(PROSE) + 1}
+    for shard in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(sum(r.shard == shard for r in found)))
+    placed = sharding.place(docs.drop("shard"))
+    assert placed.columns == [*docs.drop("shard").columns, "shard"]
+    with pytest.raises(ValueError):
+        sharding.place(docs)

@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name,label,least", [("op2_toxicity", "toxic", 0.95), ("op5_quality_classifier", "quality", 0.97)])
