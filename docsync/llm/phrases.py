@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 SHARDS = 3
 TOP = 2000
-# Bits of a bitmap of frequent phrases: 8 MB.
+# Bits of a bitmap of frequent phrases: 8 MB, less where few are set, as it travels compressed.
 BITS = 26
 # Counts that a task gathers before it gives them out.
 GATHERED = 1 << 21
@@ -125,6 +126,15 @@ def _bits(ids: DataFrame) -> tuple[np.ndarray, int]:
     return bitmap, min(table["least"].to_pylist(), default=8)
 
 
+def _ship(spark, bitmap: np.ndarray):
+    packed = compress(bitmap.tobytes(), 1)
+    return checked_broadcast(spark, packed, len(packed), 1 << 24)
+
+
+def _shipped(packed) -> np.ndarray:
+    return np.frombuffer(decompress(packed.value), np.uint32)
+
+
 def _phrases(ids: np.ndarray, frequent: np.ndarray, max_words: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each length from 2, the phrases of which both parts are frequent: ids, ids of the part without
     the last word and of the part without the first, and the places of those parts among the phrases
@@ -159,7 +169,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _scan(batches: Iterator[pa.RecordBatch], words: bool, frequent, fresh, max_words: int) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases (and of all words): both parts are frequent, one of them since the
     last cycle."""
-    known, lately = frequent.value, fresh.value
+    known, lately = _shipped(frequent), _shipped(fresh)
     gathered, size = [], 0
     for ids in _texts(batches):
         met = [ids[ids != 0]] if words else []
@@ -175,7 +185,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: bool, frequent, fresh, max_w
 
 def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Iterator[pa.RecordBatch]:
     """The parts of the frequent phrases, each phrase once per gathering."""
-    known = frequent.value
+    known = _shipped(frequent)
     met: dict[int, tuple[int, int]] = {}
 
     def given() -> pa.RecordBatch:
@@ -217,8 +227,7 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
 
     while step < shards or step <= last_active + shards:
         fresh = reduce(np.bitwise_or, lately[-shards:], np.zeros_like(bits))
-        known = checked_broadcast(spark, bits.copy(), bits.nbytes, 1 << 24)
-        new = checked_broadcast(spark, fresh, fresh.nbytes, 1 << 24)
+        known, new = _ship(spark, bits), _ship(spark, fresh)
         words = step < shards
         texts = spark.read.schema("ids binary").parquet(f"{dealt}/shard={step % shards}")
         found = texts.mapInArrow(lambda b: _scan(b, words, known, new, max_words), schema)
@@ -234,8 +243,8 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
         bits |= now
         if least < max_words:
             last_active = step
-        known.unpersist()
-        new.unpersist()
+        known.destroy()
+        new.destroy()
         step += 1
 
     keys = _few(table("reached", range(step), "id long"))
@@ -275,7 +284,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         spark.createDataFrame([], "ids binary").write.mode("append").parquet(f"{dealt}/shard={shard}")
     totals, bits = _frequent(dealt, spark, min_count, max_words, shards)
 
-    known = checked_broadcast(spark, bits, bits.nbytes, 1 << 24)
+    known = _ship(spark, bits)
     texts = spark.read.schema("ids binary").parquet(*(f"{dealt}/shard={s}" for s in range(shards)))
     parts = texts.mapInArrow(lambda b: _resolve(b, known, max_words), "id long, first long, last long")
     parts = parts.groupBy("id").agg(F.min(F.struct("first", "last")).alias("parts"))
