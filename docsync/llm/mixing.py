@@ -43,29 +43,43 @@ def _digits(hexadecimal: Column, n: int) -> Column:
     return F.conv(F.substring(hexadecimal, 1, n), 16, 10).cast("long")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums over all rows that come before a row in order, which must be a total one.
+
+    Ranges of the order are summed up first, and what lies before each range is added to the sums inside
+    it, so no task sorts more than a range. There are no more ranges than shuffle partitions."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns({f"own_{n}": c for n, c in sums.items()}).repartitionByRange(ranges, *order)
+    rows = cut_lineage(rows.withColumn("range", F.spark_partition_id()), "ranges")
+    whole = rows.groupBy("range").agg(*[F.sum(f"own_{n}").alias(f"own_{n}") for n in sums])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("range", *[F.coalesce(F.sum(f"own_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(F.broadcast(whole), "range")
+    for n in sums:
+        found = found.withColumn(n, F.col(f"base_{n}") + F.coalesce(F.sum(f"own_{n}").over(inside), F.lit(0)))
+    return found.select(*df.columns, *sums)
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``(source, source_size)`` to ``(source, position, source_size, target, epochs)``.
 
-    One row per source, so the two windows below order a table of sources, not of documents.
+    Sources may be as many as there are hosts: both orders, by name and by filling, are cut into ranges.
     A source of size 0 has target 0 and 0 epochs.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    position = F.row_number().over(by_name) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("position") % len(weights) + 1))
-    cap = F.col("source_size") * max_epochs
-    df = sources.withColumn("position", position).withColumns({"weight": weight.cast("long"), "cap": cap})
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), "position")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    everything = filled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({
-        "left": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
-        "open": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
+    df = running_sums(sources, [F.col("source").asc_nulls_last()], {"position": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
+    df = df.withColumns({"weight": weight.cast("long"), "cap": F.col("source_size") * max_epochs})
+    order = [(F.col("cap") / F.col("weight")).asc(), F.col("position").asc()]
+    df = running_sums(df, order, {"i": F.lit(1).cast("long"), "capped": F.col("cap"), "passed": F.col("weight")})
+    df = cut_lineage(df, "targets")
+    whole = df.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
+    df = df.join(F.broadcast(whole), F.lit(True)).withColumns({
+        "left": F.col("all_words") - F.col("capped"), "open": F.col("all_weight") - F.col("passed")})
     # The first source that its share does not fill sets the level for all after it.
     fits = F.col("left") * F.col("weight") <= F.col("cap") * F.col("open")
-    df = df.withColumns({"fits": fits, "i": F.row_number().over(filled)})
-    level = F.min(F.when(F.col("fits"), F.struct("i", "left", "open"))).over(everything)
-    df = df.withColumn("level", level)
+    level = df.where(fits).agg(F.min(F.struct("i", "left", "open")).alias("level"))
+    df = df.join(F.broadcast(level), F.lit(True))
     shared = (F.col("level.left") * F.col("weight")).cast("double") / F.col("level.open")
     target = F.when(F.col("i") < F.col("level.i"), F.col("cap").cast("double")).otherwise(shared)
     df = df.withColumn("target", target)
@@ -105,17 +119,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))
     ).select(*[F.col(c).alias(f"cell_{c}") for c in CELL], "first", "position", "source_size", "target", "epochs")
     cells = cut_lineage(cells, "mixing")
-    # Few cells (counted first) are sent to the rows, which then move once, for the ranks.
-    if cells.count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    starts = _best_starts(_ranked(sized, cells, "draw", "size"), seed)
-    ranked = _ranked(rows, cells, "draw", "size", "kept_0").join(starts, "position")
+    starts = _best_starts(_ranked(sized, _few(cells), "draw", "size"), seed)
+    # What a row needs is put on its cell, so rows with their texts move once, for the ranks.
+    cells = cut_lineage(cells.join(starts, "position"), "mixing")
+    ranked = _ranked(rows, _few(cells), "draw", "size", "kept_0")
     return ranked.select(
         *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep or [id_col])],
         "size", "source_size", "target", (F.floor("epochs") + _extra(F.col("start"))).alias("copies"),
     )
 
 
+def _few(cells: DataFrame) -> DataFrame:
+    """Few cells (counted first) are sent to the rows; beyond that bound both sides are shuffled."""
+    return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+
+
 def _ranked(rows: DataFrame, cells: DataFrame, *order: str) -> DataFrame:
     """Each row with what its cell knows and its rank in its source."""
     same = F.col("source").eqNullSafe(F.col("cell_source"))
