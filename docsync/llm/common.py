@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import compress, decompress
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,6 +20,8 @@ MEMO = 1 << 18
 BATCH_BYTES = 8 << 20
 # So many pairs of id and hash, about 16 bytes each, may be broadcast.
 BROADCAST_KEYS = 1 << 20
+# Bits of a bitmap of ids: 8 MB, less on the way where few are set, as it travels compressed.
+BITS = 26
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,15 +79,37 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(as_bytes(text))
 
 
-def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which id and text hash are not in ``keys`` ``(key_id, key_hash)``.
+def few(keys: DataFrame) -> DataFrame:
+    """Few keys (counted here, so written before) are sent to the rows they are joined with; beyond that
+    bound both sides are shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
-    Few keys (counted first) are sent to the rows; beyond that bound both sides are shuffled."""
-    keys = cut_lineage(keys.select("key_id", "key_hash").distinct(), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("key_id")) & (text_hash(F.col(f"`{text_col}`")) == F.col("key_hash"))
-    return docs.join(keys, same, "left_anti")
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A semi or anti join of ``docs`` with ``keys`` ``(key_id, key_hash)`` on id and text hash. Columns of
+    ``docs`` may have any name."""
+    key_id, key_hash = fresh_names(docs, "key_id", "key_hash")
+    keys = keys.select("key_id", "key_hash").toDF(key_id, key_hash)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key_id)) & (text_hash(F.col(f"`{text_col}`")) == F.col(key_hash))
+    return docs.join(keys, same, how)
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which id and text hash are not in ``keys`` ``(key_id, key_hash)``."""
+    keys = few(cut_lineage(keys.select("key_id", "key_hash").distinct(), "keys"))
+    return by_key(docs, keys, "left_anti", id_col, text_col)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -97,6 +123,35 @@ def checked_broadcast(spark: SparkSession, value, size: int, limit: int):
     return spark.sparkContext.broadcast(value)
 
 
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """Bits of all of a table's ``id``, by two probes each, set by Spark in words of 32 bits: at most
+    2**21 rows reach the driver, whatever the number of ids."""
+    probes = F.array(F.expr(f"id & {(1 << BITS) - 1}L"), F.expr(f"shiftrightunsigned(id, {64 - BITS})"))
+    words = ids.select(F.explode(probes).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set"))
+    table = words.toArrow()
+    bitmap = np.zeros(1 << (BITS - 5), np.uint32)
+    bitmap[table["word"].to_numpy()] = table["set"].to_numpy().astype(np.uint32)
+    return bitmap
+
+
+def held(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the bitmap may hold each id; those that it was made of, always."""
+    found = np.ones(len(ids), bool)
+    for probe in (ids & np.uint64((1 << BITS) - 1), ids >> np.uint64(64 - BITS)):
+        found &= ((bitmap[probe >> np.uint64(5)] >> (probe & np.uint64(31)).astype(np.uint32)) & 1).astype(bool)
+    return found
+
+
+def ship_bitmap(spark: SparkSession, bitmap: np.ndarray):
+    packed = compress(bitmap.tobytes(), 1)
+    return checked_broadcast(spark, packed, len(packed), 1 << 24)
+
+
+def shipped_bitmap(packed) -> np.ndarray:
+    return np.frombuffer(decompress(packed.value), np.uint32)
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Smallest reachable node of each node: ``(node, component)`` for links ``(a, b)`` of longs.
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import BROADCAST_KEYS, WordHashes, as_bytes, checked_broadcast, column, scramble, small_batches
+from docsync.llm.common import (
+    BITS, WordHashes, as_bytes, bitmap_of, column, few, held, scramble, ship_bitmap, shipped_bitmap, small_batches,
+)
 from docsync.session import cut_lineage, shared_folder
 
 MIN_COUNT = 100
 MAX_WORDS = 5
 SHARDS = 3
 TOP = 2000
-# Bits of a bitmap of frequent phrases: 8 MB, less where few are set, as it travels compressed.
-BITS = 26
 # Counts that a task gathers before it gives them out.
 GATHERED = 1 << 21
 # Bytes of words a task remembers as given out.
@@ -105,41 +104,11 @@ def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
 _DEALT = "shard int, kind int, lang string, id long, word binary, ids binary"
 
 
-def _held(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the bitmap may hold each id, by two probes."""
-    low, high = ids & np.uint64((1 << BITS) - 1), ids >> np.uint64(64 - BITS)
-    found = np.ones(len(ids), bool)
-    for probe in (low, high):
-        found &= ((bitmap[probe >> np.uint64(5)] >> (probe & np.uint64(31)).astype(np.uint32)) & 1).astype(bool)
-    return found
-
-
-def _bits(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """The bitmap of a table of ids, set by Spark in words of 32 bits: at most 2**21 rows reach the
-    driver, whatever the number of ids. And the least length among them, 8 for none."""
-    probes = F.array(F.expr(f"id & {(1 << BITS) - 1}L"), F.expr(f"shiftrightunsigned(id, {64 - BITS})"))
-    words = ids.select("id", F.explode(probes).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("set"), F.min(F.expr("id & 7")).alias("least"))
-    table = words.toArrow()
-    bitmap = np.zeros(1 << (BITS - 5), np.uint32)
-    bitmap[table["word"].to_numpy()] = table["set"].to_numpy().astype(np.uint32)
-    return bitmap, min(table["least"].to_pylist(), default=8)
-
-
-def _ship(spark, bitmap: np.ndarray):
-    packed = compress(bitmap.tobytes(), 1)
-    return checked_broadcast(spark, packed, len(packed), 1 << 24)
-
-
-def _shipped(packed) -> np.ndarray:
-    return np.frombuffer(decompress(packed.value), np.uint32)
-
-
 def _phrases(ids: np.ndarray, frequent: np.ndarray, max_words: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each length from 2, the phrases of which both parts are frequent: ids, ids of the part without
     the last word and of the part without the first, and the places of those parts among the phrases
     given before."""
-    part, at = ids, np.flatnonzero((ids != 0) & _held(frequent, ids))
+    part, at = ids, np.flatnonzero((ids != 0) & held(frequent, ids))
     part = ids[at]
     for length in range(2, max_words + 1):
         follow = np.flatnonzero(np.diff(at) == 1)
@@ -149,8 +118,8 @@ def _phrases(ids: np.ndarray, frequent: np.ndarray, max_words: int) -> Iterator[
             phrase = scramble(scramble(first) + ids[at + length - 1])
         phrase = (phrase & ~_LENGTH) | np.uint64(length)
         yield phrase, first, last
-        held = _held(frequent, phrase)
-        part, at = phrase[held], at[held]
+        kept = held(frequent, phrase)
+        part, at = phrase[kept], at[kept]
 
 
 def _counted(ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -169,12 +138,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _scan(batches: Iterator[pa.RecordBatch], words: bool, frequent, fresh, max_words: int) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases (and of all words): both parts are frequent, one of them since the
     last cycle."""
-    known, lately = _shipped(frequent), _shipped(fresh)
+    known, lately = shipped_bitmap(frequent), shipped_bitmap(fresh)
     gathered, size = [], 0
     for ids in _texts(batches):
         met = [ids[ids != 0]] if words else []
         for phrase, first, last in _phrases(ids, known, max_words):
-            met.append(phrase[_held(lately, first) | _held(lately, last)])
+            met.append(phrase[held(lately, first) | held(lately, last)])
         gathered += met
         size += sum(map(len, met))
         if size > GATHERED:
@@ -185,7 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: bool, frequent, fresh, max_w
 
 def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Iterator[pa.RecordBatch]:
     """The parts of the frequent phrases, each phrase once per gathering."""
-    known = _shipped(frequent)
+    known = shipped_bitmap(frequent)
     met: dict[int, tuple[int, int]] = {}
 
     def given() -> pa.RecordBatch:
@@ -196,7 +165,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Ite
 
     for ids in _texts(batches):
         for phrase, first, last in _phrases(ids, known, max_words):
-            at = np.flatnonzero(_held(known, phrase))
+            at = np.flatnonzero(held(known, phrase))
             _, once = np.unique(phrase[at], return_index=True)
             at = at[once]
             phrase, first, last = (v[at].view(np.int64).tolist() for v in (phrase, first, last))
@@ -206,11 +175,6 @@ def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Ite
     yield given()
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Few keys (counted first) are sent to the rows; beyond that bound both sides are shuffled."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) -> tuple[DataFrame, np.ndarray]:
     """All scans: ``(id, a)`` of the frequent words and phrases, a being the exact count, and their
     bitmap."""
@@ -227,7 +191,7 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
 
     while step < shards or step <= last_active + shards:
         fresh = reduce(np.bitwise_or, lately[-shards:], np.zeros_like(bits))
-        known, new = _ship(spark, bits), _ship(spark, fresh)
+        known, new = ship_bitmap(spark, bits), ship_bitmap(spark, fresh)
         words = step < shards
         texts = spark.read.schema("ids binary").parquet(f"{dealt}/shard={step % shards}")
         found = texts.mapInArrow(lambda b: _scan(b, words, known, new, max_words), schema)
@@ -236,18 +200,18 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
         hopeful = window.where(F.col("n") >= fair).select("id").distinct()
         if step:
             hopeful = hopeful.join(table("reached", range(step), "id long"), "id", "left_anti")
-        sums = window.join(_few(cut_lineage(hopeful, "hopeful")), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+        sums = window.join(few(cut_lineage(hopeful, "hopeful")), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
         sums.where(F.col("n") >= min_count).select("id").write.parquet(f"{folder}/reached={step}")
-        now, least = _bits(table("reached", [step], "id long"))
-        lately.append(now)
-        bits |= now
-        if least < max_words:
+        now = table("reached", [step], "id long")
+        lately.append(bitmap_of(now))
+        bits = bits | lately[-1]
+        if not now.where(F.expr(f"id & 7 < {max_words}")).isEmpty():
             last_active = step
         known.destroy()
         new.destroy()
         step += 1
 
-    keys = _few(table("reached", range(step), "id long"))
+    keys = few(table("reached", range(step), "id long"))
     counts = [table("counts", range(s, step, shards)).withColumn("shard", F.lit(s)) for s in range(min(shards, step))]
     # A phrase taken for active too early may have been counted twice in a shard: alike both times.
     totals = reduce(DataFrame.unionByName, counts).join(keys, "id", "left_semi").groupBy("id", "shard").agg(
@@ -284,18 +248,18 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         spark.createDataFrame([], "ids binary").write.mode("append").parquet(f"{dealt}/shard={shard}")
     totals, bits = _frequent(dealt, spark, min_count, max_words, shards)
 
-    known = _ship(spark, bits)
+    known = ship_bitmap(spark, bits)
     texts = spark.read.schema("ids binary").parquet(*(f"{dealt}/shard={s}" for s in range(shards)))
     parts = texts.mapInArrow(lambda b: _resolve(b, known, max_words), "id long, first long, last long")
     parts = parts.groupBy("id").agg(F.min(F.struct("first", "last")).alias("parts"))
     phrases = cut_lineage(parts.join(totals, "id").select("id", "a", "parts.*"), "phrases")
     sizes = made.where(F.col("kind") == TOTALS).groupBy("lang").agg(F.sum("id").alias("n"))
-    words = made.where(F.col("kind") == WORDS).select("id", "lang", F.col("word").cast("string").alias("phrase"))
-    level = cut_lineage(
-        words.join(totals.where("id & 7 = 1"), "id").groupBy("id").agg(
-            F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.min("a").alias("a")
-        ).select("*", F.col("phrase").alias("end"), F.array().cast("array<long>").alias("heads"),
-                 F.array().cast("array<long>").alias("tails")), "level")
+    # Every task that met a word has given it out.
+    words = made.where(F.col("kind") == WORDS).groupBy("id").agg(
+        F.min("lang").alias("lang"), F.min(F.col("word").cast("string")).alias("phrase"))
+    none = F.array().cast("array<long>")
+    level = cut_lineage(words.join(totals.where("id & 7 = 1"), "id").select(
+        "id", "lang", "phrase", "a", F.col("phrase").alias("end"), none.alias("heads"), none.alias("tails")), "level")
     levels = []
     for length in range(2, max_words + 1):
         left = level.select(F.col("id").alias("first"), "lang", "phrase", F.concat("heads", F.array("a")).alias("heads"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsync.llm.common import BROADCAST_KEYS, CRC32_TABLE_SQL, as_bytes, column, crc32_sql, small_batches
+from docsync.llm.common import CRC32_TABLE_SQL, as_bytes, column, crc32_sql, few, small_batches
 from docsync.session import cut_lineage
 
 MIN_LENGTH, MIN_COUNT = 5, 3
@@ -293,9 +293,7 @@ def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
     most = {r.depth: r.most for r in sizes.groupBy("depth").agg(F.max("size").alias("most")).collect()}
     depth = next((d for d in sorted(most) if most[d] <= subtree), len(LEVELS))
     blocks = F.ceil(F.sum("n_words") / F.lit(subtree)).cast("int").alias("blocks")
-    nodes = cut_lineage(whole.groupBy(F.expr(f"substring(node, 1, {depth})").alias("node")).agg(blocks), "nodes")
-    if nodes.count() <= BROADCAST_KEYS:
-        nodes = F.broadcast(nodes)
+    nodes = few(cut_lineage(whole.groupBy(F.expr(f"substring(node, 1, {depth})").alias("node")).agg(blocks), "nodes"))
     routed = words.mapInArrow(lambda b: _route(b, depth), _ROUTED).join(nodes, "node")
     # Words of a subtree stay in one block and look into the others; searchers look into all.
     home = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docsync.llm import phrases, sharding, spelling
+from docsync.llm import common, phrases, sharding, spelling
 
 
 # Phrases
@@ -70,7 +70,7 @@ def test_late_phrases_complete_their_cycle(spark, monkeypatch):
 def test_only_the_best_of_each_language_and_few_memos(spark, monkeypatch):
     monkeypatch.setattr(phrases, "GATHERED", 50)
     monkeypatch.setattr(phrases, "MEMO_BYTES", 20)
-    monkeypatch.setattr(phrases, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
     rows = corpus(5, 50)
     found = sorted(map(tuple, phrases.mine(spark.createDataFrame(rows, "lang string, text string"), min_count=4, top=3).collect()))
     assert found == [r for r in plain_phrases(rows, 4) if r[1] <= 3]
