@@ -8,12 +8,14 @@ is cut into segments, one per fragment.
    fragments. A document of which too much is its own can link with nobody and is done.
 2. What is left is ordered by frequency. Two sets that link share an n-gram among the few rarest of
    both, so the sets with such an n-gram in common form a group, named by its smallest member.
-3. A group, cut into blocks of bounded size, is compared block by block. There, again, the n-grams are
-   cut into fragments; partial overlaps are counted in each and summed per pair. Pairs are never
-   written out: a block gives one tree of links per connected part, and a count of links per set.
-
-Documents with equal sets are one class throughout, and classes met again in a task are sent once, so
-copies cost one membership row each. Components come from the trees of links.
+3. A group is cut into bands of set size, such that only neighbouring bands can link, and a band into
+   blocks of bounded size, which are compared block by block. There, again, the n-grams are cut into
+   fragments; partial overlaps are counted in each and summed per pair. Pairs are never written out: a
+   block gives one tree of links per connected part, and a count of links per set.
+
+Documents with equal sets are one class throughout. Which class a document is in stands in a table of its
+own, which no grouped step sees; those get the sets of the classes, each once per chunk of a task that
+meets it. Components come from the trees of links.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    WordHashes, as_bytes, column, components, gram_hashes, small_batches, text_hash, without,
+    WordHashes, as_bytes, by_key, column, components, gram_hashes, small_batches, text_hash, without,
 )
 from docsync.session import cut_lineage
 
@@ -40,8 +42,12 @@ CHUNK_TOKENS, CHUNK_SETS = 1 << 20, 60_000
 # An n-gram of so many sets in one chunk counts as frequent everywhere; its places stay in the chunk.
 FREQUENT = 16
 FREQUENT_COUNT = (1 << 31) - 1
-# Sets per block of a group.
-BLOCK = 1024
+# Sets, and n-grams in them, per block of a band of a group, on average.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
+# Compressed bytes of texts per fragment. The names of n-grams take two bytes less with few fragments.
+FRAGMENT_BYTES, FEW_FRAGMENTS = 32 << 20, 1 << 16
+# More would leave a chunk with hardly an n-gram per fragment; give ``fragments`` to have more.
+MOST_FRAGMENTS = 1 << 18
 # N-grams of at most so many sets of a block are counted pair by pair, the others by matrices of so
 # many columns.
 LIGHT, COLUMNS = 6, 2048
@@ -61,37 +67,52 @@ def _fragment(tokens: np.ndarray, fragments: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """The low 48 bits of each hash; the fragment stands for the rest."""
+def _names(tokens: np.ndarray, fragments: int) -> np.ndarray:
+    """What an n-gram goes by: its hash, the top of which the fragment stands for where those are few."""
+    if fragments > FEW_FRAGMENTS:
+        return tokens
+    return (_fragment(tokens, fragments) << np.uint64(48)) | (tokens & _LOW)
+
+
+def _pack(tokens: np.ndarray, fragments: int) -> bytes:
+    """Names without their fragment, where they hold it."""
+    if fragments > FEW_FRAGMENTS:
+        return tokens.tobytes()
     return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed: bytes, fragment: int, fragments: int) -> np.ndarray:
+    if fragments > FEW_FRAGMENTS:
+        return np.frombuffer(packed, np.uint64)
     wide = np.zeros((len(packed) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.reshape(-1).view("<u8")
+    return wide.reshape(-1).view("<u8") | np.uint64(fragment << 48)
 
 
 def _parts(values: np.ndarray, parts: int) -> np.ndarray:
     return ((values.view(np.uint64) >> np.uint64(17)) % np.uint64(parts)).astype(np.int32)
 
 
-_NAMES = ["part", "kind", "cls", "n", "a", "b", "c", "d"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-_SCHEMA = "part int, kind int, cls long, n int, a binary, b binary, c binary, d binary, doc_id {kind}"
-MEMBER, POSTINGS, FREQUENT_POSTINGS = 0, 1, 2
+_NAMES = ["part", "kind", "a", "b", "c", "d"]
+_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+_SCHEMA = "part int, kind int, a binary, b binary, c binary, d binary"
+SIZES, POSTINGS, FREQUENT_POSTINGS = 0, 1, 2
 
 
-def _rows(rows: list[tuple], ids: pa.Array) -> pa.RecordBatch:
-    """Rows without the id, and the ids of the first of them."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(_TYPES)
-    arrays = [pa.array(c, t) for c, t in zip(columns, _TYPES)]
-    ids = pa.concat_arrays([ids, pa.nulls(len(rows) - len(ids), ids.type)])
-    return pa.RecordBatch.from_arrays([*arrays, ids], names=[*_NAMES, "doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+
+def _dealt(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each part that occurs."""
+    order = np.argsort(parts, kind="stable")
+    found, first = np.unique(parts[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]))
 
 
-def _cut(sets: dict[int, np.ndarray], fragments: int, chunk: int) -> list[tuple]:
-    """The postings of a chunk of sets, cut into fragments."""
+def _cut(sets: dict[int, np.ndarray], fragments: int) -> list[tuple]:
+    """The postings of a chunk of sets, cut into fragments, and the sizes of the sets, by class."""
     classes = np.fromiter(sets, np.int64, len(sets))
     sizes = [len(s) for s in sets.values()]
     tokens = np.concatenate(list(sets.values())) if sets else np.empty(0, np.uint64)
@@ -101,67 +122,71 @@ def _cut(sets: dict[int, np.ndarray], fragments: int, chunk: int) -> list[tuple]
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, int)
     counts = np.diff(np.append(first, len(tokens)))
     frequent = np.repeat(counts >= FREQUENT, counts)
-    rows = []
+    counted = np.array(sizes, np.int32)
+    rows = [(p, SIZES, classes[at].tobytes(), counted[at].tobytes(), None, None)
+            for p, at in _dealt(_parts(classes, fragments))]
     limits = np.searchsorted(_fragment(tokens, fragments), np.arange(fragments + 1))
     for f in range(fragments):
         here = slice(limits[f], limits[f + 1])
         own, often = tokens[here][~frequent[here]], np.unique(tokens[here][frequent[here]])
         if len(own) or len(often):
             held, place = np.unique(owner[here][~frequent[here]], return_inverse=True)
-            rows.append((f, POSTINGS, None, None, classes[held].tobytes(), _pack(own),
-                         place.astype(np.uint16).tobytes(), _pack(often)))
+            rows.append((f, POSTINGS, classes[held].tobytes(), _pack(own, fragments), place.astype(np.uint16).tobytes(), _pack(often, fragments)))
     if frequent.any():
-        names = (_fragment(tokens[frequent], fragments) << np.uint64(48)) | (tokens[frequent] & _LOW)
-        rows.append((chunk % fragments, FREQUENT_POSTINGS, None, None, classes[owner[frequent]].tobytes(),
-                     names.tobytes(), None, None))
+        # Already known to be shared, these are only passed on: dealt out by class, as they are needed next.
+        names = _names(tokens[frequent], fragments)
+        owners = classes[owner[frequent]]
+        rows += [(p, FREQUENT_POSTINGS, owners[at].tobytes(), names[at].tobytes(), None, None)
+                 for p, at in _dealt(_parts(owners, fragments))]
     return rows
 
 
+def class_of(tokens: np.ndarray) -> int:
+    """Name of the class of documents with these n-grams."""
+    name = xxhash.xxh3_64_intdigest(tokens.tobytes())
+    return name - ((name >> 63) << 64)
+
+
+def _membership(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
+    """The class of each document, null without words, and the size of its set."""
+    hashes = WordHashes()
+    for batch in batches:
+        sets = (shingle_set(text, hashes, ngram) for text in column(batch, "text").to_pylist())
+        found = [(class_of(s) if len(s) else None, len(s)) for s in sets]
+        classes, sizes = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [column(batch, "doc_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "cls", "n"])
+
+
 def _shingle(batches: Iterator[pa.RecordBatch], ngram: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    hashes, sets, size, chunk = WordHashes(), {}, 0, 0
-    none = None
+    hashes, sets, size = WordHashes(), {}, 0
     for batch in batches:
-        ids = column(batch, "doc_id")
-        none = ids.slice(0, 0)
-        rows = []
-        for i, text in enumerate(column(batch, "text").to_pylist()):
+        for text in column(batch, "text").to_pylist():
             tokens = shingle_set(text, hashes, ngram)
-            if not len(tokens):
-                rows.append((i % fragments, MEMBER, None, 0, None, None, None, None))
-                continue
-            name = xxhash.xxh3_64_intdigest(tokens.tobytes())
-            name -= (name >> 63) << 64
-            rows.append(((name >> 17) % fragments, MEMBER, name, len(tokens), None, None, None, None))
-            if name not in sets:
+            name = class_of(tokens)
+            if len(tokens) and name not in sets:
                 sets[name] = tokens
                 size += len(tokens)
             if size >= CHUNK_TOKENS or len(sets) >= CHUNK_SETS:
-                yield _rows(_cut(sets, fragments, chunk), none)
-                sets, size, chunk = {}, 0, chunk + 1
-        yield _rows(rows, ids)
+                yield _rows(_cut(sets, fragments))
+                sets, size = {}, 0
     if sets:
-        yield _rows(_cut(sets, fragments, chunk), none)
-
-
-def _members(table: pa.Table) -> tuple[list[tuple], pa.Array]:
-    members = table.filter(pa.compute.equal(table["kind"], MEMBER))
-    rows = list(zip(members["cls"].to_pylist(), members["n"].to_pylist()))
-    return rows, members["doc_id"].combine_chunks() if len(members) else table["doc_id"].combine_chunks().slice(0, 0)
+        yield _rows(_cut(sets, fragments))
 
 
 def _count_fragment(table: pa.Table, fragments: int) -> pa.Table:
     """One fragment: keeps the postings of n-grams that several sets have, with their frequency, and
     deals them out by set."""
-    members, ids = _members(table)
-    rows = [(_parts(np.array([c if c is not None else i]), fragments)[0], MEMBER, c, n, None, None, None, None)
-            for i, (c, n) in enumerate(members)]
+    rows = []
     tokens, classes, often = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     sent = []
     for kind, part, a, b, c, d in zip(*(table[n].to_pylist() for n in ("kind", "part", "a", "b", "c", "d"))):
         if kind == POSTINGS:
-            tokens.append(_unpack(b) | np.uint64(part << 48))
+            tokens.append(_unpack(b, part, fragments))
             classes.append(np.frombuffer(a, np.int64)[np.frombuffer(c, np.uint16)])
-            often.append(_unpack(d) | np.uint64(part << 48))
+            often.append(_unpack(d, part, fragments))
+        elif kind == SIZES:
+            rows.append((part, SIZES, a, b, None, None))
         elif kind == FREQUENT_POSTINGS:
             owners = np.frombuffer(a, np.int64)
             sent.append((owners, np.frombuffer(b, np.int64), np.full(len(owners), FREQUENT_COUNT, np.int32)))
@@ -184,8 +209,8 @@ def _count_fragment(table: pa.Table, fragments: int) -> pa.Table:
         limits = np.searchsorted(part, np.arange(fragments + 1))
         for p in np.unique(part).tolist():
             here = slice(limits[p], limits[p + 1])
-            rows.append((p, POSTINGS, None, None, owners[here].tobytes(), names[here].tobytes(), counts[here].tobytes(), None))
-    return pa.Table.from_batches([_rows(rows, ids)])
+            rows.append((p, POSTINGS, owners[here].tobytes(), names[here].tobytes(), counts[here].tobytes(), None))
+    return pa.Table.from_batches([_rows(rows)])
 
 
 def least_overlap(n, percent: int):
@@ -193,21 +218,22 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-_SETS = "kind int, doc_id {kind}, cls long, n int, tokens binary, prefix array<long>"
+_SETS = "cls long, n int, tokens binary, prefix array<long>"
 
 
 def _gather_sets(table: pa.Table, percent: int) -> pa.Table:
     """Sums up what each set shares over its fragments; keeps the sets that can link, with their
     shared n-grams, rarest first, and their prefix."""
-    members, ids = _members(table)
-    size = dict(m for m in members if m[0] is not None)
+    size: dict[int, int] = {}
     owners, names, counts = [], [], []
     for kind, a, b, c in zip(*(table[n].to_pylist() for n in ("kind", "a", "b", "c"))):
-        if kind == POSTINGS:
+        if kind == SIZES:
+            size.update(zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int32).tolist()))
+        else:
             owners.append(np.frombuffer(a, np.int64))
             names.append(np.frombuffer(b, np.int64))
             counts.append(np.frombuffer(c, np.int32))
-    out = [(MEMBER, c, n, None, None) for c, n in members]
+    out = []
     if owners:
         owners, names, counts = np.concatenate(owners), np.concatenate(names), np.concatenate(counts)
         order = np.lexsort((names, counts, owners))
@@ -220,12 +246,10 @@ def _gather_sets(table: pa.Table, percent: int) -> pa.Table:
             least = least_overlap(n, percent)
             if shared >= least:
                 prefix = names[start:start + shared - least + 1]
-                out.append((POSTINGS, int(owners[start]), n, names[start:end].tobytes(), prefix.tolist()))
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-    columns = list(zip(*out)) if out else [()] * 5
-    kind, cls, n, tokens, prefix = (pa.array(c, t) for c, t in zip(columns, kinds))
-    ids = pa.concat_arrays([ids, pa.nulls(len(out) - len(ids), ids.type)])
-    return pa.table({"kind": kind, "doc_id": ids, "cls": cls, "n": n, "tokens": tokens, "prefix": prefix})
+                out.append((int(owners[start]), n, names[start:end].tobytes(), prefix.tolist()))
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    columns = list(zip(*out)) if out else [()] * 4
+    return pa.table({name: pa.array(c, t) for name, c, t in zip(("cls", "n", "tokens", "prefix"), columns, kinds)})
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -271,14 +295,13 @@ def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
     """One pair of blocks of a group: a tree of links for each connected part, and links per set. A
     pair that meets in several groups is counted in the one with the smallest name."""
     table = table.sort_by("cls")
-    classes, n = table["cls"].to_numpy(), table["n"].to_numpy().astype(np.float32)
+    classes, n = table["cls"].to_numpy(), table["n"].to_numpy().astype(np.int64)
     sets = [np.frombuffer(t, np.int64) for t in table["tokens"].to_pylist()]
-    inside = overlaps(sets)
+    inside = overlaps(sets).astype(np.int64)
     linked = 100 * inside >= percent * (n[:, None] + n[None, :] - inside)
     np.fill_diagonal(linked, False)
-    lo, hi, group = table["lo"][0].as_py(), table["hi"][0].as_py(), table["leader"][0].as_py()
-    if lo != hi:
-        block = table["block"].to_numpy()
+    group, block = table["leader"][0].as_py(), table["block"].to_numpy()
+    if table["lo"][0].as_py() != table["hi"][0].as_py():
         linked &= block[:, None] != block[None, :]
     roots = _roots(linked)
     counted = linked.copy()
@@ -295,6 +318,13 @@ def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
     })
 
 
+def _bytes_read(docs: DataFrame) -> int:
+    """Bytes of the sources that a plan reads, as far as they are known."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM,
          percent: int = PERCENT, fragments: int | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)`` of every whole text.
@@ -303,34 +333,46 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     documents that it links with. Null, empty and wordless texts have an empty set, link with nothing
     and name themselves. Repeated rows are documents of their own, linked by equal sets. A null id is
     never the smallest; where all ids are null, so is the component. An empty table gives an empty
-    table; other columns are not read. ``fragments`` (by default the shuffle partitions, at most
-    65,536) should grow with the input: a task holds one fragment.
+    table; other columns are not read. A task holds one of the ``fragments``: by default as many as there
+    are shuffle partitions, and one per ``FRAGMENT_BYTES`` of what is read at least.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    fragments = min(fragments or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), 1 << 16)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = _SCHEMA.format(kind=kind)
-    cut = rows.mapInArrow(lambda b: _shingle(b, ngram, fragments), schema)
-    counted = cut.groupBy("part").applyInArrow(lambda t: _count_fragment(t, fragments), schema)
-    gathered = counted.groupBy("part").applyInArrow(lambda t: _gather_sets(t, percent), _SETS.format(kind=kind))
+    if not fragments:
+        by_bytes = min(_bytes_read(docs) // FRAGMENT_BYTES, MOST_FRAGMENTS)
+        fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, by_bytes)
+    cut = rows.select("text").mapInArrow(lambda b: _shingle(b, ngram, fragments), _SCHEMA)
+    counted = cut.groupBy("part").applyInArrow(lambda t: _count_fragment(t, fragments), _SCHEMA)
+    gathered = counted.groupBy("part").applyInArrow(lambda t: _gather_sets(t, percent), _SETS)
     gathered = cut_lineage(gathered, "jaccard")
-    members = gathered.where(F.col("kind") == MEMBER).select("doc_id", "cls", "n")
+    members = cut_lineage(rows.mapInArrow(lambda b: _membership(b, ngram), f"doc_id {kind}, cls long, n int"), "jaccard")
     classes = members.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    sets = gathered.where(F.col("kind") == POSTINGS).select("cls", "n", "tokens")
+    sets = gathered.select("cls", "n", "tokens")
 
-    prefix = gathered.where(F.col("kind") == POSTINGS).select("cls", F.explode("prefix").alias("token"))
+    prefix = gathered.select("cls", F.explode("prefix").alias("token"))
     met = prefix.groupBy("token").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")).where("sets > 1")
-    groups = cut_lineage(prefix.join(met, "token").select("cls", "leader").distinct(), "jaccard")
-    blocks = groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Sets that link differ in size by less than the factor of a band.
+    band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * 1.0001 if percent < 100 else 1e-3)).cast("long")
+    groups = prefix.join(met, "token").select("cls", "leader").distinct().join(sets.select("cls", "n"), "cls")
+    groups = cut_lineage(groups.withColumn("band", band), "jaccard")
+    blocks = groups.groupBy("leader", "band").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     leaders = groups.groupBy("cls").agg(F.collect_set("leader").alias("leaders"))
-    pairs = groups.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = groups.join(blocks, ["leader", "band"]).withColumn(
+        "block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # Each block meets the blocks of its own band and those of the bands before and after it.
+    others = blocks.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(-1)))).select(
+        "leader", "step", (F.col("band") - F.col("step")).alias("band"), F.col("blocks").alias("others"))
+    pairs = pairs.join(others, ["leader", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    own = F.struct("band", "block")
+    other = F.struct((F.col("band") + F.col("step")).alias("band"), F.col("other").alias("block"))
     known = sets.join(leaders, "cls").join(classes.select("cls", "copies"), "cls")
     pairs = pairs.select(
-        "cls", "leader", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        "cls", "leader", F.xxhash64("band", "block").alias("block"),
+        F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")
     ).join(known, "cls")
     found = pairs.groupBy("leader", "lo", "hi").applyInArrow(
         lambda t: _compare_blocks(t, percent), "cls long, root long, links long")
@@ -362,5 +404,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rest = without(docs, gone.unionByName(many.select(*keys)), id_col, text_col)
     if many.limit(1).count() == 0:
         return rest
-    same = doc_id.eqNullSafe(F.col("key_id")) & (text_hash(text) == F.col("key_hash"))
-    return rest.unionByName(docs.join(many.select(*keys), same, "left_semi").dropDuplicates([id_col, text_col]))
+    return rest.unionByName(by_key(docs, many.select(*keys), "left_semi", id_col, text_col).dropDuplicates([id_col, text_col]))
