@@ -2,8 +2,9 @@
 
 Only suffixes that start at content-selected minimisers are kept: of every 43 neighbouring runs of
 8 words, the one with the smallest hash. Any passage of 50 words holds one, at the same place in
-every copy. The suffixes, each with the words a passage of 50 around it may reach, are sorted by
-content over the whole cluster; each is compared with its neighbours from other documents, and the
+every copy. Suffixes whose 8 words no other document has match nothing and are dropped first: a bitmap
+of fixed size tells tasks which are shared, and lets at most a needless one through. The others, each
+with the words a passage of 50 around it may reach, are sorted by content over the whole cluster; each is compared with its neighbours from other documents, and the
 match is extended to the left and to the right. Where three or more suffixes go on alike, the left
 context of one farther off may match for longer: there the passages of 50 words that each minimiser
 owns also get a fingerprint, and those are counted by document. A hot passage is sorted like all
@@ -19,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsync.llm.common import WordHashes, as_bytes, column, gram_hashes, scramble, small_batches
+from docsync.llm.common import (
+    WordHashes, as_bytes, bitmap_of, column, gram_hashes, held, scramble, ship_bitmap, shipped_bitmap, small_batches,
+)
 from docsync.session import cut_lineage
 
 MIN_WORDS = 50
@@ -27,7 +30,7 @@ GRAM = 8
 # Words in a context: the rest of a passage that begins, or ends, in the minimiser.
 RIGHT, LEFT = MIN_WORDS, MIN_WORDS - GRAM
 # Suffixes compared at a time.
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 _SUFFIX = "hash long, right binary, left binary, key long, place int, least int, most int"
 _FOUND = "hash long, print long, key long, start int, end int"
 
@@ -48,10 +51,26 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(owners(grams, window))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes of all documents that have ``min_words`` words, words as 16 bits of their hash.
-    ``least`` and ``most`` are the words before the minimiser in the passages that it owns."""
+def _starts(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The hash of each suffix's first words, once per document."""
     hashes = WordHashes()
+    for batch in batches:
+        found, keys = [np.empty(0, np.uint64)], []
+        for key, text in zip(column(batch, "key").to_pylist(), column(batch, "text").to_pylist()):
+            words = text.split()
+            if len(words) >= min_words:
+                grams = gram_hashes(hashes.of(words), gram)
+                found.append(np.unique(grams[minimisers(grams, min_words - gram + 1)]))
+                keys.append(np.full(len(found[-1]), key, np.int64))
+        keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], names=["id", "key"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int, shared) -> Iterator[pa.RecordBatch]:
+    """The suffixes of all documents that have ``min_words`` words, as far as others may share their
+    start, words as 32 bits of their hash. ``least`` and ``most`` are the words before the minimiser in
+    the passages that it owns."""
+    hashes, known = WordHashes(), shipped_bitmap(shared)
     right, left = min_words, min_words - gram
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("hash", "right", "left", "key", "place", "least", "most")}
@@ -63,13 +82,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> I
             grams = gram_hashes(own, gram)
             places, first, owned = np.unique(
                 owners(grams, min_words - gram + 1), return_index=True, return_counts=True)
-            codes = (own >> np.uint64(48)).astype(">u2")
+            met = held(known, grams[places])
+            places, first, owned = places[met], first[met], owned[met]
+            codes = (own >> np.uint64(32)).astype(">u4")
             after, before = codes.tobytes(), codes[::-1].tobytes()
             n = len(words)
             out["hash"] += grams[places].view(np.int64).tolist()
             for p in places.tolist():
-                out["right"].append(after[2 * p:2 * (p + right)])
-                out["left"].append(before[2 * (n - p):2 * (n - p + left)])
+                out["right"].append(after[4 * p:4 * (p + right)])
+                out["left"].append(before[4 * (n - p):4 * (n - p + left)])
             out["key"] += [key] * len(places)
             out["place"] += places.tolist()
             out["least"] += (places - first - owned + 1).tolist()
@@ -80,9 +101,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> I
 
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
     """Contexts as rows of words; what a document does not have is -1."""
-    rows = np.full((len(values), width), -1, np.int32)
+    rows = np.full((len(values), width), -1, np.int64)
     for i, v in enumerate(values.to_pylist()):
-        rows[i, :len(v) // 2] = np.frombuffer(v, ">u2")
+        rows[i, :len(v) // 4] = np.frombuffer(v, ">u4")
     return rows
 
 
@@ -188,14 +209,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null, empty and shorter texts repeat nothing. Rows equal in id and text are one document, which
     does not repeat itself; each of them gets its result. Null ids are told apart by text. An empty
-    table gives an empty table; other columns are not read. Every such passage is found, but for equal
-    hashes of different words.
+    table gives an empty table; other columns are not read. Words are told apart by 32 bits of their
+    hash at the ends of a passage, and by 64 bits of the hash of the passage's start.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     order = ["hash", "right", "key", "place"]
-    suffixes = rows.select("key", "text").mapInArrow(lambda b: _suffixes(b, min_words, gram), _SUFFIX)
+    starts = rows.select("key", "text").mapInArrow(lambda b: _starts(b, min_words, gram), "id long, key long")
+    several = starts.groupBy("id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other")
+    shared = ship_bitmap(docs.sparkSession, bitmap_of(several))
+    suffixes = rows.select("key", "text").mapInArrow(lambda b: _suffixes(b, min_words, gram, shared), _SUFFIX)
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     array = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     found = cut_lineage(array.mapInArrow(lambda b: _compare(b, min_words, gram), _FOUND), "repeats")
