@@ -11,9 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from docsync.schema import CLAUSES, Clause, check_clauses
-from docsync.session import config_frame
+from docsync.session import MAX_CONFIG_ROWS, config_frame
 
 # Scores are rounded before they are compared, so that ties are ties on every run.
 SCORE_DIGITS = 6
@@ -225,8 +226,19 @@ def total_hits(scored: DataFrame) -> DataFrame:
 def fetch_fields(
     hits: DataFrame, docs: DataFrame, fields: Sequence[str], key: str, k: int | None = None
 ) -> DataFrame:
-    """The hits, at most ``k`` of them, with stored fields of their documents."""
+    """The hits, at most ``k`` of them, with stored fields of their documents.
+
+    Up to ``MAX_CONFIG_ROWS`` hits are ranked by a job of their own, and their keys become a condition on
+    the key column as it is stored: of a table sorted by key, only the pages that hold a hit are read.
+    All hits, or more of them, are joined."""
+    stored = docs.select(F.col(key).cast("string").alias("doc_key"), *fields)
     if k is not None:
         hits = hits.orderBy(F.desc("score"), "doc_key").limit(k)
-    stored = docs.select(F.col(key).cast("string").alias("doc_key"), *fields)
-    return stored.join(hits, "doc_key")
+    kind = docs.schema[key].dataType
+    if k is None or k > MAX_CONFIG_ROWS or not isinstance(kind, (StringType, IntegralType)):
+        return stored.join(hits, "doc_key")
+    rows = hits.select("doc_key", "score").collect()
+    keys = [F.lit(r.doc_key).cast(kind) for r in rows]
+    found = docs.filter(F.col(key).isin(keys)) if keys else docs.filter(F.lit(False))
+    ranked = config_frame(docs.sparkSession, [tuple(r) for r in rows], "doc_key string, score double")
+    return found.select(F.col(key).cast("string").alias("doc_key"), *fields).join(ranked, "doc_key")

@@ -6,6 +6,8 @@ correctness check.
 
 from __future__ import annotations
 
+import re
+
 # Fixed values shared with the text functions: white space that trimming removes.
 _W = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -247,6 +249,16 @@ scored AS (
   SELECT doc_key, round(sum(w) * count(*) / {n}, 6) AS score FROM hits GROUP BY doc_key HAVING {having})"""
 
 
+def _after_changes(sql: str) -> str:
+    """A query over the documents as three batches of changes leave them."""
+    final = """final_docs AS (
+  SELECT d.* REPLACE (CASE WHEN l.quality = 0 THEN d.text || ' the and edited'
+    WHEN l.quality IS NULL AND d.lang = 'es' THEN split_part(d.text, chr(10), 1) ELSE d.text END AS text)
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0),"""
+    sql = re.sub(r"\bdocuments\b", "final_docs", sql)
+    return sql.replace("WITH", "WITH " + final, 1)
+
+
 _AS_ASKED = "('title', 'the'), ('title', 'and'), ('content', 'and')"
 
 ORACLES: dict[str, str] = {
@@ -276,7 +288,7 @@ acted AS (
 SELECT a.day, a.path, a.action, h.handler
 FROM acted a JOIN {_TYPES} USING (ext) JOIN {_DISPATCH} USING (file_type, action)""",
     "map_fields_where": rf"""
-SELECT page_id, {_clean(f"""nullif(regexp_extract({_markup("html")}, '(?is)<div\s+class="ad"[^>]*>(.*?)</div\s*>', 1), '')""")} AS ad,
+SELECT page_id, {_clean(rf"""nullif(regexp_extract({_markup("html")}, '(?is)<div\s+class="ad"[^>]*>(.*?)</div\s*>', 1), '')""")} AS ad,
   {_attr("html", "meta", "charset")} AS charset, NULL::VARCHAR AS other,
   concat_ws('|', {_texts("html", "title")}[1], {_texts("html", "h1")}[1]) AS title,
   CASE WHEN url LIKE '%#%' THEN NULL WHEN url LIKE '%?%' THEN 'query' ELSE 'Page' END AS kind
@@ -286,6 +298,20 @@ WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED, """count(*) FILTER (field =
     OR count(*) FILTER (field = 'content') = 1""", 3)}
 SELECT s.doc_key, d.title, d.lang, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
 WHERE d.active = 1 AND list_has_any(d.roles, ['A', 'D']) ORDER BY s.score DESC, s.doc_key LIMIT 20""",
+    "search_after_delta": _after_changes(f"""
+WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED, """count(*) FILTER (field = 'title') = 2
+    OR count(*) FILTER (field = 'content') = 1""", 3)}
+SELECT s.doc_key, d.title, d.lang, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
+ORDER BY s.score DESC, s.doc_key LIMIT 50"""),
+    "search_by_roles": _after_changes(f"""
+WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED + ", ('title', 'edited'), ('content', 'edited')", "count(*) > 0", 5)}
+SELECT s.doc_key, d.title, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
+WHERE d.active = 1 AND list_has_any(d.roles, ['A', 'B']) ORDER BY s.score DESC, s.doc_key LIMIT 40"""),
+    "segment_stats": _after_changes(f"""
+WITH {_FILES}, {_stop("'the'")}, valued AS (
+  SELECT field, term, df FROM stats
+  UNION ALL SELECT 'lang', lang, count(*) FROM filed GROUP BY lang)
+SELECT field, term, df FROM valued"""),
     "search_any_word": f"""
 WITH {_DOCS}, {_stop("'the'")}, {_ranked(_AS_ASKED, "count(*) > 0", 3)}
 SELECT s.doc_key, d.title, s.score FROM scored s JOIN docs d ON d.path = s.doc_key
@@ -528,3 +554,4 @@ SELECT l.path, l.url, d.lang, d.text AS content FROM last l
 JOIN documents d ON l.path = concat('/src', d.doc_id % 20, '/', d.doc_id, '.html')
 WHERE l.action <> 'deleted'""",
 }
+ORACLES["search_merged_segments"] = ORACLES["search_after_delta"]

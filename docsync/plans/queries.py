@@ -16,6 +16,9 @@ from docsync.operators import access, changes, content, mapping, search as se, s
 from docsync.operators import index as ix
 from docsync.plans import inputs, reconcile as rc
 from docsync.plans.reconcile import with_eligible
+from docsync.plans.segments import (
+    Segments, merge_segments, merged_stats, read_segments, search_segments, write_segment,
+)
 from docsync.plans.search import (
     TextIndex, build_index, index_for_words, read_index, search, write_index,
 )
@@ -586,6 +589,47 @@ def search_keyword_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, ["fr"], ["lang"], ["lang"], active=1, k=None)
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> Segments:
+    """An index of three batches. The first holds the labelled documents. The second edits those of low
+    quality, deletes the toxic ones and adds those without a label, of which the third cuts the Spanish
+    ones down to their title."""
+    labels = inputs.as_files(inputs.labelled(spark, sf_dir)).select("path", "quality", "toxic")
+    docs = inputs.docs(spark, sf_dir).join(labels, "path")
+    edited = docs.withColumn("content", F.when(
+        F.col("quality") == 0, F.concat("content", F.lit(" the and edited"))).otherwise(F.col("content")))
+    edited = edited.withColumn("title", inputs.title_of(F.col("content")))
+    kept, marks = F.coalesce("toxic", F.lit(0)) == 0, ["quality", "toxic"]
+    root = shared_folder(spark, "segments")
+    write_segment(spark, root, docs.where("quality is not null").drop(*marks), STORED, "path", stop_words=["the"])
+    changed = edited.where(kept & ((F.col("quality") == 0) | F.col("quality").isNull()))
+    write_segment(spark, root, changed.drop(*marks), STORED, "path", docs.where("toxic = 1").select("path"), stop_words=["the"])
+    cut = docs.where("quality is null and toxic is null and lang = 'es'").withColumn("content", F.col("title"))
+    write_segment(spark, root, cut.drop(*marks), STORED, "path", stop_words=["the"])
+    return read_segments(spark, root)
+
+
+def search_after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over segments written by three batches: as over an index built anew."""
+    return search_segments(_segmented(spark, sf_dir), "The and", FIELDS, ["title", "lang"], active=None, k=50)
+
+
+def search_by_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any of the words, in active documents of a role, by bitmaps of their numbers."""
+    found = search_segments(_segmented(spark, sf_dir), "the and edited", FIELDS, ["title"], ["A", "B"], 1, k=40, operator="or")
+    return found
+
+
+def search_merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _segmented(spark, sf_dir)
+    merge_segments(spark, index.root)
+    return search_segments(read_segments(spark, index.root), "The and", FIELDS, ["title", "lang"], active=None, k=50, early_stop=False)
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of all terms, kept up through changes and deletions."""
+    return merged_stats(_segmented(spark, sf_dir))
+
+
 # --- change events -------------------------------------------------------------------------------
 
 
@@ -689,6 +733,7 @@ QUERIES: dict[str, Query] = {
         bool_query, multi_field_query, score, top_k, total_hits, fetch_fields,
         read_change_events, route_events, latest_event, debounce_events, debounce_hot, folder_events, sync_stream,
         search_stored_index, search_any_word, search_keyword_field,
+        search_after_delta, search_by_roles, search_merged_segments, segment_stats,
     )
 }
 QUERIES["search"] = search_documents
