@@ -1,7 +1,8 @@
-"""Regular-expression extraction from HTML.
+"""Extraction from HTML with regular expressions, and a fold over tags where elements nest.
 
-Selectors are single tag names, not XPath. Tags of one name that nest inside each other end at the
-first closing tag; that limit is stated here once for all functions below.
+Selectors are single tag names, not XPath. An element ends at its own closing tag, also where elements of
+its name lie inside it; paragraphs cannot nest and end at the first closing tag. An element that is
+never closed is left out where elements of its name nest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from docsync.functions.text import decode_entities, normalise_lines
 COMMENT = r"(?s)<!--.*?-->"
 HIDDEN = r"(?is)<(?:script(?:\s[^>]*)?>.*?</script|style(?:\s[^>]*)?>.*?</style)\s*>"
 ANY_TAG = r"(?s)<[^>]*>"
+# Fixed value: an opening tag of these ends an open element of the same name.
+NEVER_NESTED = ("p",)
 
 
 def _tag_name(tag: str) -> str:
@@ -73,6 +76,41 @@ def first_attribute(
     return decode_entities(attribute_of(open_tag, attr))
 
 
+def _nested(markup: Column, tag: str) -> Column:
+    """Array ``(opening, inner)`` of every ``tag`` element in order of the opening tags, each up to its own
+    closing tag.
+
+    The markup is cut at the tags of that name; a fold over them keeps the open ones on a stack, and a
+    closing tag closes the innermost. Empty tags (``<tag/>``) are elements without inside."""
+    pattern = rf"(?is)</?{tag}(?:\s[^>]*)?/?>"
+    state = "struct<i:int,open:array<int>,closed:array<struct<first:int,last:int>>>"
+    start = F.from_json(F.lit('{"i":0,"open":[],"closed":[]}'), state)
+
+    def step(s: Column, t: Column) -> Column:
+        closing, empty = F.startswith(t, F.lit("</")), F.endswith(t, F.lit("/>"))
+        innermost = F.get(s["open"], F.size(s["open"]) - 1)
+        ended = F.when(empty & ~closing, F.struct(s["i"].alias("first"), s["i"].alias("last")))
+        ended = ended.when(closing & innermost.isNotNull(), F.struct(innermost.alias("first"), s["i"].alias("last")))
+        left = F.when(empty & ~closing, s["open"]).when(~closing, F.concat(s["open"], F.array(s["i"])))
+        left = left.otherwise(F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))))
+        closed = F.when(ended.isNotNull(), F.concat(s["closed"], F.array(ended))).otherwise(s["closed"])
+        return F.struct((s["i"] + 1).alias("i"), left.alias("open"), closed.alias("closed"))
+
+    tags = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+    between = F.split(markup, pattern, -1)
+    found = F.array_sort(F.aggregate(tags, start, step)["closed"])
+
+    def element(e: Column) -> Column:
+        # Text, tag, text, ...: what lies between the two tags, tags of the same name included.
+        n = e["last"] - e["first"]
+        inner = F.zip_with(
+            F.slice(between, e["first"] + 2, n), F.concat(F.slice(tags, e["first"] + 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(""))),
+            lambda text, t: F.concat(text, F.coalesce(t, F.lit(""))))
+        return F.struct(F.get(tags, e["first"]).alias("opening"), F.array_join(inner, "").alias("inner"))
+
+    return F.transform(found, element)
+
+
 def element_texts(
     html: Column, tag: str, is_readable: bool = False, where: tuple[str, str] | None = None,
 ) -> Column:
@@ -81,12 +119,19 @@ def element_texts(
     tag = _tag_name(tag)
     pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
     markup = _markup_for(html, tag, is_readable)
+    opening = lambda x: F.regexp_extract(x, r"(?s)\A<[^>]*>", 0)
+    chosen = lambda x: decode_entities(attribute_of(x, where[0])) == where[1]
     if where is None:
         inner = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
     else:
         found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
-        opening = lambda x: F.regexp_extract(x, r"(?s)\A<[^>]*>", 0)
-        inner = F.filter(found, lambda x: decode_entities(attribute_of(opening(x), where[0])) == where[1])
+        inner = F.filter(found, lambda x: chosen(opening(x)))
+    if tag.lower() not in NEVER_NESTED:
+        # Another opening tag before the closing one: only then are the tags folded.
+        nests = F.rlike(markup, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(?:(?!</{tag}\s*>).)*<{tag}(?:\s[^>]*)?>"))
+        nested = _nested(markup, tag)
+        nested = nested if where is None else F.filter(nested, lambda e: chosen(e["opening"]))
+        inner = F.when(nests, F.transform(nested, lambda e: e["inner"])).otherwise(inner)
     return F.transform(inner, lambda x: decode_entities(normalise_lines(strip_tags(x))))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,6 +17,8 @@ WHITE_SPACE = (
 
 # Named entities, from the table of the HTML standard that comes with Python; names end in ";".
 NAMED = {name: char for name, char in html.entities.html5.items() if name.endswith(";")}
+# Names are looked up in one of so many short lists, chosen by a checksum of the name.
+NAME_LISTS = 1024
 
 # Fixed value: terms are maximal runs of letters and digits.
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -46,22 +49,39 @@ def decode_entities(value: Column) -> Column:
 
     The text is cut at ``&``, so only texts and parts that have one are worked on.
     """
-    # A literal text that Spark turns into a map once, before the query runs.
-    pairs = "\x01".join(f"{name}\x02{char}" for name, char in NAMED.items())
-    names = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))
-
-    def part(p: Column, i: Column) -> Column:
+    listed = [""] * NAME_LISTS
+    for name, char in NAMED.items():
+        listed[zlib.crc32(name[:-1].encode()) % NAME_LISTS] += f"\x02{name[:-1]}\x03{char:\x04<2}"
+    # A literal text that Spark cuts into an array once, before the query runs.
+    lists = F.split(F.lit("\x01".join(listed)), "\x01", -1)
+
+    def named(entity: Column) -> Column:
+        """The one or two characters that stand behind a name in its list."""
+        names = F.get(lists, (F.crc32(entity.cast("binary")) % NAME_LISTS).cast("int"))
+        at = F.instr(names, F.concat(F.lit("\x02"), entity, F.lit("\x03")))
+        return F.when(at > 0, F.replace(F.substr(names, at + F.length(entity) + 2, F.lit(2)), F.lit("\x04"), F.lit("")))
+
+    # Each step is a pass of its own, as what a pass makes is not made again by the next.
+    def cut(p: Column, i: Column) -> Column:
         entity = F.regexp_extract(p, r"\A(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return F.struct(F.when(i > 0, entity).otherwise("").alias("entity"), p.alias("part"), (i == 0).alias("first"))
+
+    def char_of(c: Column) -> Column:
+        entity = c["entity"]
         char = (
             F.when(entity == "", F.lit(None).cast("string"))
-            .when(F.rlike(entity, F.lit("\\A#[xX]")), _numbered(F.substr(entity, F.lit(3)), 16))
-            .when(F.startswith(entity, F.lit("#")), _numbered(F.substr(entity, F.lit(2)), 10))
-            .otherwise(F.try_element_at(names, F.concat(entity, F.lit(";"))))
+            .when(~F.startswith(entity, F.lit("#")), named(entity))
+            .when(F.startswith(F.lower(entity), F.lit("#x")), _numbered(F.substr(entity, F.lit(3)), 16))
+            .otherwise(_numbered(F.substr(entity, F.lit(2)), 10))
         )
-        rest = F.substr(p, F.length(entity) + 2)
-        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p)))
+        return F.struct(char.alias("char"), F.length(entity).alias("n"), c["part"].alias("part"), c["first"].alias("first"))
+
+    def joined(c: Column) -> Column:
+        decoded = F.concat(c["char"], F.substr(c["part"], c["n"] + 2))
+        return F.when(c["first"], c["part"]).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), c["part"])))
 
-    decoded = F.array_join(F.transform(F.split(value, "&", -1), part), "")
+    parts = F.transform(F.transform(F.split(value, "&", -1), cut), char_of)
+    decoded = F.array_join(F.transform(parts, joined), "")
     return F.when(F.contains(value, F.lit("&")), decoded).otherwise(value)
 
 

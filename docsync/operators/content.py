@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions import markup
 from docsync.functions.text import trim_white_space
+from docsync.session import parted
 
 # Fragments put together in the first step; a document of any length is split into such runs.
 RUN_LENGTH = 1024
@@ -41,7 +42,7 @@ def assemble_text(fragments: DataFrame, sep: str = " ", key: str = "doc_key") ->
 
 
 def resolve_shared_strings(
-    cells: DataFrame, shared_strings: DataFrame
+    cells: DataFrame, shared_strings: DataFrame, once: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(cells, errors)``. A cell marked shared holds an index into its workbook's string table;
     the others hold their own text. Cells without a value are skipped, text is trimmed, an index
@@ -49,7 +50,7 @@ def resolve_shared_strings(
 
     Both sides meet on (workbook, index): a workbook's dictionary is spread over all tasks, and
     literal cells have no index to be matched on, so they pass without taking part in the join's
-    skew.
+    skew. With ``once`` the join is done one time for both results, which are written and read back.
     """
     with_value = cells.filter(F.col("raw").isNotNull())
     literal = with_value.filter(~F.col("is_shared")).select(
@@ -64,9 +65,10 @@ def resolve_shared_strings(
         .select("workbook_id", "pos", "raw", index.alias("_idx"))
         .join(strings, ["workbook_id", "_idx"], "left")
     )
-    found = shared.filter(F.col("_string").isNotNull()).select("workbook_id", "pos", "_string")
-    text = literal.union(found)
-    errors = shared.filter(F.col("_string").isNull()).select(
+    lost = F.col("_string").isNull()
+    found, missing = parted(shared, lost, "shared_strings") if once else (shared.filter(~lost), shared.filter(lost))
+    text = literal.union(found.select("workbook_id", "pos", "_string"))
+    errors = missing.select(
         "workbook_id", "pos", F.concat(F.lit("no shared string "), F.col("raw")).alias("message")
     )
     return text.select("workbook_id", "pos", trim_white_space(F.col("_text")).alias("text")), errors

@@ -555,3 +555,4 @@ JOIN documents d ON l.path = concat('/src', d.doc_id % 20, '/', d.doc_id, '.html
 WHERE l.action <> 'deleted'""",
 }
 ORACLES["search_merged_segments"] = ORACLES["search_after_delta"]
+ORACLES["expire_versions"] = ORACLES["compact"]

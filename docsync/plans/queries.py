@@ -117,6 +117,19 @@ def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base 0 and a delta with one more column are folded; then a delta arrives late that is older
     than what the first one changed and would overwrite every document."""
+    return snapshots.read_snapshot(spark, _compacted(spark, sf_dir)).select("path", "version", "content", "note")
+
+
+def expire_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same versions, of which the first base and the folded delta are deleted before reading."""
+    root = _compacted(spark, sf_dir)
+    gone = snapshots.expire_versions(spark, root)
+    if len(gone) != 2:
+        raise ValueError(f"deleted {gone}")
+    return snapshots.read_snapshot(spark, root).select("path", "version", "content", "note")
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> str:
     root = shared_folder(spark, "snapshot")
     listing, index = inputs.listing(spark, sf_dir), inputs.index(spark, sf_dir)
     snapshots.write_snapshot(_docs_at(spark, sf_dir, index), root, 0, buckets=BUCKETS)
@@ -133,7 +146,7 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = listing.select("path").union(index.select("path")).distinct().select(
         "path", F.lit(False).alias("is_deleted"), F.lit(0).cast("bigint").alias("version"), F.lit("late").alias("content"))
     snapshots.write_delta(marked(late, 5), root, 2)
-    return snapshots.read_snapshot(spark, root).select("path", "version", "content", "note")
+    return root
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +189,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fetch": (F.col("html").isNull(), "page was not fetched"),
         "content": (F.size("paragraphs") < 5, "fewer than five paragraphs"),
     }
-    ok, errors = qu.quarantine(mapped, checks, "page_id")
+    ok, errors = qu.quarantine(mapped, checks, "page_id", once=True)
     good = ok.select("page_id", F.lit("ok").alias("stage"), F.lit("").alias("message"))
     return good.unionByName(errors)
 
@@ -317,7 +330,7 @@ def assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok, errors = content.resolve_shared_strings(
-        inputs.cells(spark, sf_dir), inputs.shared_strings(spark, sf_dir)
+        inputs.cells(spark, sf_dir), inputs.shared_strings(spark, sf_dir), once=True
     )
     good = ok.withColumn("message", F.lit(None).cast("string"))
     return good.unionByName(errors, allowMissingColumns=True)
@@ -719,7 +732,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         list_files, exclude_subtrees, route_by_extension, derive_url, split_url, write_snapshot,
-        read_snapshot, compact, sweep, forced_sweep, quarantine,
+        read_snapshot, compact, expire_versions, sweep, forced_sweep, quarantine,
         map_fields, map_fields_where, job_fields, with_variables, conditional_value, join_values, info_fields,
         to_field_rows, identity_key,
         first_attribute, node_texts, normalise_lines, decode_entities, page_text, assemble_text,

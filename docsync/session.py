@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -88,6 +88,18 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parted(df: DataFrame, second: Column, purpose: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` for which ``second`` does not hold, and those for which it does: computed in one
+    pass, written once to the shared folder by outcome and read back apart, each from its own files."""
+    spark, name = df.sparkSession, "_second"
+    while name in df.columns:
+        name = f"_{name}"
+    path = shared_folder(spark, purpose)
+    df.withColumn(name, F.coalesce(second, F.lit(False)).cast("int")).write.partitionBy(name).parquet(path)
+    both = spark.read.schema(StructType(df.schema.fields).add(name, "integer")).parquet(path)
+    return both.filter(F.col(name) == 0).drop(name), both.filter(F.col(name) == 1).drop(name)
+
+
 def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Configuration rows as a local relation, to be joined by broadcast. Both limits are checked
     here, so the broadcast has a size bound whatever the data."""

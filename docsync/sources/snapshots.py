@@ -234,3 +234,48 @@ def compact(
     write_snapshot(found, root, number, folded, stamps, **layout)
     return number
 
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Delete what no reader can ask for once the newest ``keep`` bases are all that is kept: older bases and
+    the deltas that the oldest kept one has folded in, their manifest rows first. Then the manifest, which
+    every read lists, has a row per kept base and unfolded delta. Returns the folders deleted.
+
+    Folders of writes that never were published go as well, unless they are newer than every published one.
+    No writer may be at work, and readers that began on an older base have to be done."""
+    if keep < 1:
+        raise ValueError("the newest base is always kept")
+    rows = _manifest(spark, root)
+    rows = [] if rows is None else rows.collect()
+    bases = sorted((r for r in rows if r.kind == "base"), key=lambda r: -r.version)
+    if not bases:
+        return []
+    folded = min(r.folded for r in bases[:keep])
+    stays = {r.folder for r in bases[:keep]} | {r.folder for r in rows if r.kind == "delta" and r.version > folded}
+    newest = {k: max((r.version for r in rows if r.kind == k), default=-1) for k in ("base", "delta")}
+    gone = []
+    for row in rows:
+        if row.folder not in stays:
+            _delete(spark, f"{root}/manifest/v={row.kind}-{row.version}")
+    for kind, last in newest.items():
+        for name in _names(spark, f"{root}/{kind}"):
+            version = int(name.split("=")[1].split("-")[0])
+            if f"{kind}/{name}" not in stays and version <= last:
+                _delete(spark, f"{root}/{kind}/{name}")
+                gone.append(f"{kind}/{name}")
+    return sorted(gone)
+
+
+def _path(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, location: str) -> list[str]:
+    """Names of the version folders below one folder."""
+    path, system = _path(spark, location)
+    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+
+def _delete(spark: SparkSession, location: str) -> None:
+    path, system = _path(spark, location)
+    system.delete(path, True)

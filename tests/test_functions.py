@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,38 @@ def test_info_member(frame):
 def test_rights(frame, mask, read_data, any_read):
     assert one(frame, rights.grants_read_data, mask, "bigint") is read_data
     assert one(frame, rights.grants_any_read, mask, "bigint") is any_read
+
+
+def test_every_named_entity(spark):
+    names = list(text.NAMED)
+    df = spark.createDataFrame([(i, f"a&{n}b&{n[:-1]}c") for i, n in enumerate(names)], "i int, s string")
+    found = {r.i: r.d for r in df.select("i", text.decode_entities(F.col("s")).alias("d")).collect()}
+    assert found == {i: f"a{text.NAMED[n]}b&{n[:-1]}c" for i, n in enumerate(names)}
+
+
+def plain_elements(html, tag):
+    """Inside of every element, by a stack over the tags."""
+    found, stack = [], []
+    for m in re.finditer(rf"(?is)</?{tag}(?:\s[^>]*)?/?>", html):
+        if m[0].endswith("/>") and not m[0].startswith("</"):
+            found.append((m.start(), ""))
+        elif not m[0].startswith("</"):
+            stack.append(m)
+        elif stack:
+            opening = stack.pop()
+            found.append((opening.start(), html[opening.end():m.start()]))
+    return ["".join(re.split("<[^>]*>", inner)) for _, inner in sorted(found)]
+
+
+def test_nested_elements_end_at_their_own_tag(spark):
+    draw = random.Random(4)
+    pieces = ["<div>", "<div class='x'>", "</div>", "</DIV >", "<b>", "</b>", "one", "two", "<div/>"]
+    pages = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(400)]
+    pages.append("<div>" * 300 + "deep" + "</div>" * 300)
+    # Where elements nest; without nesting the first closing tag ends an element.
+    pages = [p for p in pages if re.search("(?is)<div(?:\\s[^>]*)?>(?:(?!</div\\s*>).)*<div(?:\\s[^>]*)?>", p)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    found = {r.i: r.t for r in df.select("i", markup.element_texts(F.col("html"), "div").alias("t")).collect()}
+    assert found == {i: plain_elements(p, "div") for i, p in enumerate(pages)} and len(found) > 100
+    chosen = markup.element_texts(F.lit("<div>a<div id='k'>b<div>c</div></div></div>"), "div", where=("id", "k"))
+    assert spark.range(1).select(chosen.alias("t")).first().t == ["bc"]

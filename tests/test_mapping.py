@@ -93,6 +93,17 @@ def test_shared_strings(frame, rows):
                             ("w", 4, "no shared string x")]
 
 
+def test_shared_strings_in_one_pass(frame, rows):
+    cells = frame([("w", 1, True, "0"), ("w", 2, False, " lit "), ("w", 3, True, "9")],
+                  "workbook_id string, pos int, is_shared boolean, raw string")
+    strings = frame([("w", 0, "shared")], "workbook_id string, idx int, text string")
+    ok, errors = content.resolve_shared_strings(cells, strings, once=True)
+    for df in (ok, errors):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("FileScan") == 1
+    assert (rows(ok), rows(errors)) == ([("w", 1, "shared"), ("w", 2, "lit")], [("w", 3, "no shared string 9")])
+
+
 def test_body_attribute_tests_tasks_and_shared_names(frame, rows):
     page = ("<html><head><title>T</title><meta name='k' content='no'><META NAME=\"description\" content='d&eacute;'></head>"
             "<body class=b><h1>H</h1><div id='x'>one</div><div id='main'>two</div></body></html>")

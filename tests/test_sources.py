@@ -68,6 +68,16 @@ def test_quarantine_splits_and_reports_every_failure(frame, rows):
                             ("c", "fetch", "no page"), ("c", "size", "negative")]
 
 
+def test_quarantine_in_one_pass(spark, frame, rows):
+    df = frame([("a", None), ("b", "x")], "path string, html string")
+    for part in (df, df.where("false")):
+        ok, errors = qu.quarantine(part, {"fetch": (F.col("html").isNull(), "no page")}, once=True)
+        assert ok.columns == df.columns
+        plan = ok._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(_second" in plan and "LocalTableScan" not in plan
+        assert (rows(ok), rows(errors)) == (([("b", "x")], [("a", "fetch", "no page")]) if part is df else ([], []))
+
+
 DOC = "path string, doc_type string, content string"
 MARKS = ", is_deleted boolean, changed_at timestamp, change_id bigint"
 DELTA = DOC + MARKS
@@ -208,3 +218,28 @@ def test_a_bucketed_base_is_not_shuffled_when_read(spark, frame):
 def test_a_path_outside_the_root_has_no_url(frame, rows):
     df = frame([("/r/a b",), ("/v/x",), ("/rx/y",)], "path string")
     assert rows(files.derive_url(df, "http://h/", "/r"), "url") == [("http://h/a%20b",), (None,), (None,)]
+
+
+def test_expired_versions_leave_what_readers_need(spark, frame, rows):
+    root = shared_folder(spark, "test")
+    assert snapshots.expire_versions(spark, root) == []
+    snapshots.write_snapshot(frame([("a", "Page", "1"), ("b", "Page", "2")], DOC), root, 0)
+    change = lambda *r: frame([r], DELTA)
+    snapshots.write_delta(change("a", "Page", "3", False, at(1), 1), root, 1)
+    assert snapshots.expire_versions(spark, root) == []
+    snapshots.compact(spark, root)
+    snapshots.write_delta(change("b", None, None, True, at(2), 2), root, 2)
+    # An attempt that was never published, and one that may still be at work.
+    frame([("x", "y", "z")], DOC).write.parquet(f"{root}/delta/v=1-lost")
+    frame([("x", "y", "z")], DOC).write.parquet(f"{root}/delta/v=3-new")
+    before = rows(snapshots.read_snapshot(spark, root))
+    assert snapshots.expire_versions(spark, root, keep=2) == ["delta/v=1-lost"]
+    gone = snapshots.expire_versions(spark, root)
+    assert [g.split("-")[0] for g in gone] == ["base/v=0", "delta/v=1"]
+    assert rows(snapshots.read_snapshot(spark, root)) == before == [("a", "Page", "3")]
+    assert snapshots._manifest(spark, root).count() == 2
+    # A batch that is written again after its delta went is folded already and changes nothing.
+    snapshots.write_delta(change("a", "Page", "3", False, at(1), 1), root, 1)
+    assert rows(snapshots.read_snapshot(spark, root)) == before
+    with pytest.raises(ValueError):
+        snapshots.expire_versions(spark, root, 0)
