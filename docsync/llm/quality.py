@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    MEMO, as_bytes, checked_broadcast, column, labelled_sample, scramble, small_batches,
+    as_bytes, checked_broadcast, column, labelled_sample, scramble, small_batches,
 )
 
 BUCKETS_LOG2 = 15
@@ -31,7 +31,9 @@ STEPS = 40_000
 RATE = 0.1
 SEED = 5
 # Words scored together, and new words whose vectors are made together; they bound a task's memory.
-PART, NEW_WORDS = 1 << 17, 1 << 15
+PART, NEW_WORDS = 1 << 16, 1 << 13
+# Words, and bytes of words, that a task remembers.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 1 << 21
 THRESHOLD = 0.7
 _MASK = np.uint64((1 << BUCKETS_LOG2) - 1)
 
@@ -168,7 +170,7 @@ class Scorer:
     """Scores texts by one model; words that come again are looked up as whole vectors."""
 
     def __init__(self, model: Model):
-        self.model, self.rows = model, {}
+        self.model, self.rows, self.bytes = model, {}, 0
         self.vectors = np.empty((1024, DIMENSIONS), np.float32)
         self.hashes = np.empty(1024, np.uint64)
 
@@ -183,6 +185,7 @@ class Scorer:
         sizes = np.diff(np.append(starts, len(buckets)))
         self.vectors[first:need] = np.add.reduceat(self.model.table[buckets], starts) / sizes[:, None]
         self.rows.update(zip(words, range(first, need)))
+        self.bytes += sum(map(len, words))
 
     def scores(self, texts: list[bytes]) -> list[float]:
         """Scores of texts, taken together in parts of bounded size."""
@@ -196,8 +199,9 @@ class Scorer:
         return found + self._scores(part)
 
     def _scores(self, texts: list[list[bytes]]) -> list[float]:
-        if len(self.rows) > MEMO:
+        if len(self.rows) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
             self.rows.clear()
+            self.bytes = 0
         new = list(set().union(*texts).difference(self.rows))
         for start in range(0, len(new), NEW_WORDS):
             self.learn(new[start:start + NEW_WORDS])
