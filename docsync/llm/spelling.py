@@ -37,7 +37,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 LEVELS = np.array([5, 1, 9, 15, 14, 4, 3, 2, 8, 12, 7, 6, 0, 13, 11, 10])
 # Counts above are taken for equal; their words are told apart at the leaves.
 MOST = 30
-SUBTREE = 1 << 15
+SUBTREE = 1 << 13
 # Words counted by a task before it gives them out, in characters.
 GATHERED = 1 << 23
 # Searchers in a piece of the search, and word pairs compared at a time.
