@@ -1,16 +1,23 @@
 """Quality rules by n-gram perplexity.
 
-Texts are read as symbols of a small alphabet, and runs of four symbols are counted over all
-documents: in each task first, then by Spark. From these counts come the shorter runs, their
-continuation counts and the three discounts per order of a modified Kneser-Ney model. The model is
-kept in hash arrays, sorted by hash: one with the interpolated log probability of every run, one
-with the backoff weight of every context. A document is rejected when its perplexity lies outside the
-band of its language, whose limits come from the perplexities of all documents of that language.
+Texts are read as UTF-16 code units, all scripts, letters, digits and marks apart, and runs of four units,
+which fill 64 bits, are counted over all documents: in each task first, then by Spark. From these counts
+come, as tables, the shorter runs, their continuation counts and the three discounts per order of a
+modified Kneser-Ney model. Its last table has, for every run of four, its count, the count of its context,
+the context's spare mass and the probability of the shorter run.
+
+The model grows with the corpus. It is cut into ranges of bounded size, each kept in arrays sorted by hash;
+texts are scored in one pass per range, and the sums of the passes are added up. A text is not judged by
+itself: its own counts of a run and of its context are taken off before the probability is made. A
+document is rejected when its perplexity lies outside the band of its language, whose limits come from
+the perplexities of all documents of that language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +29,12 @@ from docsync.llm.common import checked_broadcast, column, small_batches
 from docsync.session import cut_lineage
 
 ORDER = 4
-# Symbols: 0 the margin, 1 space, 2 other white space, 3-28 a-z, 29-30 A-Z (vowel or not), 31-34 other
-# Latin letters, 35-36 letters of other scripts, 37 digits, 38-45 marks, 46 everything else.
-MARKS = ".,!?-|'\""
-SYMBOLS = 47
-# The alphabet bounds the model: no more runs of four than this, whatever the corpus.
-MAX_RUNS = SYMBOLS**ORDER
-# Symbols counted at a time, which bounds a task's memory.
-COUNTED = 1 << 20
+# Bits of a unit; a run of ORDER units is one number. The margin before a text is unit 0.
+BITS = 16
+# Symbols counted at a time, and distinct runs a task gathers before it gives them out.
+COUNTED, GATHERED = 1 << 20, 1 << 21
+# Bytes of a range of the model, and of one run in it.
+RANGE_BYTES, RUN_BYTES = 64 << 20, 32
 # Width of a band: so many times the middle half of the log perplexities, beyond its ends.
 REACH = 3.0
 # Log perplexities are ranked in steps of one over this.
@@ -40,122 +45,66 @@ SYMBOL_MARKS = "#*$%&|<>"
 _WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _alphabet() -> np.ndarray:
-    table = np.full(0x250, 46, np.uint8)
-    table[[9, 10, 11, 12, 13, 0x85, 0xA0]] = 2
-    table[32] = 1
-    table[97:123] = np.arange(3, 29)
-    table[65:91] = [29 if chr(c) in "AEIOU" else 30 for c in range(65, 91)]
-    table[48:58] = 37
-    for c in range(0xC0, 0x250):
-        if chr(c).isalpha():
-            table[c] = 31 + c % 4
-    for i, mark in enumerate(MARKS):
-        table[ord(mark)] = 38 + i
-    return table
-
-
-ALPHABET = _alphabet()
+def symbols_of(text: str) -> np.ndarray:
+    """Units of a text, after one margin for each place of a context."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return np.concatenate((np.zeros(ORDER - 1, np.uint64), units.astype(np.uint64)))
 
 
-def symbols_of(text: str) -> np.ndarray:
-    """Symbols of a text, after one margin for each place of a context."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    symbols = ALPHABET[np.minimum(codes, 0x24F)]
-    far = np.flatnonzero(codes >= 0x250)
-    if len(far):
-        symbols[far] = [35 + c % 2 if chr(c).isalpha() else 2 if chr(c).isspace() else 46 for c in codes[far].tolist()]
-    return np.concatenate((np.zeros(ORDER - 1, np.uint8), symbols))
-
-
-def runs_of(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Packed runs: each symbol with the ``order - 1`` before it."""
-    count = len(symbols) - order + 1
-    packed = np.zeros(max(0, count), np.int64)
-    for i in range(order):
-        packed = packed * SYMBOLS + symbols[i:i + count]
+def runs_of(symbols: np.ndarray) -> np.ndarray:
+    """Packed runs: each symbol with those before it, the last in the low bits."""
+    count = len(symbols) - ORDER + 1
+    packed = np.zeros(max(0, count), np.uint64)
+    for i in range(ORDER):
+        packed = (packed << np.uint64(BITS)) | symbols[i:i + count]
     return packed
 
 
-def spread(keys: np.ndarray, order: int) -> np.ndarray:
-    """Hash of packed runs, one to one for each order; the hash arrays are sorted by it."""
+def spread(runs: np.ndarray) -> np.ndarray:
+    """Hash of packed runs, one to one; the hash arrays are sorted by it."""
     with np.errstate(over="ignore"):
-        value = (keys.astype(np.uint64) * np.uint64(8) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
+        value = runs * np.uint64(0x9E3779B97F4A7C15)
         return (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _added(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs with the sums of their counts."""
+    order = np.argsort(runs)
+    runs, counts = runs[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1]))) if len(runs) else np.empty(0, int)
+    return runs[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def count_runs(texts: DataFrame) -> DataFrame:
     """``(run, n)`` over all texts; every task adds up its own counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(MAX_RUNS, np.int64)
-        packed, size = [np.empty(0, np.int64)], 0
+        total = np.empty(0, np.uint64), np.empty(0, np.int64)
+        packed, size = [], 0
 
-        def add() -> None:
+        def add():
             runs, counts = np.unique(np.concatenate(packed), return_counts=True)
-            total[runs] += counts
+            return _added(np.concatenate((total[0], runs)), np.concatenate((total[1], counts)))
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1])], names=["run", "n"])
 
         for batch in batches:
             for text in column(batch, "text"):
                 packed.append(runs_of(symbols_of(text.as_py())))
                 size += len(packed[-1])
                 if size >= COUNTED:
-                    add()
-                    packed, size = [np.empty(0, np.int64)], 0
-        add()
-        runs = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(total[runs])], names=["run", "n"])
+                    total, packed, size = add(), [], 0
+                    if len(total[0]) > GATHERED:
+                        yield given()
+                        total = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if packed:
+            total = add()
+        yield given()
 
     return texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(order, run, n)`` with continuation counts below the highest order, and per order the
-    number of runs with counts 1 to 4, from which its discounts follow."""
-    levels = counts.select(F.lit(ORDER).alias("order"), "run", "n")
-    longer = levels
-    for order in range(ORDER - 1, 0, -1):
-        shorter = longer.groupBy((F.col("run") % SYMBOLS**order).alias("run")).agg(F.count("*").alias("n"))
-        longer = shorter.select(F.lit(order).alias("order"), "run", "n")
-        levels = levels.unionByName(longer)
-    of_counts = levels.where("n <= 4").groupBy("order", "n").agg(F.count("*").alias("runs"))
-    return levels, of_counts
-
-
-class HashArrays:
-    """The model: log probabilities of runs, and backoff weights of contexts, sorted by hash."""
-
-    def __init__(self, run_hashes, log_p, context_hashes, log_backoff):
-        self.run_hashes, self.log_p = run_hashes, log_p
-        self.context_hashes, self.log_backoff = context_hashes, log_backoff
-
-    def parts(self) -> tuple[np.ndarray, ...]:
-        return self.run_hashes, self.log_p, self.context_hashes, self.log_backoff
-
-    @staticmethod
-    def _find(hashes: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(hashes):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-        return hashes[at] == wanted, values[at].astype(float)
-
-    def log_probabilities(self, runs: np.ndarray) -> np.ndarray:
-        """Log probability of each run's last symbol after the others, backing off where unseen."""
-        result, backed = np.zeros(len(runs)), np.zeros(len(runs))
-        left, keys = np.arange(len(runs)), runs
-        for order in range(ORDER, 0, -1):
-            found, values = self._find(self.run_hashes, self.log_p, spread(keys, order))
-            result[left[found]] = backed[left[found]] + values[found]
-            left, keys = left[~found], keys[~found]
-            if not len(left):
-                return result
-            held, weight = self._find(self.context_hashes, self.log_backoff, spread(keys // SYMBOLS, order - 1))
-            backed[left] += np.where(held, weight, 0.0)
-            keys = keys % SYMBOLS ** (order - 1)
-        result[left] = backed[left] - np.log(SYMBOLS)
-        return result
-
-
 def discounts(of_counts: dict[int, int]) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more, by the published estimate; one half of the count
     where a count of counts is missing or the estimate would leave nothing, or all, to lower orders."""
@@ -167,50 +116,90 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
     return np.array([0.0, *(d if 0 < d < i else i / 2 for i, d in enumerate(estimate, 1))])
 
 
-def estimate(levels: dict[int, tuple[np.ndarray, np.ndarray]], of_counts: dict[int, dict[int, int]]) -> HashArrays:
-    """Interpolated modified Kneser-Ney from runs and counts by order, lowest order first; the lowest
-    is interpolated with the uniform distribution."""
-    lower_keys, lower_p = np.arange(SYMBOLS), np.full(SYMBOLS, 1 / SYMBOLS)
-    all_runs, all_p, all_contexts, all_backoff = [], [], [], []
-    for order in range(1, ORDER + 1):
-        keys, n = levels.get(order, (np.empty(0, np.int64), np.empty(0, np.int64)))
-        sort = np.argsort(keys)
-        keys, n = keys[sort], n[sort]
-        if not len(keys):
-            continue
-        off = discounts(of_counts.get(order, {}))[np.minimum(n, 3)]
-        contexts, place = np.unique(keys // SYMBOLS, return_inverse=True)
-        total = np.bincount(place, n)
-        spare = np.bincount(place, off) / total
-        if order > 1:
-            below = lower_p[np.searchsorted(lower_keys, keys % SYMBOLS ** (order - 1))]
-        else:
-            below = lower_p[keys]
-        p = (n - off) / total[place] + spare[place] * below
-        all_runs.append(spread(keys, order))
-        all_p.append(np.log(p))
-        all_contexts.append(spread(contexts, order - 1))
-        all_backoff.append(np.log(np.maximum(spare, 1e-12)))
-        lower_keys, lower_p = keys, p
-    joined = []
-    for hashes, values in ((all_runs, all_p), (all_contexts, all_backoff)):
-        hashes = np.concatenate([np.empty(0, np.uint64), *hashes])
-        sort = np.argsort(hashes)
-        joined += [hashes[sort], np.concatenate([np.empty(0), *values])[sort].astype(np.float32)]
-    return HashArrays(*joined)
-
-
-def fit(texts: DataFrame) -> HashArrays:
-    """The model of all texts. What reaches the driver is bounded by the alphabet."""
-    counts = cut_lineage(count_runs(texts), "perplexity")
-    levels, of_counts = model_tables(counts)
-    table = levels.toArrow()
-    order, run, n = (table[c].to_numpy() for c in ("order", "run", "n"))
-    by_order = {o: (run[order == o], n[order == o]) for o in range(1, ORDER + 1)}
+class Model(NamedTuple):
+    """``table``: ``(run, n, total, spare, below)`` of every run of the highest order; its discounts; and
+    the number of ranges that bound what a task holds at a time."""
+
+    table: DataFrame
+    off: np.ndarray
+    ranges: int
+
+
+def estimate(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Interpolated modified Kneser-Ney over the counts ``(run, n)``, as joins of the levels, lowest order
+    first; the lowest is interpolated with the uniform distribution over the symbols that occur."""
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):
+        # Continuation counts: in how many longer runs a shorter one ends.
+        suffix = F.col("run").bitwiseAND((1 << BITS * order) - 1).alias("run")
+        levels[order] = cut_lineage(levels[order + 1].groupBy(suffix).agg(F.count("*").alias("n")), "perplexity")
+    of_counts = reduce(DataFrame.unionByName, [df.where("n <= 4").withColumn("order", F.lit(o)) for o, df in levels.items()])
     found: dict[int, dict[int, int]] = {}
-    for row in of_counts.collect():
+    for row in of_counts.groupBy("order", "n").agg(F.count("*").alias("runs")).collect():
         found.setdefault(row.order, {})[row.n] = row.runs
-    return estimate(by_order, found)
+    symbols = max(1, levels[1].count())
+    lower = None
+    for order in range(1, ORDER + 1):
+        off = discounts(found.get(order, {}))
+        rows = levels[order].withColumns({
+            "off": F.when(F.col("n") == 1, float(off[1])).when(F.col("n") == 2, float(off[2])).otherwise(float(off[3])),
+            "context": F.expr(f"shiftrightunsigned(run, {BITS})")})
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("spare"))
+        rows = rows.join(contexts, "context")
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1 / symbols))
+        else:
+            rows = rows.withColumn("suffix", F.col("run").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(lower, "suffix")
+        if order == ORDER:
+            return cut_lineage(rows.select("run", "n", "total", "spare", "below"), "perplexity"), off
+        p = (F.col("n") - F.col("off")) / F.col("total") + F.col("spare") * F.col("below")
+        lower = cut_lineage(rows.select(F.col("run").alias("suffix"), p.alias("below")), "perplexity")
+
+
+def fit(texts: DataFrame) -> Model:
+    """The model of all texts. It stays a table; nothing of its size reaches the driver."""
+    table, off = estimate(cut_lineage(count_runs(texts), "perplexity"))
+    return Model(table, off, max(1, -(-table.count() * RUN_BYTES // RANGE_BYTES)))
+
+
+class HashArrays:
+    """A range of the model, sorted by hash."""
+
+    def __init__(self, hashes, n, total, spare, below, off):
+        self.hashes, self.n, self.total, self.spare, self.below, self.off = hashes, n, total, spare, below, off
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.hashes, self.n, self.total, self.spare, self.below, self.off
+
+    @staticmethod
+    def of(model: Model, part: int) -> HashArrays:
+        """Range ``part`` of the model, brought to the driver: ``RANGE_BYTES`` on average."""
+        rows = model.table.where(F.pmod(F.xxhash64("run"), F.lit(model.ranges)) == part).toArrow()
+        run, n, total, spare, below = (rows[c].to_numpy() for c in ("run", "n", "total", "spare", "below"))
+        hashes = spread(run.view(np.uint64))
+        order = np.argsort(hashes)
+        return HashArrays(hashes[order], n[order], total[order], spare[order].astype(np.float32),
+                          below[order].astype(np.float32), model.off)
+
+    def log_probability(self, text: str) -> float:
+        """Sum of the log probabilities of a text's runs that are in this range, by the counts of all other
+        texts: its own counts are taken off runs and contexts."""
+        own, times = np.unique(runs_of(symbols_of(text)), return_counts=True)
+        if not len(own) or not len(self.hashes):
+            return 0.0
+        # Runs of one context lie side by side.
+        context = own >> np.uint64(BITS)
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        sizes = np.diff(np.append(first, len(own)))
+        of_context = np.repeat(np.add.reduceat(times, first), sizes)
+        wanted = spread(own)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        held = self.hashes[at] == wanted
+        at, times, of_context = at[held], times[held], of_context[held]
+        n, total = self.n[at] - times, self.total[at] - of_context
+        rest = np.where(total > 0, self.spare[at], 1.0) * self.below[at].astype(float)
+        p = (n - self.off[np.minimum(n, 3)]) / np.maximum(total, 1) + rest
+        return float(times @ np.log(p))
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -237,48 +226,48 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), sum(map(text.count, SYMBOL_MARKS)), dup_lines, int(repeated.sum())
 
 
-class Scorer:
-    """Mean log probabilities of texts. Runs that come again are looked up once."""
-
-    def __init__(self, model: HashArrays):
-        self.model = model
-        self.memo = np.full(MAX_RUNS, np.nan, np.float32)
-
-    def log_perplexity(self, text: str) -> float | None:
-        if not text:
-            return None
-        runs = runs_of(symbols_of(text))
-        values = self.memo[runs]
-        unknown = np.isnan(values)
-        if unknown.any():
-            new = np.unique(runs[unknown])
-            self.memo[new] = self.model.log_probabilities(new)
-            values = self.memo[runs]
-        return float(-values.mean(dtype=float))
-
+_RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
-_RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
-
-def measure(rows: DataFrame, model: HashArrays) -> DataFrame:
-    """``rows`` of ``(doc_id, text, lang)`` with the base counts and the log perplexity for the text."""
-    parts = model.parts()
-    shared = checked_broadcast(rows.sparkSession, parts, sum(p.nbytes for p in parts), 2 * 12 * MAX_RUNS)
+def _passed(rows: DataFrame, model: Model, part: int) -> DataFrame:
+    """``(key, log_p)`` of every text by one range; with the first range also the base counts, the number
+    of runs and what else the row has."""
+    arrays = HashArrays.of(model, part).parts()
+    # Ranges are even but for chance; twice the bound is far off.
+    shared = checked_broadcast(rows.sparkSession, arrays, sum(p.nbytes for p in arrays), 2 * RANGE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(HashArrays(*shared.value))
+        own = HashArrays(*shared.value)
         for batch in batches:
-            texts = (t.as_py() for t in column(batch, "text"))
-            found = [(*base_counts(t), scorer.log_perplexity(t)) for t in texts]
-            columns = list(zip(*found)) if found else [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
+            texts = [t.as_py() for t in column(batch, "text")]
+            log_p = pa.array([own.log_probability(t) for t in texts], pa.float64())
+            if part:
+                yield pa.RecordBatch.from_arrays([column(batch, "key"), log_p], names=["key", "log_p"])
+                continue
+            found = list(zip(*[(*base_counts(t), len(symbols_of(t)) - ORDER + 1) for t in texts])) or [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "lang"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
+                [column(batch, "key"), log_p, column(batch, "doc_id"), column(batch, "lang"), *(pa.array(c, pa.int64()) for c in found)],
+                names=["key", "log_p", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "runs"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, lang string, {_RULES}")
+    first = f"key long, log_p double, doc_id {kind}, lang string, {_RULES}, runs long"
+    return rows.select("key", "doc_id", "text", "lang").mapInArrow(run, "key long, log_p double" if part else first)
+
+
+def measure(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` of ``(doc_id, text, lang)`` with the base counts and the log perplexity for the text."""
+    rows = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    found = _passed(rows, model, 0)
+    if model.ranges > 1:
+        found = cut_lineage(found, "passes")
+        # Rows equal in id and text have equal sums. Each pass is done before the next range is loaded.
+        passes = [cut_lineage(_passed(rows, model, part), "passes") for part in range(1, model.ranges)]
+        more = reduce(DataFrame.unionByName, [p.groupBy("key").agg(F.max("log_p").alias("more")) for p in passes])
+        more = more.groupBy("key").agg(F.sum("more").alias("more"))
+        found = found.join(more, "key").withColumn("log_p", F.col("log_p") + F.col("more"))
+    log_perplexity = F.when(F.col("runs") > 0, -F.col("log_p") / F.col("runs")).alias("log_perplexity")
+    return found.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", log_perplexity)
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -316,7 +305,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without language are a language of their own. The band of a language lies the nearer to that of
     all documents the fewer texts it has. Null or repeated ids do not matter: a row is judged by its own
     text and the corpus. An empty table gives an empty table; other columns are not read.
-    Broadcast: the model, bounded by the alphabet.
+    Broadcast: one range of the model at a time, of bounded size.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(

@@ -198,41 +198,74 @@ def test_base_counts(text):
     assert perplexity.base_counts(text) == brute_counts(text)
 
 
-def brute_kneser_ney(texts, runs):
-    """Interpolated modified Kneser-Ney by dictionaries, over symbol tuples."""
+def brute_kneser_ney(texts, text):
+    """Interpolated modified Kneser-Ney by dictionaries, over symbol tuples; the counts of ``text``, one of
+    the texts, are taken off the longest runs. Log probabilities of its runs."""
     order = perplexity.ORDER
-    grams = {order: Counter(tuple(s[i:i + order]) for t in texts for s in [perplexity.symbols_of(t).tolist()]
-                            for i in range(len(s) - order + 1))}
+
+    def runs(t):
+        units = [0] * (order - 1) + list(memoryview(t.encode("utf-16-le")).cast("H"))
+        return [tuple(units[i:i + order]) for i in range(len(units) - order + 1)]
+
+    grams = {order: Counter(g for t in texts for g in runs(t))}
     for o in range(order - 1, 0, -1):
         grams[o] = Counter(g[1:] for g in grams[o + 1])
+    off = {o: perplexity.discounts(Counter(n for n in grams[o].values() if n <= 4)) for o in grams}
 
-    def p(gram):
-        o = len(gram)
-        if not o:
-            return 1 / perplexity.SYMBOLS
-        context = {g: n for g, n in grams[o].items() if g[:-1] == gram[:-1]}
-        if not context:
-            return p(gram[1:])
-        off = perplexity.discounts(Counter(n for n in grams[o].values() if n <= 4))
+    def parts(gram):
+        context = {g: n for g, n in grams[len(gram)].items() if g[:-1] == gram[:-1]}
         total = sum(context.values())
-        spare = sum(off[min(n, 3)] for n in context.values()) / total
-        n = context.get(gram, 0)
-        return (n - off[min(n, 3)]) / total + spare * p(gram[1:]) if n else spare * p(gram[1:])
-
-    return [math.log(p(g)) for g in runs]
-
-
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat. " * 3, "A dog! éß 12", "", "the dog sat|"]
-    model = perplexity.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    wanted = [tuple(g) for t in ["the dot", "zzz", "A cat 7", "字 mat"] for s in [perplexity.symbols_of(t).tolist()]
-              for g in zip(s, s[1:], s[2:], s[3:])]
-    packed = np.array([int(np.dot(g, [perplexity.SYMBOLS**i for i in (3, 2, 1, 0)])) for g in wanted])
-    assert np.allclose(model.log_probabilities(packed), brute_kneser_ney(texts, wanted), atol=1e-4)
-    # After any context the symbols' probabilities add up to one.
-    every = packed[0] // perplexity.SYMBOLS * perplexity.SYMBOLS + np.arange(perplexity.SYMBOLS)
-    assert np.isclose(np.exp(model.log_probabilities(every)).sum(), 1, atol=1e-3)
-    assert all((h[1:] > h[:-1]).all() for h in (model.run_hashes, model.context_hashes))
+        return context[gram], total, sum(off[len(gram)][min(n, 3)] for n in context.values()) / total
+
+    def p(gram):
+        if not gram:
+            return 1 / len(grams[1])
+        n, total, spare = parts(gram)
+        return (n - off[len(gram)][min(n, 3)]) / total + spare * p(gram[1:])
+
+    own = Counter(runs(text))
+    found = []
+    for g in runs(text):
+        n, total, spare = parts(g)
+        n, total = n - own[g], total - sum(m for h, m in own.items() if h[:-1] == g[:-1])
+        rest = p(g[1:]) * (spare if total else 1)
+        found.append(math.log((n - off[order][min(n, 3)]) / total + rest if total else rest))
+    return found
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 26, 1 << 10])
+def test_kneser_ney(spark, monkeypatch, range_bytes):
+    """Also where the model is cut into many ranges, whose passes are added up."""
+    monkeypatch.setattr(perplexity, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(perplexity, "COUNTED", 40)
+    monkeypatch.setattr(perplexity, "GATHERED", 30)
+    texts = ["the cat sat on the mat. " * 3, "A dog! éß 12", "", "the dog sat|", "字 mat 字 𝔘 mat", "the dog sat|"]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = perplexity.fit(rows.select("text"))
+    assert (model.ranges == 1) == (range_bytes == 1 << 26)
+    found = {r.doc_id: r.log_perplexity for r in perplexity.measure(rows, model).collect()}
+    assert found.pop(2) is None
+    for i, value in found.items():
+        assert value == pytest.approx(-np.mean(brute_kneser_ney(texts, texts[i])), abs=1e-5)
+    arrays = perplexity.HashArrays.of(model, 0)
+    assert (arrays.hashes[1:] > arrays.hashes[:-1]).all()
+    # The model has every run of the corpus: it grows with what is read.
+    more = rows.select("text").union(spark.createDataFrame([("quite another text",)], "text string"))
+    assert perplexity.fit(more).table.count() > model.table.count()
+
+
+def test_other_scripts_and_reversed_texts_leave_the_band(spark):
+    """Letters of any script, digits and marks count as they are."""
+    r = random.Random(4)
+    stems = ["москва", "река", "дорога", "город", "вода", "земля", "книга", "слово", "время", "человек"]
+    text = lambda: " ".join(r.choice(stems) for _ in range(90))
+    rows = [(i, text(), "ru") for i in range(60)]
+    broken = [(100 + i, "".join(r.sample(t, len(t))).replace("  ", " "), "ru") for i, t in enumerate(text() for _ in range(6))]
+    broken += [(200 + i, t[::-1], "ru") for i, t in enumerate(text() for _ in range(6))]
+    docs = spark.createDataFrame(rows + broken, "doc_id long, text string, lang string")
+    kept = {x.doc_id: x.kept for x in perplexity.apply_rules(docs).collect()}
+    assert sum(kept[i] for i in range(60)) >= 58
+    assert not any(kept[i] for i, *_ in broken)
 
 
 def test_bands_reject_what_is_unlike(spark):
