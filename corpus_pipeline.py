@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsync.llm import contamination, jaccard, mixing, quality, secret_scan
 from docsync.llm.common import fold, without
-from docsync.session import cut_lineage
+from docsync.session import scratch, shared_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``. What a stage writes on its way goes once its rows are
+    written; those of the last stage, which nothing has written yet, stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), "pipeline")
+    for name, stage in STAGES[:-1]:
+        path = shared_folder(spark, "pipeline")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
