@@ -6,6 +6,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from docsync.llm import (
     contamination, jaccard, language, mixing, perplexity, phrases, quality, repeats, secret_scan, sharding,
     spelling, tokens, toxicity,
@@ -153,3 +155,21 @@ def test_shards_of_all_kinds_of_rows(docs):
     assert placed.columns == [*docs.drop("shard").columns, "shard"]
     with pytest.raises(ValueError):
         sharding.place(docs)
+
+
+def test_stages_with_clashing_names_and_empty_tables(spark, docs, tmp_path):
+    """Every stage keeps the columns, whatever their names, and takes rows of all kinds and none."""
+    quality = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("i", "one")], "item_id string, text string")
+    for name, rows in (("all", docs), ("none", docs.where("false"))):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", rows), ("labels", quality if name == "all" else quality.where("false")),
+                          ("benchmark", items if name == "all" else items.where("false"))):
+            df.write.parquet(f"{folder}/{table}.parquet")
+        for _, stage in corpus_pipeline.STAGES:
+            found = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert found.columns == docs.columns
+            assert found.count() == 0 or name == "all"
+        assert corpus_pipeline.run(spark, folder).columns == docs.columns
+    texts = {r.doc_id: r.text for r in corpus_pipeline.uncontaminated(spark, docs, str(tmp_path / "all")).collect()}
+    assert 7 not in texts and texts[1] == PROSE
