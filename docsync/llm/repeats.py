@@ -31,6 +31,8 @@ GRAM = 8
 RIGHT, LEFT = MIN_WORDS, MIN_WORDS - GRAM
 # Suffixes compared at a time.
 CHUNK = 1 << 14
+# Rows given out at a time.
+GIVEN = 1 << 16
 _SUFFIX = "hash long, right binary, left binary, key long, place int, least int, most int"
 _FOUND = "hash long, print long, key long, start int, end int"
 
@@ -84,7 +86,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int, shar
                 owners(grams, min_words - gram + 1), return_index=True, return_counts=True)
             met = held(known, grams[places])
             places, first, owned = places[met], first[met], owned[met]
-            codes = (own >> np.uint64(32)).astype(">u4")
+            codes = np.maximum(own >> np.uint64(32), np.uint64(1)).astype(">u4")
             after, before = codes.tobytes(), codes[::-1].tobytes()
             n = len(words)
             out["hash"] += grams[places].view(np.int64).tolist()
@@ -100,8 +102,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, gram: int, shar
 
 
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
-    """Contexts as rows of words; what a document does not have is -1."""
-    rows = np.full((len(values), width), -1, np.int64)
+    """Contexts as rows of words; what a document does not have is 0."""
+    rows = np.zeros((len(values), width), np.uint32)
     for i, v in enumerate(values.to_pylist()):
         rows[i, :len(v) // 4] = np.frombuffer(v, ">u4")
     return rows
@@ -109,7 +111,7 @@ def _matrix(values: pa.Array, width: int) -> np.ndarray:
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of equal words at the start of each pair of contexts."""
-    differ = (a != b) | (a < 0)
+    differ = (a != b) | (a == 0)
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
@@ -155,7 +157,7 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> It
             high[i] = np.maximum(high[i], places[i] + b)
         return low, high
 
-    def matches(table: pa.Table) -> pa.RecordBatch:
+    def matches(table: pa.Table) -> Iterator[pa.RecordBatch]:
         hashes, keys = table["hash"].to_numpy(), table["key"].to_numpy()
         places, least, most = (table[c].to_numpy().astype(np.int64) for c in ("place", "least", "most"))
         right = _matrix(table["right"], min_words)
@@ -179,8 +181,10 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> It
         asked = (start < low[i]) | (start + min_words > high[i])
         ends = pa.array(start + min_words, pa.int32(), mask=~asked)
         found = high >= 0
-        return result((None, None, keys[found], low[found], high[found], int(found.sum())),
-                      (hashes[i], prints.view(np.int64), keys[i], start, ends, len(i)))
+        yield result((None, None, keys[found], low[found], high[found], int(found.sum())))
+        for s in range(0, len(i), GIVEN):
+            part = slice(s, s + GIVEN)
+            yield result((hashes[i[part]], prints[part].view(np.int64), keys[i[part]], start[part], ends[part], len(i[part])))
 
     kept, size = [], 0
     for batch in batches:
@@ -191,14 +195,14 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, gram: int) -> It
         if size < CHUNK:
             continue
         table = pa.Table.from_batches(kept).combine_chunks()
-        yield matches(table)
+        yield from matches(table)
         # Later suffixes still need the last document's run and the suffix before it.
         keys = table["key"].to_numpy()
         last = np.flatnonzero(keys != keys[-1])
         start = last[-1] if len(last) else 0
         kept, size = table.slice(start).to_batches(), 0
     if kept:
-        yield matches(pa.Table.from_batches(kept).combine_chunks())
+        yield from matches(pa.Table.from_batches(kept).combine_chunks())
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -219,7 +223,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts = rows.select("key", "text").mapInArrow(lambda b: _starts(b, min_words, gram), "id long, key long")
     several = starts.groupBy("id").agg(F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other")
     shared = ship_bitmap(docs.sparkSession, bitmap_of(several))
-    suffixes = rows.select("key", "text").mapInArrow(lambda b: _suffixes(b, min_words, gram, shared), _SUFFIX)
+    # Written first: the bounds of the ranges are drawn from a sample, which would make all suffixes twice.
+    suffixes = cut_lineage(
+        rows.select("key", "text").mapInArrow(lambda b: _suffixes(b, min_words, gram, shared), _SUFFIX), "suffixes")
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     array = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     found = cut_lineage(array.mapInArrow(lambda b: _compare(b, min_words, gram), _FOUND), "repeats")

@@ -352,6 +352,17 @@ def test_repeated_passages(spark):
             assert spans == [], i
 
 
+def test_words_alike_in_16_bits_end_a_passage(spark):
+    """q318 and q338 have the same upper 16 bits of their hashes; 49 words in common are no passage."""
+    first, second = (int(h) >> 48 for h in repeats.WordHashes().of([b"q318", b"q338"]))
+    assert first == second
+    same = [f"w{i}" for i in range(49)]
+    texts = {1: [*same, "q318"], 2: [*same, "q338"], 3: ["q318", *(w + "x" for w in same)], 4: ["q338", *(w + "x" for w in same)]}
+    rows = [(i, " ".join([*(f"a{i}.{j}" for j in range(30)), *t, *(f"b{i}.{j}" for j in range(30))])) for i, t in texts.items()]
+    found = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_repeated for r in found] == [0] * 4
+
+
 def test_repeats_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 3)
     r = random.Random(6)
