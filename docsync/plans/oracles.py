@@ -547,6 +547,29 @@ WITH {_FILES}, {_FOLDER_EVENTS}, found AS (
     ON c.change_type = 'Deleted' AND (i.dir = c.path OR starts_with(i.dir, c.path || '/')))
 SELECT event_id, web, path, false AS is_dir, change_type FROM found
 QUALIFY row_number() OVER (PARTITION BY web, path, change_type ORDER BY ts DESC, event_id DESC) = 1""",
+    "sync_folders": f"""
+WITH {_FILES}, {_ROLES}, {_EVENTS.replace("user_id, '.html')", "user_id, CASE user_id % 3 WHEN 0 THEN '.pdf' ELSE '.html' END)")},
+kinds AS (
+  SELECT * FROM routed WHERE path LIKE '%.html' OR (web = 'intranet' AND action IN ('created', 'deleted'))),
+last AS (SELECT path, arg_max(action, (ts, event_id)) AS action, any_value(url) AS url FROM kinds GROUP BY path)
+SELECT l.path, l.url, d.lang, coalesce(array_to_string(list_filter(coalesce(string_split(c.allow, ','), ['ROOT', 'A']),
+    lambda r: NOT coalesce(list_contains(string_split(c.deny, ','), r), false)), '|'), '') AS roles,
+  CASE WHEN l.path LIKE '%.pdf' THEN split_part(d.text, chr(10), 1) ELSE d.text END AS content
+FROM last l JOIN documents d ON l.path = concat('/src', d.doc_id % 20, '/', d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN '.pdf' ELSE '.html' END)
+LEFT JOIN conf c ON c.dir = '/src' || (d.doc_id % 20) WHERE l.action <> 'deleted'""",
+    "reconcile": f"""
+WITH {_FILES}, {_CLASSIFIED}, work AS (
+  SELECT c.path, c.action, h.handler, 'https://intranet.example.com' || c.path AS url, d.lang, d.n_chars,
+    NOT (d.ext = 'docx' AND coalesce(d.quality, 1) = 0) AS had, d.lang = 'es' AND d.ext = 'html' AS failed
+  FROM classified c JOIN filed d USING (path) JOIN {_TYPES} USING (ext) JOIN {_DISPATCH} USING (file_type, action)
+  WHERE c.action <> 'unchanged')
+SELECT path, n_chars AS version_ticks, handler AS state, url FROM work WHERE action <> 'deleted' AND had AND NOT failed
+UNION ALL
+SELECT path, version, 'before', NULL FROM idx WHERE path NOT IN (
+  SELECT path FROM work WHERE action = 'deleted' OR (had AND NOT failed))
+UNION ALL
+SELECT path, -1, CASE WHEN had THEN 'language: not read' ELSE 'mapping: no document' END, NULL
+FROM work WHERE action <> 'deleted' AND (failed OR NOT had)""",
     "sync_stream": f"""
 WITH {_EVENTS}, last AS (
   SELECT path, arg_max(action, (ts, event_id)) AS action, any_value(url) AS url FROM routed GROUP BY path)

@@ -728,6 +728,54 @@ def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.read_snapshot(spark, root)
 
 
+def sync_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three micro-batches of events for pages and PDF files, out of order, with a handler for each kind and
+    the roles of the folders; contents are partitioned by folder, and each batch reads its own."""
+    kind = F.when(F.regexp_extract("path", r"/([0-9]+)\.html$", 1).cast("bigint") % 3 == 0, ".pdf").otherwise(".html")
+    found = inputs.change_events(spark, sf_dir).withColumn("path", F.concat(F.regexp_extract("path", r"^(.*)\.html$", 1), kind))
+    landing, contents, root = (shared_folder(spark, p) for p in ("landing", "contents", "sync"))
+    for i in range(3):
+        found.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(landing)
+    folder = F.concat(F.lit("/src"), (F.col("doc_id") % 20).cast("string"))
+    ending = F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".html")
+    files = inputs.documents(spark, sf_dir).select(
+        folder.alias("dir"), F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"), "lang", "text")
+    files.write.partitionBy("dir").parquet(contents)
+    table = spark.read.schema(files.schema).parquet(contents)
+
+    def as_document(content: Column) -> Callable[[DataFrame], DataFrame]:
+        return lambda items: items.select("path", "url", "lang", _joined("roles"), content.alias("content"))
+
+    query = sync.sync_stream(
+        events.read_change_events(spark, landing, max_files=1), root, shared_folder(spark, "sync-checkpoint"),
+        sync.content_by_folder(table),
+        {"index_page": as_document(F.col("text")), "index_pdf": as_document(inputs.title_of(F.col("text")))}, WEBS,
+        inputs.FILE_TYPES, inputs.DISPATCH, role_conf=inputs.ROLE_CONF, root_roles=inputs.ROOT_ROLES, compact_every=2,
+    )
+    query.awaitTermination()
+    return snapshots.read_snapshot(spark, root)
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole sweep applied: the documents indexed before, brought to what the listing says, and the items
+    that gave no document. Office files of low quality are not to be had, Spanish pages fail a check."""
+    listing, index = inputs.listing(spark, sf_dir), inputs.index(spark, sf_dir)
+    work = rc.sweep(listing, index, inputs.WEB, inputs.EXCLUDED, inputs.FILE_TYPES, inputs.DISPATCH, [], inputs.ROOT_ROLES)
+    before = index.select("path", F.col("version").alias("version_ticks"), F.lit("before").alias("state"), F.lit(None).cast("string").alias("url"))
+    files = inputs.as_files(inputs.labelled(spark, sf_dir))
+    content = files.filter((F.col("ext") != "docx") | (F.coalesce("quality", F.lit(1)) != 0)).select(
+        "path", "lang", F.col("n_chars").alias("version_ticks"))
+
+    def handler(state: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda items: items.select("path", "version_ticks", F.lit(state).alias("state"), "url", "lang")
+
+    handlers = {name: handler(name) for name in ("index_page", "index_pdf", "index_office")}
+    checks = {"language": ((F.col("lang") == "es") & F.col("path").endswith(".html"), "not read")}
+    docs, errors = rc.reconcile(before, work, content, handlers, checks)
+    errors = errors.select("path", F.lit(-1).cast("bigint").alias("version_ticks"), F.concat_ws(": ", "stage", "message").alias("state"))
+    return docs.select("path", "version_ticks", "state", "url").unionByName(errors, allowMissingColumns=True)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -745,6 +793,7 @@ QUERIES: dict[str, Query] = {
         tokenize, analyze_fields, build_postings, term_stats, field_lengths, term_query,
         bool_query, multi_field_query, score, top_k, total_hits, fetch_fields,
         read_change_events, route_events, latest_event, debounce_events, debounce_hot, folder_events, sync_stream,
+        sync_folders, reconcile,
         search_stored_index, search_any_word, search_keyword_field,
         search_after_delta, search_by_roles, search_merged_segments, segment_stats,
     )

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docsync.operators.access import inherit_roles
 from docsync.functions.paths import folder_of
 from docsync.plans.reconcile import check_handlers, without_document
-from docsync.session import cut_lineage, scratch
+from docsync.session import MAX_CONFIG_ROWS, cut_lineage, scratch
 from docsync.sources.quarantine import identity_checks, quarantine
 from docsync.sources.snapshots import compact, is_published, write_delta
 from docsync.streaming.events import folder_events, latest_event, route_events
@@ -70,6 +70,21 @@ def changes_of_batch(
     return changes.join(when, "path"), errors
 
 
+def content_by_folder(table: DataFrame, folder: str = "dir") -> Callable[[DataFrame], DataFrame]:
+    """A ``content`` function over a table partitioned by the folder of its files: a batch reads the
+    folders of its own paths. Up to ``MAX_CONFIG_ROWS`` folders are named in the plan, so that other
+    partitions are not even listed; more are found by a join, which prunes as it runs."""
+
+    def content(wanted: DataFrame) -> DataFrame:
+        folders = wanted.select(folder_of(F.col("path")).alias(folder)).distinct()
+        named = [r[folder] for r in folders.limit(MAX_CONFIG_ROWS + 1).collect()]
+        if len(named) <= MAX_CONFIG_ROWS:
+            return table.filter(F.col(folder).isin(named)) if named else table.filter(F.lit(False))
+        return table.join(folders, folder, "left_semi")
+
+    return content
+
+
 def sync_stream(
     events: DataFrame, root: str, checkpoint: str, content: Callable[[DataFrame], DataFrame],
     handlers: Mapping[str, Handler], webs: Sequence[tuple], file_types: Sequence[tuple],

@@ -241,3 +241,18 @@ def test_the_stream_folds_its_deltas(spark, frame, rows):
             {"map": lambda items: items.select("path", "url", "content")}, WEBS, TYPES, DISPATCH, compact_every=2))
     assert snapshots.read_delta_changes(spark, root, ["path"]) is None
     assert rows(snapshots.read_snapshot(spark, root), "path") == [("/r/b.html",), ("/r/s/c.html",)]
+
+
+def test_content_of_the_folders_of_a_batch(spark, frame, monkeypatch):
+    folder = shared_folder(spark, "contents")
+    rows = [(f"/d{i}", f"/d{i}/{j}.html", f"text {i} {j}") for i in range(6) for j in range(3)]
+    frame(rows, "dir string, path string, text string").repartition(1).write.partitionBy("dir").parquet(folder)
+    table = spark.read.schema("path string, text string, dir string").parquet(folder)
+    wanted = frame([("/d1/0.html",), ("/d4/2.html",), ("/none/1.html",)], "path string")
+    found = sync.content_by_folder(table)(wanted)
+    assert {r.path for r in found.collect()} == {f"/d{i}/{j}.html" for i in (1, 4) for j in range(3)}
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 2
+    assert sync.content_by_folder(table)(wanted.where("false")).count() == 0
+    monkeypatch.setattr(sync, "MAX_CONFIG_ROWS", 1)
+    assert sorted(r.path for r in sync.content_by_folder(table)(wanted).collect()) == sorted(r.path for r in found.collect())
