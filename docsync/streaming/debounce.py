@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,44 +210,66 @@ def debounce_events(
     )
 
 
+def _joined(window: list | None, t: np.ndarray, n: np.ndarray, last: np.ndarray, gap: int) -> tuple[list, list | None]:
+    """Windows that points in order close, and the one left open; jumps from opener to opener."""
+    sums, closed, i = np.concatenate(([0], np.cumsum(n))), [], 0
+    while i < len(t):
+        if window is not None and t[i] >= window[0] + gap:
+            closed.append(window)
+            window = None
+        opened = int(t[i]) if window is None else window[0]
+        end = int(np.searchsorted(t, opened + gap))
+        window = [opened, int(sums[end] - sums[i]) + (window[1] if window else 0), int(last[end - 1])]
+        i = end
+    return closed, window
+
+
 def debounce_stream(
     events: DataFrame, gap: timedelta, delay: str = "10 seconds", keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The streaming form of ``debounce_events``: a window is emitted once the watermark passes its
-    ``due``. State per key is its one open window; a task holds one key's events of one micro-batch,
-    which the stream's ``maxFilesPerTrigger`` bounds. Micro-batches must come in event-time order
-    per key; an event older than the open window joins it."""
+    ``due``. Events may come in any order within ``delay``: they wait until the watermark has passed them
+    and are then taken in order, so the result is that of the batch form.
+
+    Events of one moment count as one point as soon as they are read, one Arrow batch at a time. State per
+    key is its open window and the points that wait; a task holds the points of one key, of one micro-batch
+    and ``delay``, and goes from window to window over them, not from event to event."""
     keys, gap_us = list(keys), _micros(gap)
     out = [f"`{k}` string" for k in keys]
     out += ["opened timestamp", "due timestamp", "n_events bigint", "last_event bigint"]
-    empty_state = "opened bigint, n bigint, last_t bigint, last bigint"
+    state_schema = "opened bigint, n bigint, last bigint, points string"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = list(state.get) if state.exists else None
-        closed = []
-        if state.hasTimedOut:
+        window, waiting = None, []
+        if state.exists:
+            *window, points = state.get
+            window = None if window[0] is None else window
+            if points:
+                found = np.array(points.split(","), np.int64).reshape(-1, 3)
+                waiting.append(pd.DataFrame(found, columns=["t", "n", "last"]))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting.append(rows.groupby("t", as_index=False).agg(n=("event_id", "size"), last=("event_id", "max")))
+        points = pd.concat(waiting) if waiting else pd.DataFrame({"t": [], "n": [], "last": []}, dtype="int64")
+        points = points.groupby("t", as_index=False).agg({"n": "sum", "last": "max"})
+        watermark = state.getCurrentWatermarkMs() * 1000
+        t, n, last = (points[c].to_numpy(np.int64) for c in ("t", "n", "last"))
+        # No event up to the watermark can still come.
+        done = int(np.searchsorted(t, watermark, "right"))
+        closed, window = _joined(window, t[:done], n[:done], last[:done], gap_us)
+        if window is not None and window[0] + gap_us - 1 <= watermark:
             closed.append(window)
             window = None
+        left = np.stack((t[done:], n[done:], last[done:]), axis=1)
+        if window is not None or len(left):
+            state.update((*(window or (None, None, None)), ",".join(map(str, left.ravel().tolist()))))
+            # Called again when the window is due or a point is no longer to wait.
+            moments = ([window[0] + gap_us] if window else []) + left[:1, 0].tolist()
+            state.setTimeoutTimestamp(max(-(-min(moments) // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-            for t, event_id in zip(rows["t"].tolist(), rows["event_id"].tolist()):
-                if window is not None and t >= window[0] + gap_us:
-                    closed.append(window)
-                    window = None
-                if window is None:
-                    window = [t, 1, t, event_id]
-                else:
-                    window[1] += 1
-                    if (t, event_id) >= (window[2], window[3]):
-                        window[2:] = [t, event_id]
-        if window is not None:
-            state.update(tuple(window))
-            # Already due when the watermark has moved past it: emit at the next trigger.
-            due_ms = -(-(window[0] + gap_us) // 1000)
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
         if closed:
-            frame = pd.DataFrame(closed, columns=["opened", "n_events", "last_t", "last_event"])
+            frame = pd.DataFrame(closed, columns=["opened", "n_events", "last_event"])
             for i, k in enumerate(keys):
                 frame[k] = key[i]
             frame["due"] = pd.to_datetime(frame["opened"] + gap_us, unit="us", utc=True)
@@ -257,5 +280,5 @@ def debounce_stream(
         *keys, "ts", F.unix_micros("ts").alias("t"), "event_id"
     )
     return timed.groupBy(*keys).applyInPandasWithState(
-        fold, ", ".join(out), empty_state, "append", GroupStateTimeout.EventTimeTimeout
+        fold, ", ".join(out), state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )

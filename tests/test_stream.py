@@ -129,6 +129,28 @@ def test_debounce_stream_equals_batch(spark, frame):
     assert streamed == sorted(map(tuple, batch.select(*key).collect()))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_debounce_stream_takes_events_in_any_order(spark, frame, seed):
+    """A third of all events under one key, many at one moment, batches shuffled within the delay."""
+    gap, rng = timedelta(seconds=60), random.Random(seed)
+    made = [(rng.randrange(1800) // rng.choice([1, 1, 30]) * 1, rng.choice(["hot", "p1", "p2", "p3"] + ["hot"] * 1), i) for i in range(900)]
+    made.sort(key=lambda e: e[0] + rng.randrange(-290, 290))
+    made += [(10**6, "end", 10_000), (2 * 10**6, "end", 20_000)]
+    rows = [("h", "w", p, at(t), i) for t, p, i in made]
+    schema = "handler string, web string, path string, ts timestamp, event_id bigint"
+    folder, out = shared_folder(spark, "in"), shared_folder(spark, "out")
+    parts = [rows[s:s + 300] for s in range(0, 900, 300)] + [rows[900:901], rows[901:]]
+    for n, part in enumerate(parts):
+        frame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part={n}")
+        stream = spark.readStream.schema(schema).parquet(folder)
+        drain(debounce.debounce_stream(stream, gap, "600 seconds").writeStream.format("parquet")
+              .option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out))
+    key = ["path", "opened", "due", "n_events", "last_event"]
+    streamed = sorted(map(tuple, spark.read.parquet(out).filter("path <> 'end'").select(*key).collect()))
+    batch = debounce.debounce_events(frame(rows, schema), gap).filter("path <> 'end'")
+    assert streamed == sorted(map(tuple, batch.select(*key).collect())) and len(streamed) > 60
+
+
 def test_read_change_events_drops_other_kinds(spark, frame):
     folder, out = shared_folder(spark, "land"), shared_folder(spark, "out")
     frame([event(1, 1, "a", "Created"), event(2, 1, "a", "Renamed")], CHANGE_EVENTS).write.json(folder)
