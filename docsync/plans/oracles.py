@@ -322,8 +322,8 @@ SELECT path AS doc_key, lang, round(power(1 + ln((SELECT count(*) FROM documents
     / ((SELECT count(*) FROM documents WHERE lang = 'fr') + 1)), 2), 6) AS score
 FROM docs WHERE lang = 'fr' AND active = 1""",
     "list_files": """
-SELECT DISTINCT concat('/source=', source, '/lang=', lang) AS dir, 'parquet' AS ext,
-  true AS has_content, true AS has_time FROM documents""",
+SELECT DISTINCT concat('/source=', source, '/lang=', lang, '/rest=', doc_id % 7) AS dir, 'parquet' AS ext,
+  1::BIGINT AS n_files, true AS has_content, true AS has_time FROM documents""",
     "exclude_subtrees": f"WITH {_FILES} SELECT * FROM listing WHERE {_OUTSIDE}",
     "route_by_extension": f"WITH {_FILES} SELECT l.*, t.file_type FROM listing l JOIN {_TYPES} USING (ext)",
     "derive_url": f"""

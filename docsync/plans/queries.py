@@ -50,13 +50,14 @@ def _joined(column: str, sep: str = "|") -> Column:
 
 
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the documents as a folder tree and lists it: one row per folder with files."""
+    """Writes the documents as a folder tree, one file to a folder, and lists it: every file is a row."""
     root = shared_folder(spark, "tree")
-    inputs.documents(spark, sf_dir).write.partitionBy("source", "lang").parquet(root)
+    docs = inputs.documents(spark, sf_dir).withColumn("rest", F.col("doc_id") % 7)
+    docs.repartition("source", "lang", "rest").write.partitionBy("source", "lang", "rest").parquet(root)
     listed = files.list_files(spark, root, "*.parquet")
-    below = F.regexp_extract("dir", r"(/source=[^/]+/lang=[^/]+)\z", 1)
+    below = F.regexp_extract("dir", r"(/source=[^/]+/lang=[^/]+/rest=[0-9]+)\z", 1)
     return listed.groupBy(below.alias("dir"), "ext").agg(
-        F.bool_and(F.col("length") > 0).alias("has_content"),
+        F.count("*").alias("n_files"), F.bool_and(F.col("length") > 0).alias("has_content"),
         F.bool_and(F.col("modified").isNotNull()).alias("has_time"),
     )
 
