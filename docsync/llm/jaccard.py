@@ -405,3 +405,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     if many.limit(1).count() == 0:
         return rest
     return rest.unionByName(by_key(docs, many.select(*keys), "left_semi", id_col, text_col).dropDuplicates([id_col, text_col]))
+
+
+ORACLE_SQL = r"""
+with recursive split as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents
+), sets as materialized (
+    select doc_id, list_distinct(case when len(ws) >= 4
+        then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) s from split
+), grams as materialized (
+    select doc_id, len(s) n, unnest(s) gram from sets
+), links as materialized (
+    select a.doc_id a, b.doc_id b from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(a, b) as (
+    select doc_id, doc_id from sets
+    union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select s.doc_id, len(s.s)::bigint n_shingles, (select min(r.b) from reach r where r.a = s.doc_id) component_id,
+       (select count(*) from links l where l.a = s.doc_id) n_links
+from sets s
+"""

@@ -108,6 +108,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": jaccard.ORACLE_SQL, "op10_suffix_array_dedup": repeats.ORACLE_SQL,
     "op8_decontamination": contamination.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
     "op11_phrase_collocations": phrases.ORACLE_SQL,
     "op12_spelling_variants": spelling.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL,

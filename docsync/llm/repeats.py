@@ -251,3 +251,27 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "n_words", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )
+
+
+ORACLE_SQL = r"""
+with split as materialized (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents
+), passages as materialized (
+    select doc_id, p, md5(array_to_string(ws[p + 1:p + 50], ' ')) passage
+    from (select doc_id, ws, unnest(range(0, len(ws) - 49)) p from split)
+), shared as (
+    select passage from passages group by passage having count(distinct doc_id) > 1
+), met as (
+    select doc_id, p from passages semi join shared using (passage)
+), islands as (
+    select doc_id, p, sum(apart) over (partition by doc_id order by p) island from (
+        select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end apart from met)
+), spans as (
+    select doc_id, min(p) b, max(p) + 50 e from islands group by doc_id, island
+), by_doc as (
+    select doc_id, sum(e - b)::bigint n_repeated, string_agg(b || ':' || e, ',' order by b) spans from spans group by doc_id
+)
+select s.doc_id, len(s.ws)::bigint n_words, coalesce(n_repeated, 0)::bigint n_repeated, n_repeated is not null repeats,
+       coalesce(spans, '') spans
+from split s left join by_doc d on s.doc_id = d.doc_id
+"""
