@@ -35,7 +35,8 @@ from pyspark.sql.types import StructType
 from docsync.operators import index as ix
 from docsync.operators import search as se
 from docsync.schema import FieldSpec
-from docsync.session import MAX_CONFIG_ROWS, config_frame, cut_lineage
+from docsync.session import MAX_CONFIG_ROWS, config_frame, cut_lineage, scratch
+from docsync.sources.snapshots import delete_folder, names_below
 
 # Numbers per bitmap, as many as Spark's bitmaps hold; and the bits of a number inside a block of postings.
 BITMAP = 1 << 15
@@ -44,12 +45,14 @@ BLOCK_BITS = 10
 FIRST_BLOCKS = 64
 # Rows per page of postings, stored documents: what a lookup reads at least.
 PAGE_ROWS = 1024
+# Batches that a merged segment remembers, the last ones.
+KNOWN_BATCHES = 1000
 # Where a stored document lies; and names that documents may not use.
 AT = ["_segment", "_place"]
 RESERVED = [*AT, "_part", "_base", "_doc_no", "_bitmap", "_dead", "_length", "_was"]
 
 MANIFEST = (
-    "version bigint, batch string, folder string, folds array<bigint>, n_docs bigint, key string, schema string, "
+    "version bigint, batch string, batches array<string>, folder string, folds array<bigint>, n_docs bigint, key string, schema string, "
     "fields string, filters array<string>, stop_words array<string>"
 )
 _POSTINGS = "segment bigint, field string, term string, block bigint, doc_no bigint, tf bigint, field_len bigint"
@@ -146,13 +149,19 @@ def write_segment(
     values become bitmaps. Returns False, writing nothing, where ``batch`` is published already. There
     is one writer at a time."""
     rows = _manifest(spark, root)
-    if batch is not None and any(r.batch == batch for r in rows):
+    if batch is not None and any(batch == r.batch or batch in r.batches for r in rows):
         return False
     taken = sorted(set(RESERVED) & set(docs.columns))
     if taken:
         raise ValueError(f"segments need the column names {taken}")
     earlier = read_segments(spark, root) if rows else None
-    version = rows[-1].version + 1 if rows else 0
+    # Intermediate results go once the segment is published.
+    with scratch(spark):
+        _write(spark, root, rows[-1].version + 1 if rows else 0, earlier, docs, specs, key, deleted, filters, stop_words, batch)
+    return True
+
+
+def _write(spark, root, version, earlier: Segments | None, docs, specs, key, deleted, filters, stop_words, batch) -> None:
     folder = f"segment/v={version}-{uuid.uuid4().hex}"
     now = _write_docs(spark, root, folder, version, docs, specs, filters, key)
     now = now._replace(stop_words=stop_words)
@@ -178,7 +187,6 @@ def write_segment(
     dead.write.parquet(f"{root}/{folder}/dead")
     n_docs = now.docs().count() - (gone.count() if gone is not None else 0)
     _publish(now, batch, [], n_docs)
-    return True
 
 
 def _write_docs(spark, root, folder, version, docs, specs, filters, key) -> Segments:
@@ -192,7 +200,7 @@ def _write_docs(spark, root, folder, version, docs, specs, filters, key) -> Segm
     rows = rows.drop("_length").withColumns({"_segment": F.lit(version).cast("bigint"), "_place": F.monotonically_increasing_id()})
     rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{root}/{folder}/docs")
     fields = json.dumps([{"field": s.field, "analyzer": s.analyzer, "boost": s.boost} for s in specs])
-    about = spark.createDataFrame([(version, None, folder, [], 0, key, docs.schema.json(), fields, list(filters), [])], MANIFEST).first()
+    about = spark.createDataFrame([(version, None, [], folder, [], 0, key, docs.schema.json(), fields, list(filters), [])], MANIFEST).first()
     now = Segments(spark, root, [about], key, list(specs), list(filters), [])
     parts = now.docs().groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,10 +244,11 @@ def _write_filters(now: Segments, numbered: DataFrame) -> None:
     _sorted(found, "field", "term", "bitmap").write.parquet(f"{folder}/filters")
 
 
-def _publish(now: Segments, batch: str | None, folds: Sequence[int], n_docs: int) -> None:
+def _publish(now: Segments, batch: str | None, folded: Sequence, n_docs: int) -> None:
     # A single small file: its rename into place is the commit.
     about = now.rows[0]
-    row = (about.version, batch, about.folder, list(folds), n_docs, now.key, about.schema, about.fields, list(now.filters),
+    known = [b for r in folded for b in (*r.batches, r.batch) if b is not None][-KNOWN_BATCHES:]
+    row = (about.version, batch, known, about.folder, [r.version for r in folded], n_docs, now.key, about.schema, about.fields, list(now.filters),
            list(now.stop_words))
     config_frame(now.spark, [row], MANIFEST).coalesce(1).write.json(f"{now.root}/manifest/v={about.version}-{uuid.uuid4().hex}")
 
@@ -278,10 +287,25 @@ def merge_segments(spark: SparkSession, root: str) -> int:
     spark.createDataFrame([], _DEAD).write.parquet(f"{root}/{folder}/dead")
     schema = StructType([f for f in StructType.fromJson(json.loads(now.rows[0].schema)).fields if f.name != "_was"]).json()
     about = spark.createDataFrame([{**now.rows[0].asDict(), "schema": schema}], MANIFEST).first()
-    _publish(now._replace(rows=[about]), None, [r.version for r in old.rows], old.n_docs)
+    _publish(now._replace(rows=[about]), None, old.rows, old.n_docs)
     return version
 
 
+def expire_segments(spark: SparkSession, root: str) -> list[str]:
+    """Delete the segments that a merge has folded in, their manifest rows first, and return their folders.
+    Searches that began before the merge have to be done. The merged segment still knows their last
+    ``KNOWN_BATCHES`` batches."""
+    live = {r.folder for r in read_segments(spark, root).rows}
+    gone = [r for r in _manifest(spark, root) if r.folder not in live]
+    for row in gone:
+        for name in names_below(spark, f"{root}/manifest"):
+            if name.startswith(f"v={row.version}-"):
+                delete_folder(spark, f"{root}/manifest/{name}")
+    for row in gone:
+        delete_folder(spark, f"{root}/{row.folder}")
+    return [r.folder for r in gone]
+
+
 def merged_stats(index: Segments) -> DataFrame:
     """``(field, term, df)`` over all segments: what a rebuilt index would have."""
     return index.table("stats", _STATS).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")

@@ -255,12 +255,12 @@ def expire_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     gone = []
     for row in rows:
         if row.folder not in stays:
-            _delete(spark, f"{root}/manifest/v={row.kind}-{row.version}")
+            delete_folder(spark, f"{root}/manifest/v={row.kind}-{row.version}")
     for kind, last in newest.items():
-        for name in _names(spark, f"{root}/{kind}"):
+        for name in names_below(spark, f"{root}/{kind}"):
             version = int(name.split("=")[1].split("-")[0])
             if f"{kind}/{name}" not in stays and version <= last:
-                _delete(spark, f"{root}/{kind}/{name}")
+                delete_folder(spark, f"{root}/{kind}/{name}")
                 gone.append(f"{kind}/{name}")
     return sorted(gone)
 
@@ -270,12 +270,13 @@ def _path(spark: SparkSession, location: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, location: str) -> list[str]:
+def names_below(spark: SparkSession, location: str) -> list[str]:
     """Names of the version folders below one folder."""
     path, system = _path(spark, location)
     return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
 
 
-def _delete(spark: SparkSession, location: str) -> None:
+def delete_folder(spark: SparkSession, location: str) -> None:
+    """Delete a folder of a shared store with all below it."""
     path, system = _path(spark, location)
     system.delete(path, True)

@@ -81,13 +81,15 @@ def test_batches_and_merges_equal_an_index_built_anew(spark, frame, tmp_path, sm
     assert {tuple(r) for r in sg.merged_stats(merged).collect()} == anew
     for q, args in enumerate(QUERIES[:3]):
         assert found(merged, *args, False) == expected[q]
+    # A search that began before goes on over the segments it knows, until they expire.
+    assert found(index, *QUERIES[0], True) == expected[0]
+    assert len(sg.expire_segments(spark, root)) == 3 and sg.expire_segments(spark, root) == []
+    assert not sg.write_segment(spark, root, frame([], SCHEMA), SPECS, "id", batch="b1")
     # And a batch after the merge.
     new = [made(random.Random(9), "k1"), made(random.Random(8), "fresh")]
     sg.write_segment(spark, root, frame(new, SCHEMA), SPECS, "id", stop_words=STOP)
     docs = sorted([d for d in docs if d[0] not in ("k1", "fresh")] + new)
     assert found(sg.read_segments(spark, root), *QUERIES[0], True) == rebuilt(frame, docs, *QUERIES[0])
-    # A search that began before goes on over the segments it knows.
-    assert found(index, *QUERIES[0], True) == expected[0]
 
 
 def test_many_blocks_and_places_go_by_joins(spark, frame, tmp_path, small, monkeypatch):
