@@ -462,3 +462,39 @@ def test_word_features_one_by_one():
         end = starts[i + 1] if i + 1 < len(words) else len(buckets)
         assert (buckets[starts[i]:end] == own).all()
         assert len(own) == 1 + len(word) + max(0, len(word) - 1)
+
+
+def test_predictions_equal_plain_profiles(spark):
+    """Bundles, profiles and cosines by plain loops over letter triples."""
+    dimensions = 64
+    letter = language.Encoder(dimensions).letter
+
+    def plain_bundle(text):
+        spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        spaced = re.sub(" +", " ", spaced)
+        total = [0] * dimensions
+        for i in range(len(spaced) - 2):
+            if spaced[i + 1] != " ":
+                a, b, c = (letter(ord(x)) for x in spaced[i:i + 3])
+                for d in range(dimensions):
+                    total[d] += int(a[(d - 2) % dimensions] * b[(d - 1) % dimensions] * c[d])
+        return total
+
+    r = random.Random(6)
+    words = {"en": ["the", "of", "and", "house"], "de": ["der", "und", "straße", "über"], "fr": ["été", "le", "où", "ça"]}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(1, 8))) + "! 12", lang)
+            for i, lang in enumerate(r.choice(["en", "de", "fr", None]) or "en" for _ in range(45))]
+    docs = spark.createDataFrame(rows + [(99, "12 34", None), (98, "der the été", None)], "doc_id long, text string, lang string").repartition(4)
+    found = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(docs, F.col("doc_id") % 3 != 1, dimensions=dimensions).collect()}
+    profiles = {}
+    for i, text, lang in rows:
+        if i % 3 != 1:
+            profiles[lang] = [a + b for a, b in zip(profiles.get(lang, [0] * dimensions), plain_bundle(text))]
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    for i, text, _ in [*rows, (98, "der the été", None)]:
+        own = plain_bundle(text)
+        cosines = {lang: sum(a * b for a, b in zip(own, p)) / norm(own) / norm(p) for lang, p in sorted(profiles.items())}
+        best = max(cosines, key=cosines.get)
+        share = 1 / sum(math.exp(language.SHARPNESS * (c - cosines[best])) for c in cosines.values())
+        assert found[i][0] == best and found[i][1] == pytest.approx(share)
+    assert found[99] == ("und", 0.0)
