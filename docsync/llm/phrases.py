@@ -23,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,9 @@ MEMO_BYTES = 1 << 24
 PARTS = 64
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 _LENGTH = np.uint64(7)
+_STOP = np.uint64(xxhash.xxh3_64_intdigest(b"."))
+# Tasks that give out the parts of a phrase, where they meet it.
+TELLERS = 4
 TOKENS, WORDS, TOTALS = 0, 1, 2
 
 
@@ -60,9 +64,10 @@ class LanguageWords:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids, the low bits of which are the length 1; 0 for a full stop."""
+        hashes = self.hashes.of(words)
         with np.errstate(over="ignore"):
-            found = (scramble(self.hashes.of(words) + self.seed) & ~_LENGTH) | np.uint64(1)
-        found[np.fromiter((w == b"." for w in words), bool, len(words))] = 0
+            found = (scramble(hashes + self.seed) & ~_LENGTH) | np.uint64(1)
+        found[hashes == _STOP] = 0
         return found
 
 
@@ -152,9 +157,10 @@ def _scan(batches: Iterator[pa.RecordBatch], words: bool, frequent, fresh, max_w
     yield _counted(gathered)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Iterator[pa.RecordBatch]:
-    """The parts of the frequent phrases, each phrase once per gathering."""
-    known = shipped_bitmap(frequent)
+def _resolve(batches: Iterator[pa.RecordBatch], frequent, wanted, part: int, parts: int, max_words: int) -> Iterator[pa.RecordBatch]:
+    """The parts of the phrases that are wanted and fall to this task by their id, each phrase once per
+    gathering."""
+    known, asked = shipped_bitmap(frequent), shipped_bitmap(wanted)
     met: dict[int, tuple[int, int]] = {}
 
     def given() -> pa.RecordBatch:
@@ -165,7 +171,8 @@ def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Ite
 
     for ids in _texts(batches):
         for phrase, first, last in _phrases(ids, known, max_words):
-            at = np.flatnonzero(held(known, phrase))
+            at = np.flatnonzero((phrase >> np.uint64(3)) % np.uint64(parts) == np.uint64(part % parts))
+            at = at[held(asked, phrase[at])]
             _, once = np.unique(phrase[at], return_index=True)
             at = at[once]
             phrase, first, last = (v[at].view(np.int64).tolist() for v in (phrase, first, last))
@@ -175,6 +182,27 @@ def _resolve(batches: Iterator[pa.RecordBatch], frequent, max_words: int) -> Ite
     yield given()
 
 
+def _parts(spark, dealt: str, totals: DataFrame, bits: np.ndarray, max_words: int, shards: int) -> DataFrame:
+    """``(id, a, first, last)`` of the frequent phrases. Every phrase is asked of a few tasks over the first
+    shard, whatever their number; of those that these do not meet, all tasks over all shards are asked."""
+    known, left, found = ship_bitmap(spark, bits), totals.where("id & 7 > 1"), []
+    for folders, all_tasks in (([0], False), (range(shards), True)):
+        if left.isEmpty():
+            break
+        wanted = ship_bitmap(spark, bitmap_of(left))
+        texts = spark.read.schema("ids binary").parquet(*(f"{dealt}/shard={s}" for s in folders))
+        parts = 1 if all_tasks else max(1, texts.rdd.getNumPartitions() // TELLERS)
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted, parts=parts) -> Iterator[pa.RecordBatch]:
+            return _resolve(batches, known, wanted, TaskContext.get().partitionId(), parts, max_words)
+
+        told = texts.mapInArrow(run, "id long, first long, last long")
+        told = told.groupBy("id").agg(F.min(F.struct("first", "last")).alias("parts"))
+        found.append(cut_lineage(told.join(left, "id").select("id", "a", "parts.*"), "phrases"))
+        left = cut_lineage(left.join(found[-1], "id", "left_anti"), "left")
+    return reduce(DataFrame.unionByName, found) if found else totals.where("false").selectExpr("id", "a", "id first", "id last")
+
+
 def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) -> tuple[DataFrame, np.ndarray]:
     """All scans: ``(id, a)`` of the frequent words and phrases, a being the exact count, and their
     bitmap."""
@@ -186,8 +214,9 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
     lately: list[np.ndarray] = []
     step, last_active = 0, -1
 
-    def table(name: str, steps, columns: str = schema) -> DataFrame:
-        return spark.read.schema(columns).parquet(*(f"{folder}/{name}={s}" for s in steps))
+    def table(name: str, steps, columns: str) -> DataFrame:
+        paths = [f"{folder}/{name}/step={s}" for s in steps]
+        return spark.read.schema(f"{columns}, step int").option("basePath", f"{folder}/{name}").parquet(*paths)
 
     while step < shards or step <= last_active + shards:
         fresh = reduce(np.bitwise_or, lately[-shards:], np.zeros_like(bits))
@@ -195,13 +224,15 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
         words = step < shards
         texts = spark.read.schema("ids binary").parquet(f"{dealt}/shard={step % shards}")
         found = texts.mapInArrow(lambda b: _scan(b, words, known, new, max_words), schema)
-        found.groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/counts={step}")
-        window = table("counts", range(max(0, step - shards + 1), step + 1))
-        hopeful = window.where(F.col("n") >= fair).select("id").distinct()
+        # The few counts that make a phrase hopeful lie apart, so that they are read without the others.
+        found = found.groupBy("id").agg(F.sum("n").alias("n")).withColumn("fair", (F.col("n") >= fair).cast("int"))
+        found.write.partitionBy("fair").parquet(f"{folder}/counts/step={step}")
+        window = table("counts", range(max(0, step - shards + 1), step + 1), f"{schema}, fair int")
+        hopeful = window.where("fair = 1").select("id").distinct()
         if step:
-            hopeful = hopeful.join(table("reached", range(step), "id long"), "id", "left_anti")
+            hopeful = hopeful.join(table("reached", range(step), "id long").select("id"), "id", "left_anti")
         sums = window.join(few(cut_lineage(hopeful, "hopeful")), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
-        sums.where(F.col("n") >= min_count).select("id").write.parquet(f"{folder}/reached={step}")
+        sums.where(F.col("n") >= min_count).select("id").write.parquet(f"{folder}/reached/step={step}")
         now = table("reached", [step], "id long")
         lately.append(bitmap_of(now))
         bits = bits | lately[-1]
@@ -211,8 +242,9 @@ def _frequent(dealt: str, spark, min_count: int, max_words: int, shards: int) ->
         new.destroy()
         step += 1
 
-    keys = few(table("reached", range(step), "id long"))
-    counts = [table("counts", range(s, step, shards)).withColumn("shard", F.lit(s)) for s in range(min(shards, step))]
+    keys = few(table("reached", range(step), "id long").select("id"))
+    counts = [table("counts", range(s, step, shards), f"{schema}, fair int").select("id", "n", F.lit(s).alias("shard"))
+              for s in range(min(shards, step))]
     # A phrase taken for active too early may have been counted twice in a shard: alike both times.
     totals = reduce(DataFrame.unionByName, counts).join(keys, "id", "left_semi").groupBy("id", "shard").agg(
         F.max("n").alias("n")).groupBy("id").agg(F.sum("n").alias("a"))
@@ -248,11 +280,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         spark.createDataFrame([], "ids binary").write.mode("append").parquet(f"{dealt}/shard={shard}")
     totals, bits = _frequent(dealt, spark, min_count, max_words, shards)
 
-    known = ship_bitmap(spark, bits)
-    texts = spark.read.schema("ids binary").parquet(*(f"{dealt}/shard={s}" for s in range(shards)))
-    parts = texts.mapInArrow(lambda b: _resolve(b, known, max_words), "id long, first long, last long")
-    parts = parts.groupBy("id").agg(F.min(F.struct("first", "last")).alias("parts"))
-    phrases = cut_lineage(parts.join(totals, "id").select("id", "a", "parts.*"), "phrases")
+    phrases = _parts(spark, dealt, totals, bits, max_words, shards)
     sizes = made.where(F.col("kind") == TOTALS).groupBy("lang").agg(F.sum("id").alias("n"))
     # Every task that met a word has given it out.
     words = made.where(F.col("kind") == WORDS).groupBy("id").agg(
