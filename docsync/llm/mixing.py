@@ -73,15 +73,16 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     order = [(F.col("cap") / F.col("weight")).asc(), F.col("position").asc()]
     df = running_sums(df, order, {"i": F.lit(1).cast("long"), "capped": F.col("cap"), "passed": F.col("weight")})
     df = cut_lineage(df, "targets")
-    whole = df.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
-    df = df.join(F.broadcast(whole), F.lit(True)).withColumns({
-        "left": F.col("all_words") - F.col("capped"), "open": F.col("all_weight") - F.col("passed")})
-    # The first source that its share does not fill sets the level for all after it.
+    # Two single rows: the sums over all sources, and the first source that its share does not fill, which
+    # sets the level for all after it.
+    whole = df.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    df = df.withColumns({"left": F.lit(whole.words or 0) - F.col("capped"), "open": F.lit(whole.weight or 0) - F.col("passed")})
     fits = F.col("left") * F.col("weight") <= F.col("cap") * F.col("open")
-    level = df.where(fits).agg(F.min(F.struct("i", "left", "open")).alias("level"))
-    df = df.join(F.broadcast(level), F.lit(True))
-    shared = (F.col("level.left") * F.col("weight")).cast("double") / F.col("level.open")
-    target = F.when(F.col("i") < F.col("level.i"), F.col("cap").cast("double")).otherwise(shared)
+    level = df.where(fits).agg(F.min(F.struct("i", "left", "open")).alias("level")).first().level
+    if level is None:
+        level = (0, 0, 1)
+    shared = (F.lit(level[1]) * F.col("weight")).cast("double") / F.lit(level[2])
+    target = F.when(F.col("i") < level[0], F.col("cap").cast("double")).otherwise(shared)
     df = df.withColumn("target", target)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return df.select("source", "position", "source_size", "target", epochs.alias("epochs"))
