@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docsync.llm.common import MEMO, checked_broadcast, column, labelled_sample, small_batches
 
-# Word lists of the grammar, in four languages.
+# Word lists of the grammar, in four languages: a choice of this operator, not taken from anywhere.
 THREATS = """kill hurt destroy beat punch stab shoot töten schlagen vernichten tuer frapper détruire
 matar golpear destruir""".split()
 TARGETS = """you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre ti
