@@ -29,7 +29,7 @@ GENERIC_EXECUTE = 0x20000000
 GENERIC_WRITE = 0x40000000
 GENERIC_READ = 0x80000000
 
-# Each generic right stands for these specific ones.
+# Each generic right stands for these specific ones.
 GENERIC_MEANING = {
     GENERIC_EXECUTE: EXECUTE_FILE | READ_PERMISSIONS | READ_ATTRIBUTES | SYNCHRONIZE,
     GENERIC_READ: (
@@ -42,7 +42,7 @@ GENERIC_MEANING = {
     GENERIC_ALL: FULL_CONTROL,
 }
 
-# Holding any of these in full counts as being able to read.
+# Holding any of these in full counts as being able to read.
 READABLE = (
     READ_DATA, READ, MODIFY, READ_AND_EXECUTE, READ_EXTENDED_ATTRIBUTES, TAKE_OWNERSHIP,
     CHANGE_PERMISSIONS, FULL_CONTROL, DELETE_SUBDIRECTORIES_AND_FILES, DELETE,
