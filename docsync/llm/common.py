@@ -16,7 +16,7 @@ from docsync.session import cut_lineage
 # are just the separators of bytes.split(), so UTF-8 texts are split without a regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 # A worker's memo of words is emptied at this size, which bounds its memory.
-MEMO = 1 << 18
+MEMO = 1 << 17
 BATCH_BYTES = 8 << 20
 # So many pairs of id and hash, about 16 bytes each, may be broadcast.
 BROADCAST_KEYS = 1 << 20

@@ -38,7 +38,7 @@ NGRAM = 4
 # Sets link when PERCENT of their union is in both.
 PERCENT = 85
 # A task gathers so many n-grams and sets before it cuts them into fragments.
-CHUNK_TOKENS, CHUNK_SETS = 1 << 20, 60_000
+CHUNK_TOKENS, CHUNK_SETS = 1 << 19, 60_000
 # An n-gram of so many sets in one chunk counts as frequent everywhere; its places stay in the chunk.
 FREQUENT = 16
 FREQUENT_COUNT = (1 << 31) - 1
