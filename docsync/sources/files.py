@@ -6,8 +6,10 @@ import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,9 @@ def _folder_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
         for frame in frames:
             for uri in frame["uri"]:
                 system, folder = fs.FileSystem.from_uri(uri)
-                prefix = uri[: -len(folder)] if uri.endswith(folder) else ""
+                # Names in a URI are escaped, those of a bare path are not.
+                named = str if uri.startswith("/") else quote
+                prefix = uri[: -len(named(folder))] if uri.endswith(named(folder)) else ""
                 entries = [
                     e
                     for e in system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
@@ -42,7 +46,7 @@ def _folder_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
                     part = entries[start : start + CHUNK]
                     yield pd.DataFrame(
                         {
-                            "uri": [prefix + e.path for e in part],
+                            "uri": [prefix + named(e.path) for e in part],
                             "path": [e.path for e in part],
                             "is_dir": [not e.is_file for e in part],
                             "length": [e.size or 0 for e in part],
@@ -55,13 +59,43 @@ def _folder_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     return read
 
 
+# Stores that the folder reader opens by itself; Hadoop has further names for one kind of them.
+_OPENED = {"file", "s3", "gs", "gcs", "abfs", "abfss", "hdfs"}
+
+
+def _resolved(spark: SparkSession, root: str) -> str:
+    """Where a folder lies by Hadoop's settings: with the scheme of the default store, and below the folder
+    that a mounted one stands for. Below a folder that is missing, names are kept as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, below = system.makeQualified(path), ""
+    while True:
+        try:
+            return system.resolvePath(path).toString() + below
+        except Py4JJavaError as error:
+            if path.isRoot() or "FileNotFoundException" not in error.java_exception.getClass().getName():
+                raise
+        path, below = path.getParent(), f"/{path.getName()}{below}"
+
+
 def _listable(spark: SparkSession, root: str) -> str:
-    """A root as the folder reader understands it."""
-    if "://" not in root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{root!r} has no scheme; each executor would list its own disk")
+    """A root as the folder reader understands it: a URI with escaped names, or a bare path of this machine
+    or of the folder that all executors share."""
     # Hadoop's names for one kind of store.
-    root = re.sub(r"\As3[an]://", "s3://", root)
-    return root.rstrip("/") or "/"
+    root = re.sub(r"\As3[an]:", "s3:", re.sub(r"(?<=[^/:])/+\Z", "", root))
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root):
+        if spark.sparkContext.master.startswith("local"):
+            return root
+        shared, found = spark.conf.get("spark.checkpoint.dir", None), _resolved(spark, root)
+        if found.startswith("file:"):
+            if not shared or not f"{root}/".startswith(f"{shared.rstrip('/')}/"):
+                raise ValueError(f"{root!r} has no scheme; each executor would list its own disk")
+            return root
+        root = found
+    if root.partition(":")[0] not in _OPENED:
+        root = _resolved(spark, root)
+    scheme, store, folder = re.fullmatch(r"(?s)([^:/]+):(//[^/]*)?(.*)", root).groups()
+    return f"{scheme}:{store or '//'}{quote(folder)}"
 
 
 def list_files(
@@ -77,7 +111,9 @@ def list_files(
     Spark's own file sources are no substitute: they leave out empty files and names that start with
     a dot or an underscore, and such files would then count as deleted.
 
-    On a cluster a root needs a scheme: a bare path would name every executor's own disk. One folder
+    On a cluster a root needs a scheme, or a default store that gives one: a bare path would name every
+    executor's own disk, unless it is below the folder they share. Names are taken as Spark takes them, not
+    as escaped; folders mounted by Hadoop's settings are listed where they lie. One folder
     is read by one task; stores with very large folders keep inventories, and a table of
     (path, dir, ext, version) from one goes to ``sweep`` as well as a listing does.
     """

@@ -44,6 +44,32 @@ def test_listing_of_several_roots_and_uris(spark, tmp_path, rows):
         ("1.txt", f"{tmp_path}/a"), ("2.txt", f"{tmp_path}/b"), ("3.md", f"{tmp_path}/b/c")]
 
 
+def test_listing_by_uri_takes_any_name(spark, tmp_path, rows):
+    for name in ("a b/c%20d/1.txt", "a b/e#f?g/2.txt", "a b/\u00e4/3.txt"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text("x")
+    dirs = [(f"{tmp_path}/a b/c%20d",), (f"{tmp_path}/a b/e#f?g",), (f"{tmp_path}/a b/\u00e4",)]
+    for root in (f"{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}/", f"file://{tmp_path}/a b"):
+        assert rows(files.list_files(spark, root), "dir") == sorted(dirs, key=repr)
+
+
+def test_listing_where_hadoop_mounts_a_folder(spark, tmp_path, rows):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "1.txt").write_text("x")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.listed.link./in", f"file://{tmp_path}")
+    listed = files.list_files(spark, ["viewfs://listed/in", "viewfs://listed/in/gone/too"])
+    assert rows(listed, "path") == [(f"{tmp_path}/a b/1.txt",)]
+
+
+def test_bare_roots_on_a_cluster_are_those_all_executors_share(spark, tmp_path, rows, monkeypatch):
+    root = shared_folder(spark, "tree")
+    spark.range(1).coalesce(1).write.parquet(f"{root}/a")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert rows(files.list_files(spark, root, "*.parquet"), "ext") == [("parquet",)]
+    with pytest.raises(ValueError):
+        files.list_files(spark, str(tmp_path))
+
+
 def test_exclude_subtrees_list_and_table_agree(frame, rows):
     listed = frame([("/a/1", "/a", ""), ("/a/b/2", "/a/b", ""), ("/ab/3", "/ab", ""), ("/c/4", "/c", "")], FILE)
     tops = ["/a", "/c/d"]
