@@ -96,7 +96,7 @@ def parted(df: DataFrame, second: Column, purpose: str) -> tuple[DataFrame, Data
         name = f"_{name}"
     path = shared_folder(spark, purpose)
     df.withColumn(name, F.coalesce(second, F.lit(False)).cast("int")).write.partitionBy(name).parquet(path)
-    both = spark.read.schema(StructType(df.schema.fields).add(name, "integer")).parquet(path)
+    both = spark.read.schema(StructType(list(df.schema.fields)).add(name, "integer")).parquet(path)
     return both.filter(F.col(name) == 0).drop(name), both.filter(F.col(name) == 1).drop(name)
 
 
