@@ -7,7 +7,7 @@ not change is read. Layout below one root::
     segment/v=N-.../docs      documents with their place, ordered by length, short ones first
     segment/v=N-.../bases     the first document number of each file's places
     segment/v=N-.../postings  (field, term, block, doc_no, tf, field_len), sorted
-    segment/v=N-.../blocks    greatest part of a score, without its term's weight, per term and block
+    segment/v=N-.../blocks    greatest part of a score, without its term's weight, and postings per term and block
     segment/v=N-.../stats     what the batch adds to document frequencies, less what it takes away
     segment/v=N-.../filters   bitmaps of the documents with a value, for the fields searches filter by
     segment/v=N-.../dead      bitmaps of documents of earlier segments that this one makes void
@@ -41,6 +41,8 @@ from docsync.sources.snapshots import delete_folder, names_below
 # Numbers per bitmap, as many as Spark's bitmaps hold; and the bits of a number inside a block of postings.
 BITMAP = 1 << 15
 BLOCK_BITS = 10
+# Bitmaps sent to the rows that are tested by them: 32 MB, those of 268 million documents.
+SENT_BITMAPS = 1 << 13
 # Blocks read before the k-th best score is first known.
 FIRST_BLOCKS = 64
 # Rows per page of postings, stored documents: what a lookup reads at least.
@@ -56,7 +58,7 @@ MANIFEST = (
     "fields string, filters array<string>, stop_words array<string>"
 )
 _POSTINGS = "segment bigint, field string, term string, block bigint, doc_no bigint, tf bigint, field_len bigint"
-_BLOCKS = "segment bigint, field string, term string, block bigint, most double"
+_BLOCKS = "segment bigint, field string, term string, block bigint, most double, n bigint"
 _STATS = "field string, term string, df bigint"
 _BASES = "segment bigint, part bigint, base bigint"
 _FILTERS = "segment bigint, field string, term string, bitmap bigint, bits binary"
@@ -101,10 +103,17 @@ class Segments(NamedTuple):
         """Those of the rows whose document no later segment has made void."""
         dead = self.table("dead", _DEAD).groupBy(F.col("segment").alias(segment), F.col("bitmap").alias("_bitmap")).agg(
             F.expr("bitmap_or_agg(bits)").alias("_dead"))
-        rows = rows.withColumn("_bitmap", F.floor(F.col(doc_no) / BITMAP)).join(dead, [segment, "_bitmap"], "left")
+        rows = rows.withColumn("_bitmap", F.floor(F.col(doc_no) / BITMAP)).join(_sent(dead), [segment, "_bitmap"], "left")
         return rows.where(F.col("_dead").isNull() | ~_is_set("_dead", doc_no)).drop("_bitmap", "_dead")
 
 
+def _sent(bitmaps: DataFrame) -> DataFrame:
+    """Bitmaps, counted first, to be sent to the rows they are joined with: the documents of a bitmap follow
+    each other in length, and a shuffle by bitmap would put the longest of them into one task. Beyond the
+    bound both sides are shuffled."""
+    return F.broadcast(bitmaps) if bitmaps.count() <= SENT_BITMAPS else bitmaps
+
+
 def _is_set(bits: str, doc_no: str = "doc_no") -> Column:
     """Whether a bitmap has the bit of a number."""
     byte = f"cast(conv(hex(substring({bits}, cast({doc_no} % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int)"
@@ -168,9 +177,9 @@ def _write(spark, root, version, earlier: Segments | None, docs, specs, key, del
 
     numbered = now.numbered(now.docs())
     terms = [s for s in specs if s.field not in filters]
-    _write_postings(now, _analysed_postings(numbered, terms, stop_words))
+    _write_postings(now, _analysed_postings(_dealt(numbered), terms, stop_words))
     _write_filters(now, numbered)
-    stats = ix.term_stats(now.table("postings", _POSTINGS))
+    stats = now.table("blocks", _BLOCKS).groupBy("field", "term").agg(F.sum("n").alias("df"))
     gone = None
     if earlier:
         keys = now.docs().select(key)
@@ -179,7 +188,7 @@ def _write(spark, root, version, earlier: Segments | None, docs, specs, key, del
         old = earlier.live(earlier.numbered(old), "_segment", "_doc_no")
         gone = cut_lineage(old.select(F.col("_segment").alias("segment"), "_place", F.col("_doc_no").alias("doc_no")), "gone")
         # The old versions alone are read and analysed again, to be taken out of the statistics.
-        before = _at(earlier, gone).withColumn("_doc_no", F.monotonically_increasing_id())
+        before = _dealt(_at(earlier, gone)).withColumn("_doc_no", F.monotonically_increasing_id())
         lost = ix.term_stats(_analysed_postings(before, terms, stop_words))
         stats = stats.unionByName(lost.withColumn("df", -F.col("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
     _sorted(stats.where("df <> 0"), "field", "term").write.parquet(f"{root}/{folder}/stats")
@@ -209,6 +218,13 @@ def _write_docs(spark, root, folder, version, docs, specs, filters, key) -> Segm
     return now
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Stored documents dealt out to tasks by place. As they are stored, the longest lie in one file, and
+    few files are large enough to be read by more than one task."""
+    spark = docs.sparkSession
+    return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *AT)
+
+
 def _analysed_postings(docs: DataFrame, specs: Sequence[FieldSpec], stop_words: Sequence[str]) -> DataFrame:
     """``(field, term, doc_no, tf, field_len)`` of numbered documents."""
     postings = ix.build_postings(ix.analyze_fields(docs, specs, "_doc_no", stop_words), with_positions=False)
@@ -228,8 +244,8 @@ def _write_postings(now: Segments, postings: DataFrame) -> None:
     _sorted(rows, "field", "term", "doc_no").write.option(
         "parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
     stored = now.table("postings", _POSTINGS)
-    most = F.max(F.sqrt("tf") / F.sqrt("field_len")).alias("most")
-    _sorted(stored.groupBy("segment", "field", "term", "block").agg(most), "field", "term", "block").write.parquet(f"{folder}/blocks")
+    most, n = F.max(F.sqrt("tf") / F.sqrt("field_len")).alias("most"), F.count("*").alias("n")
+    _sorted(stored.groupBy("segment", "field", "term", "block").agg(most, n), "field", "term", "block").write.parquet(f"{folder}/blocks")
 
 
 def _write_filters(now: Segments, numbered: DataFrame) -> None:
@@ -391,7 +407,7 @@ def _allowed(index: Segments, scored: DataFrame, roles: Sequence[str] | None, ac
             asked = (F.col("field") == field) & F.col("term").isin([str(v) for v in values])
             bits = index.table("filters", _FILTERS).where(asked).groupBy("segment", "bitmap").agg(
                 F.expr("bitmap_or_agg(bits)").alias("allowed"))
-            rows = rows.join(bits, ["segment", "bitmap"]).where(_is_set("allowed")).drop("allowed")
+            rows = rows.join(_sent(bits), ["segment", "bitmap"]).where(_is_set("allowed")).drop("allowed")
     return rows.drop("bitmap")
 
 

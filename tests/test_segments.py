@@ -171,3 +171,36 @@ def test_later_segments_may_add_columns(spark, frame, tmp_path):
     sg.write_segment(spark, root, wider, SPECS, "id")
     df = sg.search_segments(sg.read_segments(spark, root), "red", ["title"], ["note"], ["A"])
     assert {(r.doc_key, r.note) for r in df.collect()} >= {("b", None), ("c", "x")}
+
+
+def test_texts_are_not_shuffled_by_bitmap(spark, frame, tmp_path, small, monkeypatch):
+    """Void documents are told by bitmaps that are sent to the texts; beyond the bound the rows are alike."""
+    root, threshold = str(tmp_path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    kept = batches(spark, frame, root, 5)
+    index = sg.read_segments(spark, root)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        live = index.live(index.numbered(index.docs()), "_segment", "_doc_no")
+        assert "SortMergeJoin" not in live._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in live.collect()) == [d[0] for d in kept]
+        monkeypatch.setattr(sg, "SENT_BITMAPS", 0)
+        live = index.live(index.numbered(index.docs()), "_segment", "_doc_no")
+        assert "SortMergeJoin" in live._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in live.collect()) == [d[0] for d in kept]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_documents_of_one_file_are_analysed_by_many_tasks(spark, frame, tmp_path):
+    docs = frame([(f"k{i}", "fox", "red " * i, [], 1) for i in range(40)], SCHEMA).coalesce(1)
+    sg.write_segment(spark, str(tmp_path), docs, SPECS, "id", stop_words=STOP)
+    dealt = sg._dealt(sg.read_segments(spark, str(tmp_path)).docs())
+    assert len([n for n in dealt.rdd.glom().map(len).collect() if n]) > 1 and dealt.count() == 40
+
+
+def test_blocks_tell_how_many_documents_have_a_term(spark, frame, tmp_path, small):
+    batches(spark, frame, str(tmp_path), 6)
+    index = sg.read_segments(spark, str(tmp_path))
+    counted = index.table("blocks", sg._BLOCKS).groupBy("field", "term").agg(F.sum("n").alias("df"))
+    stored = ix.term_stats(index.table("postings", sg._POSTINGS))
+    assert sorted(counted.collect()) == sorted(stored.collect())
