@@ -59,7 +59,9 @@ class LanguageWords:
     """Word ids of one language, and which of them are new to this task's memo."""
 
     def __init__(self, lang: str):
-        self.lang, self.seed = lang, np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+        # Not the hash that words have: a word of one language and that language's name would go by one id
+        # with their likes swapped (Spanish "de", German "es").
+        self.lang, self.seed = lang, np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
         self.hashes, self.known = WordHashes(), set()
 
     def ids(self, words: list[bytes]) -> np.ndarray:

@@ -59,6 +59,13 @@ def test_phrases_equal_a_plain_count(spark, seed, shards, min_count):
     assert found == plain_phrases(rows, min_count) and found
 
 
+def test_words_that_are_names_of_languages_stay_apart(spark):
+    rows = [("es", "de de de que en")] * 7 + [("de", "es es die en es")] * 5 + [("en", "es de")] * 4 + [("que", "es es")] * 3
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    found = sorted(map(tuple, phrases.mine(docs, min_count=3, top=None).collect()))
+    assert found == plain_phrases(rows, 3)
+
+
 def test_late_phrases_complete_their_cycle(spark, monkeypatch):
     # All of a long phrase's texts are in one part of the table, so that its parts turn frequent late.
     rows = [("en", f"x{i} y{i}") for i in range(40)] + [("en", "k l m n o")] * 6 + [("en", "l m n o p")] * 2
