@@ -51,6 +51,8 @@ MOST_FRAGMENTS = 1 << 18
 # N-grams of at most so many sets of a block are counted pair by pair, the others by matrices of so
 # many columns.
 LIGHT, COLUMNS = 6, 2048
+# Rows of a block's pairs that are worked on at once in wider numbers.
+STRIPE = 128
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -257,33 +259,52 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     occur, summed per pair."""
     g = len(sets)
     total = np.zeros((g, g), np.float32)
-    owner = np.repeat(np.arange(g), [len(s) for s in sets])
+    owner = np.repeat(np.arange(g, dtype=np.int32), [len(s) for s in sets])
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     counts = np.diff(np.append(first, len(tokens)))
     light = np.repeat(counts <= LIGHT, counts)
+    del first, counts
     for shift in range(1, LIGHT):
         pairs = np.flatnonzero(light[shift:] & (tokens[shift:] == tokens[:-shift]))
-        cells = np.minimum(owner[pairs], owner[pairs + shift]) * g + np.maximum(owner[pairs], owner[pairs + shift])
-        total += np.bincount(cells, minlength=g * g).reshape(g, g)
+        one, other = owner[pairs].astype(np.int64), owner[pairs + shift]
+        np.add.at(total.reshape(-1), np.minimum(one, other) * g + np.maximum(one, other), np.float32(1))
     total += total.T
     heavy = np.cumsum(np.concatenate(([True], tokens[1:] != tokens[:-1]))[~light]) - 1
     owner = owner[~light]
+    fragment = np.empty((g, COLUMNS if len(heavy) else 0), np.float32)
     for start in range(0, int(heavy[-1]) + 1 if len(heavy) else 0, COLUMNS):
         here = slice(*np.searchsorted(heavy, [start, start + COLUMNS]))
-        fragment = np.zeros((g, COLUMNS), np.float32)
+        fragment.fill(0)
         fragment[owner[here], heavy[here] - start] = 1
         total += fragment @ fragment.T
     return total
 
 
+def _stripes(g: int) -> list[slice]:
+    return [slice(start, start + STRIPE) for start in range(0, g, STRIPE)]
+
+
+def _linked(inside: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a block link, by their intersections and sizes."""
+    linked = np.empty(inside.shape, bool)
+    for rows in _stripes(len(n)):
+        both = inside[rows].astype(np.int64)
+        linked[rows] = 100 * both >= percent * (n[rows, None] + n[None, :] - both)
+    np.fill_diagonal(linked, False)
+    return linked
+
+
 def _roots(linked: np.ndarray) -> np.ndarray:
     """Smallest member that each set of a block reaches by its links."""
     labels = np.arange(len(linked))
     while True:
-        near = np.where(linked, labels[None, :], len(linked)).min(axis=1, initial=len(linked))
+        near = np.concatenate([np.empty(0, int), *(
+            np.where(linked[rows], labels[None, :], len(linked)).min(axis=1, initial=len(linked))
+            for rows in _stripes(len(linked)))])
         new = np.minimum(labels, near)
         new = new[new]
         if (new == labels).all():
@@ -294,12 +315,12 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
     """One pair of blocks of a group: a tree of links for each connected part, and links per set. A
     pair that meets in several groups is counted in the one with the smallest name."""
-    table = table.sort_by("cls")
+    order = np.argsort(table["cls"].to_numpy(), kind="stable")
+    # The n-grams stay where they are; only the other columns are copied.
+    held = [t.as_buffer() for t in table["tokens"]]
+    table = table.drop_columns(["tokens"]).take(order)
     classes, n = table["cls"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-    sets = [np.frombuffer(t, np.int64) for t in table["tokens"].to_pylist()]
-    inside = overlaps(sets).astype(np.int64)
-    linked = 100 * inside >= percent * (n[:, None] + n[None, :] - inside)
-    np.fill_diagonal(linked, False)
+    linked = _linked(overlaps([np.frombuffer(held[i], np.int64) for i in order.tolist()]), n, percent)
     group, block = table["leader"][0].as_py(), table["block"].to_numpy()
     if table["lo"][0].as_py() != table["hi"][0].as_py():
         linked &= block[:, None] != block[None, :]
@@ -312,7 +333,8 @@ def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
                 others.setdefault(other, []).append(i)
     for met in others.values():
         counted[np.ix_(met, met)] = False
-    links = counted @ table["copies"].to_numpy().astype(float)
+    copies = table["copies"].to_numpy().astype(float)
+    links = np.concatenate([counted[rows] @ copies for rows in _stripes(len(n))])
     return pa.table({
         "cls": classes, "root": classes[roots], "links": pa.array(links.astype(np.int64), pa.int64()),
     })

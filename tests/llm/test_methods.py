@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +130,28 @@ def brute_links(texts, ngram=4, percent=85):
     return [len(s) for s in sets], label, Counter(k for pair in links for k in pair)
 
 
+def test_two_full_blocks_are_compared_in_bounded_memory():
+    g, random_state = 2 * jaccard.BLOCK, np.random.default_rng(3)
+    base = random_state.integers(-2**62, 2**62, 80)
+    sets = [np.unique(np.concatenate((base[:52], random_state.choice(base[52:], 5)))) for _ in range(g)]
+    sizes = np.array([len(s) for s in sets])
+    table = pa.table({
+        "cls": np.arange(g)[::-1], "leader": np.zeros(g, np.int64), "block": np.arange(g) % 2, "lo": np.zeros(g, np.int64),
+        "hi": np.ones(g, np.int64), "n": sizes.astype(np.int32), "tokens": [s.tobytes() for s in sets],
+        "leaders": [[0]] * g, "copies": np.ones(g, np.int64)})
+    tracemalloc.start()
+    found = jaccard._compare_blocks(table, 85).sort_by("cls")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Intersections, a fragment and its product are 16 MB each; pairs in 64 bits would be 32 MB each.
+    assert peak < 70 << 20
+    for c in (0, 1, g - 1):
+        i = g - 1 - c
+        inside = np.array([len(np.intersect1d(sets[i], s)) for s in sets])
+        other = np.arange(g) % 2 != i % 2
+        assert found["links"][c].as_py() == (other & (100 * inside >= 85 * (sizes[i] + sizes - inside))).sum()
+
+
 @pytest.mark.parametrize("seed,block,frequent,chunk", [(1, 1024, 16, 1 << 21), (2, 3, 2, 300), (3, 2, 3, 50), (4, 5, 2, 1)])
 def test_jaccard_join(spark, monkeypatch, seed, block, frequent, chunk):
     """Small blocks, chunks and limits bring every way through the join into play."""
