@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from zlib import compress, decompress
 
 import numpy as np
@@ -74,6 +75,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task gives out; after the last batch Arrow hands back the memory it keeps, as a worker lives on
+    beside those of later tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def text_hash(text: Column) -> Column:
     """Hash of a text's bytes; with the id, it tells rows apart. Null and empty are alike."""
     return F.xxhash64(as_bytes(text))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    WordHashes, as_bytes, checked_broadcast, column, gram_hashes, small_batches, text_hash,
+    WordHashes, as_bytes, checked_broadcast, column, gram_hashes, releasing, small_batches, text_hash,
 )
 from docsync.session import cut_lineage
 
@@ -121,7 +121,7 @@ def _frequencies(texts: DataFrame, bitmap, sizes: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
 
-    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lambda b: releasing(run(b)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 _FOUND = "doc_id {kind}, copy long, n_words long, place int, token long, near binary, before int"
@@ -154,7 +154,7 @@ def _meetings(texts: DataFrame, bitmap, sizes: list[int], window: int) -> DataFr
                 names=["doc_id", "copy", "n_words", "place", "token", "near", "before"],
             )
 
-    return texts.mapInArrow(run, _FOUND.format(kind=texts.schema["doc_id"].dataType.simpleString()))
+    return texts.mapInArrow(lambda b: releasing(run(b)), _FOUND.format(kind=texts.schema["doc_id"].dataType.simpleString()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

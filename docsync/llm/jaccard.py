@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    WordHashes, as_bytes, by_key, column, components, gram_hashes, small_batches, text_hash, without,
+    WordHashes, as_bytes, by_key, column, components, gram_hashes, releasing, small_batches, text_hash, without,
 )
 from docsync.session import cut_lineage
 
@@ -365,11 +365,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     if not fragments:
         by_bytes = min(_bytes_read(docs) // FRAGMENT_BYTES, MOST_FRAGMENTS)
         fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8, by_bytes)
-    cut = rows.select("text").mapInArrow(lambda b: _shingle(b, ngram, fragments), _SCHEMA)
+    cut = rows.select("text").mapInArrow(lambda b: releasing(_shingle(b, ngram, fragments)), _SCHEMA)
     counted = cut.groupBy("part").applyInArrow(lambda t: _count_fragment(t, fragments), _SCHEMA)
     gathered = counted.groupBy("part").applyInArrow(lambda t: _gather_sets(t, percent), _SETS)
     gathered = cut_lineage(gathered, "jaccard")
-    members = cut_lineage(rows.mapInArrow(lambda b: _membership(b, ngram), f"doc_id {kind}, cls long, n int"), "jaccard")
+    members = cut_lineage(rows.mapInArrow(
+        lambda b: releasing(_membership(b, ngram)), f"doc_id {kind}, cls long, n int"), "jaccard")
     classes = members.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     sets = gathered.select("cls", "n", "tokens")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.common import (
-    as_bytes, checked_broadcast, column, labelled_sample, scramble, small_batches,
+    as_bytes, checked_broadcast, column, labelled_sample, releasing, scramble, small_batches,
 )
 
 BUCKETS_LOG2 = 15
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [column(batch, "doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lambda b: releasing(run(b)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -251,4 +251,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col:
             scores = scorer.scores([t or b"" for t in texts])
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: releasing(run(b)), docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsync.llm import contamination, jaccard, language, mixing, perplexity, quality, repeats, secret_scan, tokens, toxicity
-from docsync.llm.common import components, gram_hashes
+from docsync.llm.common import components, gram_hashes, releasing
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -152,6 +152,20 @@ def test_two_full_blocks_are_compared_in_bounded_memory():
         assert found["links"][c].as_py() == (other & (100 * inside >= 85 * (sizes[i] + sizes - inside))).sum()
 
 
+def test_memory_goes_back_after_the_last_batch(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    given = releasing(iter([1, 2]))
+    assert [next(given), next(given), pool.released, list(given), pool.released] == [1, 2, 0, [], 1]
+    assert [list(releasing(iter([]))), pool.released] == [[], 2]
+
+
 @pytest.mark.parametrize("seed,block,frequent,chunk", [(1, 1024, 16, 1 << 21), (2, 3, 2, 300), (3, 2, 3, 50), (4, 5, 2, 1)])
 def test_jaccard_join(spark, monkeypatch, seed, block, frequent, chunk):
     """Small blocks, chunks and limits bring every way through the join into play."""
