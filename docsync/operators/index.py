@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.functions.text import tokenize as tokenize_text
+from docsync.operators.lists import build_lists
 from docsync.schema import FieldSpec
 
 
@@ -59,12 +60,16 @@ def explode_terms(analysed: DataFrame) -> DataFrame:
     return analysed.select("doc_key", "field", F.posexplode("terms").alias("pos", "term"))
 
 
-def build_postings(analysed: DataFrame, with_positions: bool = True) -> DataFrame:
+def build_postings(analysed: DataFrame, with_positions: bool = True, block_bits: int | None = None) -> DataFrame:
     """``postings(field, term, doc_key, tf, field_len[, positions])``.
 
     Sorting a document's terms puts equal ones side by side; each run of equal terms is one
     posting. ``field_len`` travels with the posting so that ranking needs no join for it.
+    With ``block_bits``, for documents whose key is a number, the postings (without positions) come as
+    ``operators.lists``: one row per field, term and block of documents.
     """
+    if block_bits is not None:
+        return build_lists(analysed, block_bits)
     occurrences = (
         F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
         if with_positions
@@ -117,8 +122,10 @@ def postings_of_terms(analysed: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
-    """``(field, term, df)``: in how many documents a term occurs; combined before the shuffle."""
-    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    """``(field, term, df)``: in how many documents a term occurs; combined before the shuffle. Postings
+    may be rows or lists."""
+    n = F.sum("n") if "packed" in postings.columns else F.count("*")
+    return postings.groupBy("field", "term").agg(n.alias("df"))
 
 
 def field_lengths(analysed: DataFrame) -> DataFrame:

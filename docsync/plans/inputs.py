@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docsync.functions import paths
 from docsync.operators.access import inherit_roles
 from docsync.schema import FieldSpec, Task
+from docsync.session import cut_lineage
 
 ROOT_ROLES = ["ROOT", "A"]
 ROLE_CONF = [
@@ -115,20 +116,31 @@ def title_of(text: Column) -> Column:
     return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document table over all documents, with roles inherited from the folders."""
-    files = as_files(labelled(spark, sf_dir))
-    roles = inherit_roles(files.select("dir"), ROLE_CONF, ROOT_ROLES)
+def _as_docs(files: DataFrame, roles: DataFrame, *marks: str) -> DataFrame:
     return files.join(roles, "dir").select(
         "path", "dir", "doc_id", "lang", "roles",
         F.when(F.col("ext") == "html", "Page").otherwise("Document").alias("doc_type"),
         title_of(F.col("text")).alias("title"),
         F.col("text").alias("content"),
         F.coalesce("quality", F.lit(1)).alias("active"),
-        F.col("n_chars").alias("version_ticks"),
+        F.col("n_chars").alias("version_ticks"), *marks,
     )
 
 
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table over all documents, with roles inherited from the folders."""
+    files = as_files(labelled(spark, sf_dir))
+    return _as_docs(files, inherit_roles(files.select("dir"), ROLE_CONF, ROOT_ROLES))
+
+
+def marked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table with ``quality`` and ``toxic``, written once to the shared folder. The roles are
+    written first: once their size is known, few of them are sent to the texts."""
+    files = as_files(labelled(spark, sf_dir))
+    roles = cut_lineage(inherit_roles(files.select("dir"), ROLE_CONF, ROOT_ROLES), "roles")
+    return cut_lineage(_as_docs(files, roles, "quality", "toxic"), "marked", "zstd")
+
+
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages as items to be mapped."""
     return pages(spark, sf_dir).select(

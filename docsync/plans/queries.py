@@ -23,7 +23,7 @@ from docsync.plans.search import (
     TextIndex, build_index, index_for_words, read_index, search, write_index,
 )
 from docsync.schema import Clause, FieldSpec, Task
-from docsync.session import cut_lineage, shared_folder
+from docsync.session import cut_lineage, scratch, shared_folder, swept
 from docsync.sources import files, quarantine as qu, snapshots
 from docsync.streaming import debounce, events, sync
 
@@ -607,18 +607,18 @@ def _segmented(spark: SparkSession, sf_dir: str) -> Segments:
     """An index of three batches. The first holds the labelled documents. The second edits those of low
     quality, deletes the toxic ones and adds those without a label, of which the third cuts the Spanish
     ones down to their title."""
-    labels = inputs.as_files(inputs.labelled(spark, sf_dir)).select("path", "quality", "toxic")
-    docs = inputs.docs(spark, sf_dir).join(labels, "path")
-    edited = docs.withColumn("content", F.when(
-        F.col("quality") == 0, F.concat("content", F.lit(" the and edited"))).otherwise(F.col("content")))
-    edited = edited.withColumn("title", inputs.title_of(F.col("content")))
-    kept, marks = F.coalesce("toxic", F.lit(0)) == 0, ["quality", "toxic"]
-    root = shared_folder(spark, "segments")
-    write_segment(spark, root, docs.where("quality is not null").drop(*marks), STORED, "path", stop_words=["the"])
-    changed = edited.where(kept & ((F.col("quality") == 0) | F.col("quality").isNull()))
-    write_segment(spark, root, changed.drop(*marks), STORED, "path", docs.where("toxic = 1").select("path"), stop_words=["the"])
-    cut = docs.where("quality is null and toxic is null and lang = 'es'").withColumn("content", F.col("title"))
-    write_segment(spark, root, cut.drop(*marks), STORED, "path", stop_words=["the"])
+    root, kept, marks = shared_folder(spark, "segments"), F.coalesce("toxic", F.lit(0)) == 0, ["quality", "toxic"]
+    # The documents are read and joined once for all batches, and go when the last one is written.
+    with scratch(spark), swept(spark):
+        docs = inputs.marked_docs(spark, sf_dir)
+        edited = docs.withColumn("content", F.when(
+            F.col("quality") == 0, F.concat("content", F.lit(" the and edited"))).otherwise(F.col("content")))
+        edited = edited.withColumn("title", inputs.title_of(F.col("content")))
+        write_segment(spark, root, docs.where("quality is not null").drop(*marks), STORED, "path", stop_words=["the"])
+        changed = edited.where(kept & ((F.col("quality") == 0) | F.col("quality").isNull()))
+        write_segment(spark, root, changed.drop(*marks), STORED, "path", docs.where("toxic = 1").select("path"), stop_words=["the"])
+        cut = docs.where("quality is null and toxic is null and lang = 'es'").withColumn("content", F.col("title"))
+        write_segment(spark, root, cut.drop(*marks), STORED, "path", stop_words=["the"])
     return read_segments(spark, root)
 
 

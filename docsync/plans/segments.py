@@ -6,8 +6,9 @@ not change is read. Layout below one root::
 
     segment/v=N-.../docs      documents with their place, ordered by length, short ones first
     segment/v=N-.../bases     the first document number of each file's places
-    segment/v=N-.../postings  (field, term, block, doc_no, tf, field_len), sorted
-    segment/v=N-.../blocks    greatest part of a score, without its term's weight, and postings per term and block
+    segment/v=N-.../lists     postings of a term in a block of documents, sorted by field, term and block: document
+                              numbers, term counts and field lengths, greatest part of a score, without its
+                              term's weight, and number of postings
     segment/v=N-.../stats     what the batch adds to document frequencies, less what it takes away
     segment/v=N-.../filters   bitmaps of the documents with a value, for the fields searches filter by
     segment/v=N-.../dead      bitmaps of documents of earlier segments that this one makes void
@@ -15,7 +16,8 @@ not change is read. Layout below one root::
 
 Documents are numbered without gaps inside a segment. Activity, roles and void documents are bitmaps of
 32,768 numbers each, which are tested for the documents a query has scored; no search reads a row per
-document. Postings are cut into blocks of numbers. As short documents come first, and a word weighs more in
+document. Postings are cut into lists by blocks of numbers; the tables ``postings``, a row for each, and
+``blocks``, a row per term and block, are read from them. As short documents come first, and a word weighs more in
 them, blocks differ in the most their documents can score, and those that cannot reach the k-th best
 score are not read. ``merge_segments`` folds segments into one.
 """
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docsync.operators import index as ix
+from docsync.operators.lists import postings_of, renumber_lists, unpacked
 from docsync.operators import search as se
 from docsync.schema import FieldSpec
-from docsync.session import MAX_CONFIG_ROWS, config_frame, cut_lineage, scratch
+from docsync.session import MAX_CONFIG_ROWS, config_frame, cut_lineage, scratch, swept
 from docsync.sources.snapshots import delete_folder, names_below
 
 # Numbers per bitmap, as many as Spark's bitmaps hold; and the bits of a number inside a block of postings.
@@ -47,6 +50,9 @@ SENT_BITMAPS = 1 << 13
 FIRST_BLOCKS = 64
 # Rows per page of postings, stored documents: what a lookup reads at least.
 PAGE_ROWS = 1024
+# Bytes of a group of stored rows, so that a file is read by as many tasks as its size asks for: the longest
+# documents lie in one.
+GROUP_BYTES = 8 << 20
 # Batches that a merged segment remembers, the last ones.
 KNOWN_BATCHES = 1000
 # Where a stored document lies; and names that documents may not use.
@@ -59,6 +65,9 @@ MANIFEST = (
 )
 _POSTINGS = "segment bigint, field string, term string, block bigint, doc_no bigint, tf bigint, field_len bigint"
 _BLOCKS = "segment bigint, field string, term string, block bigint, most double, n bigint"
+_LISTS = (
+    "segment bigint, field string, term string, block bigint, most double, n bigint, ats array<int>, tfs array<int>, lens array<int>"
+)
 _STATS = "field string, term string, df bigint"
 _BASES = "segment bigint, part bigint, base bigint"
 _FILTERS = "segment bigint, field string, term string, bitmap bigint, bits binary"
@@ -81,6 +90,15 @@ class Segments(NamedTuple):
         return sum(r.n_docs for r in self.rows)
 
     def table(self, name: str, schema: str) -> DataFrame:
+        if name == "postings":
+            rows = postings_of(self.table("lists", _LISTS), "segment", "field", "term", "block")
+            number = F.shiftleft("block", BLOCK_BITS) + F.col("at")
+            return rows.select("segment", "field", "term", "block", number.alias("doc_no"), *(
+                F.col(c).cast("bigint").alias(c) for c in ("tf", "field_len")))
+        if name == "blocks":
+            # A list may be parted.
+            return self.table("lists", _LISTS).groupBy("segment", "field", "term", "block").agg(
+                F.max("most").alias("most"), F.sum("n").alias("n"))
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{r.folder}/{name}" for r in self.rows))
 
     def docs(self) -> DataFrame:
@@ -164,8 +182,8 @@ def write_segment(
     if taken:
         raise ValueError(f"segments need the column names {taken}")
     earlier = read_segments(spark, root) if rows else None
-    # Intermediate results go once the segment is published.
-    with scratch(spark):
+    # Intermediate results go once the segment is published, shuffled rows once they are written.
+    with scratch(spark), swept(spark):
         _write(spark, root, rows[-1].version + 1 if rows else 0, earlier, docs, specs, key, deleted, filters, stop_words, batch)
     return True
 
@@ -177,23 +195,24 @@ def _write(spark, root, version, earlier: Segments | None, docs, specs, key, del
 
     numbered = now.numbered(now.docs())
     terms = [s for s in specs if s.field not in filters]
-    _write_postings(now, _analysed_postings(_dealt(numbered), terms, stop_words))
+    _write_lists(now, _sorted(_analysed_lists(numbered, terms, stop_words), "field", "term", "block"))
     _write_filters(now, numbered)
-    stats = now.table("blocks", _BLOCKS).groupBy("field", "term").agg(F.sum("n").alias("df"))
+    stats = now.table("lists", _LISTS).groupBy("field", "term").agg(F.sum("n").alias("df"))
     gone = None
     if earlier:
         keys = now.docs().select(key)
         keys = keys if deleted is None else keys.unionByName(deleted.select(key))
         old = earlier.docs().select(key, *AT).join(keys.distinct(), key, "left_semi")
         old = earlier.live(earlier.numbered(old), "_segment", "_doc_no")
-        gone = cut_lineage(old.select(F.col("_segment").alias("segment"), "_place", F.col("_doc_no").alias("doc_no")), "gone")
-        # The old versions alone are read and analysed again, to be taken out of the statistics.
-        before = _dealt(_at(earlier, gone)).withColumn("_doc_no", F.monotonically_increasing_id())
-        lost = ix.term_stats(_analysed_postings(before, terms, stop_words))
-        stats = stats.unionByName(lost.withColumn("df", -F.col("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
-    _sorted(stats.where("df <> 0"), "field", "term").write.parquet(f"{root}/{folder}/stats")
+        gone = cut_lineage(old.select(F.col("_segment").alias("segment"), F.col("_doc_no").alias("doc_no")), "gone")
     dead = _bitmaps(gone, "segment") if gone is not None else spark.createDataFrame([], _DEAD)
     dead.write.parquet(f"{root}/{folder}/dead")
+    if earlier:
+        # The old versions alone are analysed again, to be taken out of the statistics.
+        before = _dealt(_of_bitmaps(earlier, now.table("dead", _DEAD))).withColumn("_doc_no", F.monotonically_increasing_id())
+        lost = ix.term_stats(_analysed_lists(before, terms, stop_words))
+        stats = stats.unionByName(lost.withColumn("df", -F.col("df"))).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    _sorted(stats.where("df <> 0"), "field", "term").write.parquet(f"{root}/{folder}/stats", compression="zstd")
     n_docs = now.docs().count() - (gone.count() if gone is not None else 0)
     _publish(now, batch, [], n_docs)
 
@@ -207,7 +226,7 @@ def _write_docs(spark, root, folder, version, docs, specs, filters, key) -> Segm
     # The place is taken after sorting: the task's number and the row's number in it.
     rows = docs.withColumn("_length", length).repartitionByRange("_length", key).sortWithinPartitions("_length", key)
     rows = rows.drop("_length").withColumns({"_segment": F.lit(version).cast("bigint"), "_place": F.monotonically_increasing_id()})
-    rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{root}/{folder}/docs")
+    rows.write.options(**_layout()).parquet(f"{root}/{folder}/docs")
     fields = json.dumps([{"field": s.field, "analyzer": s.analyzer, "boost": s.boost} for s in specs])
     about = spark.createDataFrame([(version, None, [], folder, [], 0, key, docs.schema.json(), fields, list(filters), [])], MANIFEST).first()
     now = Segments(spark, root, [about], key, list(specs), list(filters), [])
@@ -225,10 +244,14 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *AT)
 
 
-def _analysed_postings(docs: DataFrame, specs: Sequence[FieldSpec], stop_words: Sequence[str]) -> DataFrame:
-    """``(field, term, doc_no, tf, field_len)`` of numbered documents."""
-    postings = ix.build_postings(ix.analyze_fields(docs, specs, "_doc_no", stop_words), with_positions=False)
-    return postings.withColumn("doc_no", F.col("doc_key").cast("bigint")).drop("doc_key")
+def _analysed_lists(docs: DataFrame, specs: Sequence[FieldSpec], stop_words: Sequence[str]) -> DataFrame:
+    """Posting lists of numbered documents."""
+    return ix.build_postings(ix.analyze_fields(docs, specs, "_doc_no", stop_words), with_positions=False, block_bits=BLOCK_BITS)
+
+
+def _layout() -> dict:
+    """How large tables are stored: in short pages and groups, in about half the disk that Spark's default takes."""
+    return {"parquet.page.row.count.limit": PAGE_ROWS, "parquet.block.size": GROUP_BYTES, "compression": "zstd"}
 
 
 def _sorted(rows: DataFrame, *by: str) -> DataFrame:
@@ -236,16 +259,12 @@ def _sorted(rows: DataFrame, *by: str) -> DataFrame:
     return rows.hint("rebalance", *by[:2]).sortWithinPartitions(*by)
 
 
-def _write_postings(now: Segments, postings: DataFrame) -> None:
+def _write_lists(now: Segments, lists: DataFrame) -> None:
+    """Write lists that are in order of field, term and block. What is known once a list is made is not
+    shuffled with it."""
     version, folder = now.rows[0].version, f"{now.root}/{now.rows[0].folder}"
-    rows = postings.withColumns({
-        "segment": F.lit(version).cast("bigint"), "block": F.shiftright("doc_no", BLOCK_BITS)})
-    rows = rows.select(*StructType.fromDDL(_POSTINGS).names)
-    _sorted(rows, "field", "term", "doc_no").write.option(
-        "parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/postings")
-    stored = now.table("postings", _POSTINGS)
-    most, n = F.max(F.sqrt("tf") / F.sqrt("field_len")).alias("most"), F.count("*").alias("n")
-    _sorted(stored.groupBy("segment", "field", "term", "block").agg(most, n), "field", "term", "block").write.parquet(f"{folder}/blocks")
+    rows = unpacked(lists).withColumns({"segment": F.lit(version).cast("bigint"), "n": F.col("n").cast("bigint")})
+    rows.select(*StructType.fromDDL(_LISTS).names).write.options(**_layout()).parquet(f"{folder}/lists")
 
 
 def _write_filters(now: Segments, numbered: DataFrame) -> None:
@@ -282,29 +301,57 @@ def _at(index: Segments, wanted: DataFrame, columns: Sequence[str] | None = None
     return docs.where(F.col("_segment").isin(segments) & F.col("_place").isin(found)).join(F.broadcast(keys), AT, "left_semi")
 
 
+def _of_bitmaps(index: Segments, bitmaps: DataFrame) -> DataFrame:
+    """Stored documents whose number is in bitmaps by segment, which are sent to them as a rule: no text is
+    shuffled to be found."""
+    bitmaps = bitmaps.select(F.col("segment").alias("_segment"), F.col("bitmap").alias("_bitmap"), F.col("bits").alias("_dead"))
+    rows = index.numbered(index.docs()).withColumn("_bitmap", F.floor(F.col("_doc_no") / BITMAP))
+    return rows.join(_sent(bitmaps), ["_segment", "_bitmap"]).where(_is_set("_dead", "_doc_no")).drop("_bitmap", "_dead", "_doc_no")
+
+
 def merge_segments(spark: SparkSession, root: str) -> int:
     """Fold all segments into one and publish it; returns its version. Void documents and their postings go,
     the others get new numbers; no text is analysed again. Searches that began before go on over the old
     segments, whose files stay."""
     old = read_segments(spark, root)
     version = old.rows[-1].version + 1
+    with scratch(spark), swept(spark):
+        _merge(spark, root, version, old)
+    return version
+
+
+def _merge(spark, root, version, old: Segments) -> None:
     folder = f"segment/v={version}-{uuid.uuid4().hex}"
     live = old.live(old.numbered(old.docs()), "_segment", "_doc_no")
     was = live.withColumn("_was", F.struct("_segment", "_doc_no")).drop(*AT, "_doc_no")
     now = _write_docs(spark, root, folder, version, was, old.specs, old.filters, old.key)
     now = now._replace(stop_words=old.stop_words)
-    numbers = now.numbered(now.docs().select("_was", *AT)).select(
-        F.col("_was._segment").alias("segment"), F.col("_was._doc_no").alias("was_no"), F.col("_doc_no").alias("doc_no"))
-    postings = old.table("postings", _POSTINGS).withColumnRenamed("doc_no", "was_no").drop("block")
-    _write_postings(now, postings.join(numbers, ["segment", "was_no"]).drop("segment", "was_no"))
+    numbers = cut_lineage(_renumbered(old, now), "numbers")
+    moved = old.table("lists", _LISTS).join(_sent(numbers), ["segment", "block"])
+    # A list stays a row while its numbers change: single postings are neither joined nor shuffled.
+    moved = moved.withColumn("nos", F.transform("ats", lambda at: F.get("to", at)))
+    _write_lists(now, renumber_lists(moved, BLOCK_BITS, lambda rows: _sorted(rows, "field", "term")))
     _write_filters(now, now.numbered(now.docs().drop("_was")))
     stats = old.table("stats", _STATS).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0")
-    _sorted(stats, "field", "term").write.parquet(f"{root}/{folder}/stats")
+    _sorted(stats, "field", "term").write.parquet(f"{root}/{folder}/stats", compression="zstd")
     spark.createDataFrame([], _DEAD).write.parquet(f"{root}/{folder}/dead")
     schema = StructType([f for f in StructType.fromJson(json.loads(now.rows[0].schema)).fields if f.name != "_was"]).json()
     about = spark.createDataFrame([{**now.rows[0].asDict(), "schema": schema}], MANIFEST).first()
     _publish(now._replace(rows=[about]), None, old.rows, old.n_docs)
-    return version
+
+
+def _renumbered(old: Segments, now: Segments) -> DataFrame:
+    """``(segment, block, to)``: the new numbers of a block's documents, in order of their old ones; null for
+    void documents."""
+    kind = "int" if old.n_docs < 1 << 31 else "bigint"
+    new = now.numbered(now.docs().select("_was", *AT)).select(
+        F.col("_was._segment").alias("segment"), F.col("_was._doc_no").alias("was_no"), F.col("_doc_no").cast(kind).alias("doc_no"))
+    every = old.numbered(old.docs().select(*AT)).select(
+        F.col("_segment").alias("segment"), F.col("_doc_no").alias("was_no"), F.lit(None).cast(kind).alias("doc_no"))
+    numbers = new.unionByName(every).groupBy("segment", "was_no").agg(F.max("doc_no").alias("doc_no"))
+    numbers = numbers.withColumn("block", F.shiftright("was_no", BLOCK_BITS))
+    return numbers.groupBy("segment", "block").agg(
+        F.sort_array(F.collect_list(F.struct("was_no", "doc_no")))["doc_no"].alias("to"))
 
 
 def expire_segments(spark: SparkSession, root: str) -> list[str]:

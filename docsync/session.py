@@ -79,12 +79,25 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """A scope in which shuffle files go as soon as the result they were made for is written. Else they stay
+    until the driver happens to collect its garbage, and those of several large results lie side by side."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut_lineage(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back. Losing an executor
     later costs nothing that came before this point."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -204,3 +204,37 @@ def test_blocks_tell_how_many_documents_have_a_term(spark, frame, tmp_path, smal
     counted = index.table("blocks", sg._BLOCKS).groupBy("field", "term").agg(F.sum("n").alias("df"))
     stored = ix.term_stats(index.table("postings", sg._POSTINGS))
     assert sorted(counted.collect()) == sorted(stored.collect())
+
+
+def test_texts_and_single_postings_are_not_shuffled(spark, frame, tmp_path, plain):
+    """What is shuffled by term is a row per term and block of documents, not one per posting; old versions of
+    documents are found without a shuffle of texts; and shuffle files go with the result they are made for."""
+    root, docs = str(tmp_path), [(f"k{i}", "fox", "red " * (i % 7 + 1) + f"w{i % 5}", ["A"], 1) for i in range(400)]
+    sg.write_segment(spark, root, frame(docs, SCHEMA), SPECS, "id")
+    index = sg.read_segments(spark, root)
+    numbered = index.numbered(index.docs())
+    lists = sg._analysed_lists(numbered, SPECS[:2], [])
+    postings = index.table("postings", sg._POSTINGS)
+    assert "Exchange hash" not in lists._jdf.queryExecution().executedPlan().toString()
+    assert postings.count() == 1200 and lists.count() < 60
+    every = index.docs().select(F.col("_segment").alias("segment"), "_place").count()
+    dead = sg._bitmaps(numbered.where("id in ('k3', 'k7')").select(F.col("_segment").alias("segment"), F.col("_doc_no").alias("doc_no")), "segment")
+    old = sg._of_bitmaps(index, dead)
+    assert every == 400 and sorted(r.id for r in old.collect()) == ["k3", "k7"]
+    assert "SortMergeJoin" not in old._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_equal_postings_whatever_is_worked_on_at_once(spark, frame, monkeypatch):
+    from docsync.operators import lists as pl
+    draw = random.Random(4)
+    docs = [(i * 3, *made(draw, "")[1:]) for i in range(150)]
+    analysed = ix.analyze_fields(frame(docs, SCHEMA.replace("id string", "id bigint")), SPECS[:2], "id", STOP)
+    expected = sorted((r.field, r.term, int(r.doc_key), r.tf, r.field_len) for r in ix.build_postings(analysed, False).collect())
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(pl, "AT_ONCE", at_once)
+        lists = ix.build_postings(analysed, False, block_bits=4)
+        assert sorted(map(tuple, ix.term_stats(lists).collect())) == sorted(map(tuple, ix.term_stats(ix.build_postings(analysed, False)).collect()))
+        lists = pl.unpacked(lists)
+        rows = pl.postings_of(lists, "field", "term", "block")
+        assert sorted((r.field, r.term, r.block * 16 + r.at, r.tf, r.field_len) for r in rows.collect()) == expected
+        assert all(abs(r.most - max((t / n) ** 0.5 for t, n in zip(r.tfs, r.lens))) < 1e-12 for r in lists.collect())
